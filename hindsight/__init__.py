@@ -1,7 +1,7 @@
 """Point-in-time-correct history sequences on Spark."""
 
 from . import constants, schema
-from .operators import explode_impressions, normalize_actions
+from .operators import explode_impressions, normalize_actions, prune_logs
 from .plans import (
     action_type_distribution,
     action_type_frequency_by_position,
@@ -44,6 +44,7 @@ __all__ = [
     "impression_activity",
     "load_sources",
     "normalize_actions",
+    "prune_logs",
     "read_csv_with_schema",
     "read_parquet_with_schema",
     "run_job",

@@ -1,7 +1,8 @@
 from .actions import normalize_actions
 from .attach import attach_by_customer_day
-from .history import cap_daily, keyed_history, prune_to_keys
+from .history import cap_daily, keyed_history, thin_hot_customers
 from .impressions import explode_impressions, impression_keys
+from .pruning import prune_logs
 from .window_activity import window_activity
 
 __all__ = [
@@ -11,6 +12,7 @@ __all__ = [
     "impression_keys",
     "keyed_history",
     "normalize_actions",
-    "prune_to_keys",
+    "prune_logs",
+    "thin_hot_customers",
     "window_activity",
 ]

@@ -4,11 +4,11 @@ The window of a key is ``[day - lookback, day)``, whole calendar days. Instead o
 with every action of its window and ranking the pairs, actions get a position on their customer's
 time line and a key's history is a *position range* of at most ``max_seq`` entries:
 
-1. ``cap_daily`` keeps the ``max_seq`` newest actions of each customer, day and split. A window
-   holds whole days, so an action that is not among the newest ``max_seq`` of its own day is not
-   among the newest ``max_seq`` of any window: nothing that could be part of a result is lost. The
-   rank runs map-side first, then per split; no task ever sees a whole hot customer. Afterwards a
-   customer has at most ``days * splits * max_seq`` actions however hot.
+1. ``cap_daily`` bounds what any customer brings into one task: of each day (and split, see there)
+   only the ``max_seq`` newest actions go on. A window holds whole days, so an action that is not
+   among the newest ``max_seq`` of its own day is not among the newest ``max_seq`` of any window:
+   nothing that could be in a result is lost. ``thin_hot_customers`` does so for the customers
+   that need it only, which saves a shuffle of the others at the price of reading the logs again.
 2. One shuffle brings actions and keys of a customer together. A running count gives each action
    its position, and each key the positions its window starts and ends at.
 3. Actions are collected in blocks of ``max_seq`` positions. A key's range reaches into the block
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import COL_ACTION_TYPE, COL_CUSTOMER_ID, COL_ITEM_ID, COL_TS
-from ..functions import epoch_day, midnight, newest_slice, require_positive
+from ..functions import epoch_day, newest_slice, require_positive
 
 ORDERS = ("recent_first", "oldest_first")
 
-# Tasks that may share the work on one customer's day in the first ranking step.
-DEFAULT_SPLITS = 16
+# Tasks that share the work on one day of a hot customer.
+SPLITS = 16
 
 
 def check_window(lookback_days: int, max_seq: int = 1) -> None:
@@ -35,40 +35,48 @@ def check_window(lookback_days: int, max_seq: int = 1) -> None:
         raise ValueError(f"lookback_days must be a whole number >= 0, got {lookback_days!r}")
 
 
-def prune_to_keys(log: DataFrame, time_column: str, keys: DataFrame, lookback_days: int) -> DataFrame:
-    """Drop rows of a log outside ``[first day - lookback, last day)`` of all keys.
-
-    The bounds are a scalar subquery of the log's own time type, so they reach its scan as data
-    filters once the minimum and maximum of the (narrow) key columns are known.
-    """
-    time_type = log.schema[time_column].dataType.simpleString()
-    bounds = keys.select(
-        F.struct(
-            midnight(F.min("day") - F.lit(lookback_days), time_type).alias("first"),
-            midnight(F.max("day"), time_type).alias("end"),
-        )
-    ).scalar()
-    return log.where((F.col(time_column) >= bounds["first"]) & (F.col(time_column) < bounds["end"]))
+def usable_actions(actions: DataFrame) -> DataFrame:
+    """Actions that can be part of a history, with their day number."""
+    return actions.where(F.col(COL_CUSTOMER_ID).isNotNull() & F.col(COL_TS).isNotNull()).withColumn(
+        "day", epoch_day(F.col(COL_TS))
+    )
 
 
-def cap_daily(actions: DataFrame, max_seq: int, splits: int = DEFAULT_SPLITS) -> DataFrame:
+def cap_daily(actions: DataFrame, max_seq: int, splits: int = SPLITS) -> DataFrame:
     """Per customer and day, a superset of the ``max_seq`` newest actions, bounded in size.
 
     A split is a set of map tasks: each map task sends at most ``max_seq`` rows of a customer's day
-    on, and the splits of a hot day are ranked by different tasks.
+    on, and the splits of a day are ranked by different tasks. What is left of a customer is at
+    most ``days * splits * max_seq`` actions however hot.
     """
     newest = Window.partitionBy(COL_CUSTOMER_ID, "day", "_split").orderBy(
         F.desc(COL_TS), F.desc(COL_ACTION_TYPE), F.desc(COL_ITEM_ID)
     )
     return (
-        actions.where(F.col(COL_CUSTOMER_ID).isNotNull() & F.col(COL_TS).isNotNull())
-        .select("*", epoch_day(F.col(COL_TS)).alias("day"), (F.spark_partition_id() % splits).alias("_split"))
+        actions.withColumn("_split", F.spark_partition_id() % splits)
         .withColumn("_rank", F.row_number().over(newest))
         .where(F.col("_rank") <= max_seq)
         .drop("_rank", "_split")
     )
 
 
+def thin_hot_customers(actions: DataFrame, max_seq: int, hot_rows: int) -> DataFrame:
+    """``cap_daily`` for the customers with more than ``hot_rows`` actions, the rest as they are.
+
+    The counts combine map-side. At most one customer per ``hot_rows`` actions is hot: with two
+    million, the broadcast set has no more than 500 entries per billion actions. It is usually
+    empty, and adaptive execution then drops the second branch altogether.
+    """
+    hot = F.broadcast(
+        actions.groupBy(COL_CUSTOMER_ID)
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > hot_rows)
+        .select(COL_CUSTOMER_ID)
+    )
+    thinned = cap_daily(actions.join(hot, COL_CUSTOMER_ID, "left_semi"), max_seq)
+    return actions.join(hot, COL_CUSTOMER_ID, "left_anti").unionByName(thinned)
+
+
 def keyed_history(
     keys: DataFrame,
     actions: DataFrame,
@@ -76,18 +84,27 @@ def keyed_history(
     lookback_days: int,
     max_seq: int,
     order: str = "recent_first",
-    splits: int = DEFAULT_SPLITS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``(customer_id, day, items, types)`` for each key that has a history.
 
     ``keys`` holds distinct, non-null ``(customer_id, day)``, ``actions`` normalised actions. The
     arrays are parallel and unpadded, 1 to ``max_seq`` long. Recency is ``ts``, then action type,
     then item, all descending; whatever the ``order``, the newest ``max_seq`` entries are kept.
+    ``hot_rows`` limits the daily cap to customers with more actions than that; by default it
+    applies to all of them, which needs the actions only once.
     """
     check_window(lookback_days, max_seq)
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}, got {order!r}")
 
+    usable = usable_actions(actions)
+    if hot_rows is None:
+        capped = cap_daily(usable, max_seq)
+    else:
+        require_positive(hot_rows=hot_rows)
+        capped = thin_hot_customers(usable, max_seq, hot_rows)
+
     by_customer = Window.partitionBy(COL_CUSTOMER_ID)
     # A key sorts before the actions of its own day, which its window excludes.
     timeline = by_customer.orderBy("day", "is_action", COL_TS, COL_ACTION_TYPE, COL_ITEM_ID)
@@ -95,8 +112,7 @@ def keyed_history(
     before_window = by_customer.orderBy("day").rangeBetween(Window.unboundedPreceding, -(lookback_days + 1))
     is_action = F.col("is_action")
     counted = (
-        cap_daily(actions, max_seq, splits)
-        .withColumn("is_action", F.lit(True))
+        capped.withColumn("is_action", F.lit(True))
         .unionByName(keys.withColumn("is_action", F.lit(False)), allowMissingColumns=True)
         .withColumn("upto", F.count_if(is_action).over(up_to_here))
         .withColumn("expired", F.count_if(is_action).over(before_window))

@@ -6,10 +6,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import DEFAULT_LOOKBACK_DAYS, DEFAULT_MAX_SEQ
+from ..operators import prune_logs
 from ..sources import SourcePaths, load_sources, save_metrics, save_training_inputs
 from .quality import dq_metrics
 from .training_inputs import MAP_SIDE_RANK_LIMIT, build_training_inputs
 
+# Actions of one customer that a single task may sort (some 50 bytes each). The logs are files, so
+# counting them by customer first is cheaper than shuffling all of them once more.
+HOT_ROWS = 2_000_000
+
 
 def run_job(
     spark: SparkSession,
@@ -30,7 +35,10 @@ def run_job(
     if max_seq > int(spark.conf.get(MAP_SIDE_RANK_LIMIT)):
         spark.conf.set(MAP_SIDE_RANK_LIMIT, str(max_seq))
     sources = load_sources(spark, paths, source_format)
-    train = build_training_inputs(*sources, lookback_days=lookback_days, max_seq=max_seq)
+    logs = prune_logs(*sources, lookback_days=lookback_days)
+    train = build_training_inputs(
+        sources.impressions, *logs, lookback_days=lookback_days, max_seq=max_seq, hot_rows=HOT_ROWS
+    )
     save_training_inputs(train, output, partition_by=partition_by)
     written = spark.read.schema(train.schema).parquet(output)
     if metrics_path:

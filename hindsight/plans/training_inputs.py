@@ -25,23 +25,14 @@ from ..operators import (
     impression_keys,
     keyed_history,
     normalize_actions,
-    prune_to_keys,
     window_activity,
 )
-from ..operators.actions import check_logs
 from ..operators.history import check_window
 from ..operators.impressions import check_impressions
 
 MAP_SIDE_RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
-def _actions_for(
-    keys: DataFrame, clicks_df: DataFrame, atc_df: DataFrame, orders_df: DataFrame, lookback_days: int
-) -> DataFrame:
-    logs = check_logs(clicks_df, atc_df, orders_df)
-    return normalize_actions(*[prune_to_keys(log, when, keys, lookback_days) for log, when in logs])
-
-
 def _ranking_columns(impressions_df: DataFrame) -> DataFrame:
     return impressions_df.select(COL_DT, COL_RANKING_ID, COL_CUSTOMER_ID, COL_IMPRESSIONS)
 
@@ -54,6 +45,7 @@ def _rankings_with_history(
     lookback_days: int,
     max_seq: int,
     order: str,
+    hot_rows: int | None,
 ) -> tuple[DataFrame, str]:
     """Unexploded rankings with ragged ``items`` / ``types``, and the type of the items."""
     check_impressions(impressions_df)
@@ -66,13 +58,14 @@ def _rankings_with_history(
             stacklevel=3,
         )
     keys = impression_keys(impressions_df)
-    actions = _actions_for(keys, clicks_df, atc_df, orders_df, lookback_days)
+    actions = normalize_actions(clicks_df, atc_df, orders_df)
     history = keyed_history(
         keys,
         actions,
         lookback_days=lookback_days,
         max_seq=max_seq,
         order=order,
+        hot_rows=hot_rows,
     )
     item_type = actions.schema[COL_ITEM_ID].dataType.simpleString()
     return attach_by_customer_day(_ranking_columns(impressions_df), history), item_type
@@ -87,6 +80,7 @@ def build_training_inputs(
     lookback_days: int = DEFAULT_LOOKBACK_DAYS,
     max_seq: int = DEFAULT_MAX_SEQ,
     order: str = "recent_first",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per impression: ``dt, ranking_id, customer_id, impression_item_id, is_order``, and
     ``actions`` / ``action_types``, two parallel arrays of exactly ``max_seq`` entries.
@@ -95,9 +89,12 @@ def build_training_inputs(
     (or oldest first with ``order="oldest_first"``), filled up with zeros on the right. An
     impression without history, without customer or with a malformed ``dt`` is all padding. Item
     id 0 is reserved for padding.
+
+    Lazy: no job runs here. Where logs reach far beyond the days of the impressions, cut them with
+    ``prune_logs`` first. ``hot_rows`` is explained at ``keyed_history``.
     """
     rankings, item_type = _rankings_with_history(
-        impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, order
+        impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, order, hot_rows
     )
     # Padded once per ranking, after the last shuffle, and then repeated for each of its items.
     padded = rankings.select(
@@ -125,7 +122,7 @@ def history_entries(
     ``rn`` is the recency rank, 1 for the newest. Impressions without history have no rows.
     """
     rankings, _ = _rankings_with_history(
-        impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, "recent_first"
+        impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, "recent_first", None
     )
     entries = F.arrays_zip(F.col("items").alias(COL_ITEM_ID), F.col("types").alias(COL_ACTION_TYPE))
     with_entries = rankings.where(F.col("items").isNotNull()).withColumn("entries", entries)
@@ -158,7 +155,7 @@ def impression_activity(
     check_impressions(impressions_df)
     check_window(lookback_days)
     keys = impression_keys(impressions_df)
-    actions = _actions_for(keys, clicks_df, atc_df, orders_df, lookback_days)
+    actions = normalize_actions(clicks_df, atc_df, orders_df)
     activity = window_activity(keys, actions, lookback_days=lookback_days)
     counts = [c for c in activity.columns if c.startswith("n_")]
     rankings = attach_by_customer_day(_ranking_columns(impressions_df), activity).fillna(0, counts)
