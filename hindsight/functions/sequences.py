@@ -1,4 +1,4 @@
-"""Array expressions on histories. All are built-in, code-generated functions without lambdas."""
+"""Array expressions on histories, from built-in functions; padding is dealt with first, being most of it."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 def nonzero_count(array: Column) -> Column:
     """Entries that are neither null nor padding; null for a null array."""
-    return F.when(array.isNotNull(), F.size(F.array_remove(F.array_compact(array), 0)))
+    return F.when(array.isNotNull(), F.size(F.array_compact(F.array_remove(array, 0))))
 
 
 def pad_right(array: Column, length: int, element_type: str) -> Column:
     """Exactly ``length`` entries of ``element_type``: cut on the right, or filled up with zeros."""
-    zero = F.lit(0).cast(element_type)
-    entries = F.coalesce(array, F.array().cast(f"array<{element_type}>")).cast(f"array<{element_type}>")
-    missing = F.greatest(F.lit(0), F.lit(length) - F.size(entries))
-    return F.slice(F.concat(entries, F.array_repeat(zero, missing)), 1, length)
+    array_type = f"array<{element_type}>"
+    entries = F.slice(F.coalesce(array, F.array().cast(array_type)).cast(array_type), 1, length)
+    zeros = F.array_repeat(F.lit(0).cast(element_type), F.lit(length) - F.size(entries))
+    return F.concat(entries, zeros)
 
 
 def newest_slice(current: Column, previous: Column, skip: Column, count: Column) -> Column:

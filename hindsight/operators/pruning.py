@@ -1,12 +1,16 @@
-"""Cut the action logs down to the days that some impression can look back to."""
+"""Cut the action logs down to what some impression can look back to."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import COL_DT
+from ..constants import COL_CUSTOMER_ID, COL_DT
 from ..functions import epoch_day, midnight
 from .actions import check_logs
 from .history import check_window
+from .impressions import check_impressions
+
+# Customers that may be broadcast: some 50 MB as a hash table of integers.
+MAX_BROADCAST_CUSTOMERS = 1_000_000
 
 
 def prune_logs(
@@ -16,23 +20,40 @@ def prune_logs(
     orders_df: DataFrame,
     *,
     lookback_days: int,
+    max_broadcast_customers: int = MAX_BROADCAST_CUSTOMERS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three logs without the rows outside ``[first dt - lookback, last dt)``.
+    """The three logs without rows that no window of the impressions can contain.
+
+    One job runs at once, over ``dt`` and ``customer_id`` alone, without a shuffle of rows: it finds
+    the first and last day and estimates the number of customers.
 
-    Runs one small job at once, over the ``dt`` column alone. The bounds enter the plan as literals
-    of each log's own time type, so that they are pushed into its scan, where they skip files and
-    row groups; a subquery per bound would not be. No row that a window can contain is dropped.
+    - Rows outside ``[first day - lookback, last day)`` go. The bounds enter the plan as literals of
+      each log's own time type and are pushed into its scan, where they skip files and row groups.
+    - With no more customers than ``max_broadcast_customers``, rows of all others go too, by a
+      broadcast semi-join ahead of any shuffle. With more, all customers stay and the shuffles of
+      the history do the rest.
     """
+    check_impressions(impressions_df)
     check_window(lookback_days)
     logs = check_logs(clicks_df, atc_df, orders_df)
-    days = impressions_df.select(epoch_day(F.col(COL_DT)).alias("day")).agg(F.min("day"), F.max("day"))
-    first, last = days.first()
+    seen = impressions_df.select(COL_CUSTOMER_ID, epoch_day(F.col(COL_DT)).alias("day")).where(
+        F.col(COL_CUSTOMER_ID).isNotNull() & F.col("day").isNotNull()
+    )
+    first, last, customers = seen.agg(
+        F.min("day"), F.max("day"), F.approx_count_distinct(COL_CUSTOMER_ID)
+    ).first()
     if first is None:
         return tuple(log.where(F.lit(False)) for log, _ in logs)
-    return tuple(
-        log.where(
-            (F.col(when) >= midnight(F.lit(first - lookback_days), log.schema[when].dataType.simpleString()))
-            & (F.col(when) < midnight(F.lit(last), log.schema[when].dataType.simpleString()))
+
+    few = customers <= max_broadcast_customers
+    present = F.broadcast(seen.select(COL_CUSTOMER_ID).distinct())
+
+    def prune(log: DataFrame, when: str) -> DataFrame:
+        time_type = log.schema[when].dataType.simpleString()
+        recent = log.where(
+            (F.col(when) >= midnight(F.lit(first - lookback_days), time_type))
+            & (F.col(when) < midnight(F.lit(last), time_type))
         )
-        for log, when in logs
-    )
+        return recent.join(present, COL_CUSTOMER_ID, "left_semi") if few else recent
+
+    return tuple(prune(log, when) for log, when in logs)

@@ -172,6 +172,26 @@ def test_zoneless_timestamps_give_the_same(spark):
     assert rows(out) == sorted(SMALL_EXPECTED, key=repr)
 
 
+def test_days_are_calendar_days_of_the_session_zone(spark):
+    # The night to 2025-03-30 is an hour short in Berlin; the window still opens at a midnight.
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    texts = ["2025-03-28 23:59:59", "2025-03-29 00:00:00", "2025-03-30 23:59:59", "2025-03-31 00:00:00"]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        empty = sources(spark, [ranking("2025-03-31", "r", 1, (9, False))])
+        clicks = spark.createDataFrame(
+            [(t[:10], 1, i, t) for i, t in enumerate(texts, 1)], "dt string, customer_id int, item_id int, t string"
+        )
+        for ts_type in ("timestamp", "timestamp_ntz"):
+            typed = clicks.withColumn("click_time", F.col("t").cast(ts_type))
+            pruned = hindsight.prune_logs(empty[0], typed, *empty[2:], lookback_days=2)
+            for log in (typed, pruned[0]):
+                out = hindsight.build_training_inputs(empty[0], log, *empty[2:], lookback_days=2, max_seq=4)
+                assert out.first().actions == [3, 2, 0, 0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_normalized_actions(spark):
     actions = hindsight.normalize_actions(*small(spark)[1:])
     assert actions.schema["action_type"].dataType == T.ByteType()
@@ -229,12 +249,18 @@ def test_formula_fixture_against_brute_force(spark):
     assert inputs[3].where("order_date >= '2024-07-31'").count() == 77
 
 
-def test_pruned_logs_give_the_same_result(spark):
-    inputs = medium(spark)
-    pruned = hindsight.prune_logs(*inputs, lookback_days=20)
-    assert [log.count() < whole.count() for log, whole in zip(pruned, inputs[1:])] == [True, True, True]
-    out = hindsight.build_training_inputs(inputs[0], *pruned, lookback_days=20, max_seq=5)
-    assert rows(out) == brute_force(*inputs, 20, 5)
+@pytest.mark.parametrize("max_broadcast_customers", [0, 1000])
+def test_pruned_logs_give_the_same_result(spark, max_broadcast_customers):
+    impressions, *logs = medium(spark)
+    impressions = impressions.where("customer_id % 3 = 0")
+    pruned = hindsight.prune_logs(
+        impressions, *logs, lookback_days=20, max_broadcast_customers=max_broadcast_customers
+    )
+    assert [log.count() < whole.count() for log, whole in zip(pruned, logs)] == [True, True, True]
+    others = sum(log.where("customer_id % 3 <> 0").count() for log in pruned)
+    assert (others == 0) == (max_broadcast_customers > 0)
+    out = hindsight.build_training_inputs(impressions, *pruned, lookback_days=20, max_seq=5)
+    assert rows(out) == brute_force(impressions, *logs, 20, 5)
 
 
 def test_exports():
