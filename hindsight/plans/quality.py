@@ -5,10 +5,20 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ACTION_PADDING, COL_ACTION_TYPES, COL_ACTIONS, COL_DT
+from ..constants import (
+    ACTION_ADD_TO_CART,
+    ACTION_CLICK,
+    ACTION_PADDING,
+    ACTION_PREVIOUS_ORDER,
+    COL_ACTION_TYPES,
+    COL_ACTIONS,
+    COL_DT,
+)
 from ..functions import epoch_day, nonzero_count, require_columns
 from ..streaming import require_batch
 
+CODES = (ACTION_PADDING, ACTION_CLICK, ACTION_ADD_TO_CART, ACTION_PREVIOUS_ORDER)
+
 
 def _check(df: DataFrame, *columns: str) -> None:
     require_batch(df, "training inputs")
@@ -35,37 +45,46 @@ def dq_summary(df: DataFrame) -> DataFrame:
 
 
 def _by_type(df: DataFrame, per_row: dict[str, Column], totals: dict[str, Column]) -> DataFrame:
-    """One pass over ``df``: real entries by type, with row-level ``totals`` on the side.
+    """One pass over ``df``: positions by action type, with row-level ``totals`` on the side.
 
-    Only real entries are exploded; the zeros of a row, mostly the bulk of it, are counted from
-    the array sizes. Whatever is per row is summed over the first line a row explodes to. At most
-    one line per type code comes out.
+    The codes of the contract are counted within the row, by what taking them out of the array
+    shortens it; padding, the bulk, goes first. Only entries with other codes, normally none, are
+    exploded and grouped, and row-level values are summed over the first line a row explodes to.
+    At most one line per other code comes out, plus one.
     """
-    real = F.array_remove(COL_ACTION_TYPES, ACTION_PADDING)
+    rows = df.select(
+        F.size(COL_ACTION_TYPES).alias("left"),
+        F.col(COL_ACTION_TYPES).alias("rest"),
+        *[column.alias(name) for name, column in per_row.items()],
+    )
+    for code in CODES:
+        rows = rows.withColumn("rest", F.array_remove("rest", code)).withColumns(
+            {f"n_{code}": F.col("left") - F.size("rest"), "left": F.size("rest")}
+        )
     first = F.coalesce("pos", F.lit(0)) == 0
+    sums = {**{f"n_{code}": F.col(f"n_{code}") for code in CODES}, **totals}
     return (
-        df.select(
-            (F.size(COL_ACTION_TYPES) - F.size(real)).alias("zeros"),
-            *[column.alias(name) for name, column in per_row.items()],
-            F.posexplode_outer(real).alias("pos", "type"),
-        )
+        rows.select("*", F.posexplode_outer("rest").alias("pos", "type"))
         .groupBy("type")
         .agg(
             F.count("pos").alias("n"),
-            F.sum(F.when(first, F.col("zeros"))).alias("zeros"),
-            *[F.sum(F.when(first, column)).alias(name) for name, column in totals.items()],
+            *[F.sum(F.when(first, column)).alias(name) for name, column in sums.items()],
         )
     )
 
 
-def _real_entries() -> Column:
-    """Array of ``(action_type, n)``; codes are bytes, so it has 256 entries at most."""
-    return F.collect_list(F.when(F.col("n") > 0, F.struct(F.col("type").alias("action_type"), "n")))
+def _counts() -> Column:
+    """Array of ``(action_type, n)`` from all lines of ``_by_type``; bytes have 256 values at most."""
+    known = [
+        F.struct(F.lit(code).cast("tinyint").alias("action_type"), F.sum(f"n_{code}").alias("n"))
+        for code in CODES
+    ]
+    others = F.collect_list(F.struct(F.col("type").alias("action_type"), "n"))
+    return F.filter(F.concat(F.array(*known), others), lambda t: t["n"] > 0)
 
 
-def _with_padding(real: str, zeros: str) -> Column:
-    padding = F.struct(F.lit(ACTION_PADDING).cast("tinyint").alias("action_type"), F.col(zeros).alias("n"))
-    return F.concat(F.when(F.col(zeros) > 0, F.array(padding)).otherwise(F.slice(real, 1, 0)), F.col(real))
+def _positions() -> Column:
+    return F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, t: total + t["n"])
 
 
 def action_type_distribution(df: DataFrame) -> DataFrame:
@@ -73,9 +92,9 @@ def action_type_distribution(df: DataFrame) -> DataFrame:
     _check(df, COL_ACTION_TYPES)
     return (
         _by_type(df, {}, {})
-        .agg(_real_entries().alias("real"), F.sum("n").alias("entries"), F.sum("zeros").alias("zeros"))
-        .select(F.inline(_with_padding("real", "zeros")), (F.col("entries") + F.col("zeros")).alias("total"))
-        .select("action_type", "n", (F.col("n") / F.col("total")).alias("share"))
+        .agg(_counts().alias("counts"))
+        .select(F.inline("counts"), _positions().alias("positions"))
+        .select("action_type", "n", (F.col("n") / F.col("positions")).alias("share"))
     )
 
 
@@ -83,36 +102,34 @@ def dq_metrics(df: DataFrame) -> DataFrame:
     """``dq_summary`` and, as a map from code to share, the type distribution: one row, one pass."""
     _check(df, COL_ACTIONS, COL_ACTION_TYPES)
     length = F.col("length")
-    profile = _by_type(
-        df,
-        {"bad_dt": _bad_dt(df), "length": nonzero_count(F.col(COL_ACTIONS))},
-        {
-            "total_rows": F.lit(1),
-            "bad_dt_rows": F.when(F.col("bad_dt"), 1).otherwise(0),
-            "empty_rows": F.when(length == 0, 1).otherwise(0),
-            "length_rows": F.when(length.isNotNull(), 1).otherwise(0),
-            "length": length,
-        },
-    )
-    totals = ["total_rows", "bad_dt_rows", "empty_rows", "length_rows", "length", "zeros"]
-    one_row = profile.agg(
-        _real_entries().alias("real"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("entries"),
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in totals],
-    )
-    positions = F.col("entries") + F.col("zeros")
+    totals = {
+        "total_rows": F.lit(1),
+        "bad_dt_rows": F.when(F.col("bad_dt"), 1).otherwise(0),
+        "empty_rows": F.when(length == 0, 1).otherwise(0),
+        "length_rows": F.when(length.isNotNull(), 1).otherwise(0),
+        "length": length,
+    }
+    per_row = {"bad_dt": _bad_dt(df), "length": nonzero_count(F.col(COL_ACTIONS))}
     shares = F.transform(
-        _with_padding("real", "zeros"),
+        "counts",
         lambda t: F.struct(
-            F.coalesce(t["action_type"].cast("string"), F.lit("None")), t["n"] / positions
+            F.coalesce(t["action_type"].cast("string"), F.lit("None")), t["n"] / F.col("positions")
         ),
     )
-    return one_row.select(
-        "total_rows",
-        "bad_dt_rows",
-        F.try_divide("empty_rows", "total_rows").alias("zero_history_pct"),
-        F.try_divide("length", "length_rows").alias("avg_history_length"),
-        F.map_from_entries(F.array_sort(shares)).alias("action_type_distribution"),
+    return (
+        _by_type(df, per_row, totals)
+        .agg(
+            _counts().alias("counts"),
+            *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in totals],
+        )
+        .withColumn("positions", _positions())
+        .select(
+            "total_rows",
+            "bad_dt_rows",
+            F.try_divide("empty_rows", "total_rows").alias("zero_history_pct"),
+            F.try_divide("length", "length_rows").alias("avg_history_length"),
+            F.map_from_entries(F.array_sort(shares)).alias("action_type_distribution"),
+        )
     )
 
 
