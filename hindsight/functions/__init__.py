@@ -1,4 +1,4 @@
-from .checks import require_columns, require_positive, require_types
+from .checks import require_columns, require_positive, require_same_kind, require_types
 from .days import epoch_day, midnight
 from .sequences import newest_slice, nonzero_count, pad_right
 
@@ -10,5 +10,6 @@ __all__ = [
     "pad_right",
     "require_columns",
     "require_positive",
+    "require_same_kind",
     "require_types",
 ]

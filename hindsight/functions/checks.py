@@ -27,6 +27,16 @@ def require_types(df: DataFrame, expected: dict[str, tuple[type, ...]], name: st
         raise ValueError(f"{name} has columns of unexpected type: {wrong}")
 
 
+def require_same_kind(column: str, frames: dict[str, DataFrame]) -> None:
+    """The column is a whole number in all frames, of whatever width, or of one type in all."""
+    kinds = {
+        name: "integral" if isinstance(df.schema[column].dataType, INTEGRAL) else df.schema[column].dataType.simpleString()
+        for name, df in frames.items()
+    }
+    if len(set(kinds.values())) > 1:
+        raise ValueError(f"{column} differs in type between frames: {kinds}")
+
+
 def require_positive(**values: int) -> None:
     """``max_seq`` style parameters: whole numbers of at least one."""
     for name, value in values.items():

@@ -13,7 +13,7 @@ from ..constants import (
     COL_ITEM_ID,
     COL_TS,
 )
-from ..functions import require_columns, require_types
+from ..functions import require_columns, require_same_kind, require_types
 from ..functions.checks import INSTANT
 from ..streaming import require_batch
 
@@ -30,6 +30,7 @@ def check_logs(
         require_batch(df, name)
         require_columns(df, [COL_CUSTOMER_ID, item, when], name)
         require_types(df, {when: INSTANT}, name)
+    require_same_kind(COL_CUSTOMER_ID, {"clicks_df": clicks_df, "atc_df": atc_df, "orders_df": orders_df})
     return [(clicks_df, "click_time"), (atc_df, "occurred_at"), (orders_df, "order_date")]
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import COL_ACTION_TYPE, COL_CUSTOMER_ID, COL_ITEM_ID, COL_TS
-from ..functions import epoch_day, newest_slice, require_positive
+from ..functions import epoch_day, newest_slice, require_positive, require_same_kind
 
 ORDERS = ("recent_first", "oldest_first")
 
@@ -98,6 +98,7 @@ def keyed_history(
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}, got {order!r}")
 
+    require_same_kind(COL_CUSTOMER_ID, {"impressions": keys, "actions": actions})
     usable = usable_actions(actions)
     if hot_rows is None:
         capped = cap_daily(usable, max_seq)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import COL_CUSTOMER_ID, COL_DT
-from ..functions import epoch_day, midnight
+from ..functions import epoch_day, midnight, require_same_kind
 from .actions import check_logs
 from .history import check_window
 from .impressions import check_impressions
@@ -36,6 +36,7 @@ def prune_logs(
     check_impressions(impressions_df)
     check_window(lookback_days)
     logs = check_logs(clicks_df, atc_df, orders_df)
+    require_same_kind(COL_CUSTOMER_ID, {"impressions_df": impressions_df, "clicks_df": clicks_df})
     seen = impressions_df.select(COL_CUSTOMER_ID, epoch_day(F.col(COL_DT)).alias("day")).where(
         F.col(COL_CUSTOMER_ID).isNotNull() & F.col("day").isNotNull()
     )

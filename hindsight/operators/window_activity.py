@@ -1,7 +1,8 @@
 """As-of range join in aggregated form: what happened in the window of each key."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..constants import (
     ACTION_ADD_TO_CART,
@@ -11,7 +12,7 @@ from ..constants import (
     COL_CUSTOMER_ID,
     COL_TS,
 )
-from ..functions import epoch_day
+from ..functions import epoch_day, require_same_kind
 from .history import check_window
 
 _COUNTS = {
@@ -24,10 +25,12 @@ _COUNTS = {
 def window_activity(keys: DataFrame, actions: DataFrame, *, lookback_days: int) -> DataFrame:
     """Per key: number of actions in ``[day - lookback, day)``, by type, and first and last ``ts``.
 
-    Actions are summed up per customer and day before any customer's rows meet in one task; a
-    range frame over the days then takes the place of the join. Each key keeps its row.
+    Actions are summed up per customer and day before any customer's rows meet in one task. Frames
+    that only ever grow then take the place of the join: what is counted before the window's end
+    less what is counted before its start. Each key keeps its row.
     """
     check_window(lookback_days)
+    require_same_kind(COL_CUSTOMER_ID, {"impressions": keys, "actions": actions})
     daily = (
         actions.where(F.col(COL_CUSTOMER_ID).isNotNull() & F.col(COL_TS).isNotNull())
         .groupBy(COL_CUSTOMER_ID, epoch_day(F.col(COL_TS)).alias("day"))
@@ -38,10 +41,17 @@ def window_activity(keys: DataFrame, actions: DataFrame, *, lookback_days: int)
             F.max(COL_TS).alias("last_ts"),
         )
     )
-    window = Window.partitionBy(COL_CUSTOMER_ID).orderBy("day").rangeBetween(-lookback_days, -1)
-    totals = [
-        F.coalesce(F.sum(name).over(window), F.lit(0)).alias(name) for name in ("n_actions", *_COUNTS)
-    ]
+    by_customer = Window.partitionBy(COL_CUSTOMER_ID)
+    before_end = by_customer.orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    before_start = by_customer.orderBy("day").rangeBetween(Window.unboundedPreceding, -(lookback_days + 1))
+    # In descending order "preceding" are the later days, and the frame ends with the first one.
+    since_start = by_customer.orderBy(F.desc("day")).rangeBetween(Window.unboundedPreceding, lookback_days)
+
+    def total(name: str, window: WindowSpec) -> Column:
+        return F.coalesce(F.sum(name).over(window), F.lit(0))
+
+    names = ("n_actions", *_COUNTS)
+    any_action = F.col("n_actions") > 0
     return (
         keys.withColumn("is_key", F.lit(True))
         .unionByName(daily.withColumn("is_key", F.lit(False)), allowMissingColumns=True)
@@ -49,10 +59,16 @@ def window_activity(keys: DataFrame, actions: DataFrame, *, lookback_days: int)
             COL_CUSTOMER_ID,
             "day",
             "is_key",
-            *totals,
-            F.min("first_ts").over(window).alias("first_ts"),
-            F.max("last_ts").over(window).alias("last_ts"),
+            *[(total(name, before_end) - total(name, before_start)).alias(name) for name in names],
+            F.min("first_ts").over(since_start).alias("first_ts"),
+            F.max("last_ts").over(before_end).alias("last_ts"),
         )
         .where("is_key")
-        .drop("is_key")
+        .select(
+            COL_CUSTOMER_ID,
+            "day",
+            *names,
+            F.when(any_action, F.col("first_ts")).alias("first_ts"),
+            F.when(any_action, F.col("last_ts")).alias("last_ts"),
+        )
     )

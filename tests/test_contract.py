@@ -227,6 +227,21 @@ def test_missing_and_mistyped_columns(spark):
         hindsight.explode_impressions(impressions.withColumn("impressions", F.lit("[]")))
 
 
+def test_customer_ids_of_other_kinds(spark):
+    impressions, clicks, carts, orders = small(spark)
+    wide = impressions.withColumn("customer_id", F.col("customer_id").cast("bigint"))
+    assert rows(hindsight.build_training_inputs(wide, clicks, carts, orders, max_seq=4)) == sorted(
+        SMALL_EXPECTED, key=repr
+    )
+    text = [df.withColumn("customer_id", F.col("customer_id").cast("string")) for df in small(spark)]
+    out = hindsight.build_training_inputs(*text, max_seq=4)
+    assert rows(out) == sorted([(d, r, str(c), *rest) for d, r, c, *rest in SMALL_EXPECTED], key=repr)
+    with pytest.raises(ValueError, match="customer_id differs in type"):
+        hindsight.build_training_inputs(text[0], clicks, carts, orders)
+    with pytest.raises(ValueError, match="customer_id differs in type"):
+        hindsight.normalize_actions(text[1], carts, orders)
+
+
 def test_streams_are_refused(spark, tmp_path):
     impressions, clicks, carts, orders = small(spark)
     stream = spark.readStream.schema(schema.clicks_schema).parquet(str(tmp_path))

@@ -1,6 +1,7 @@
 """Skew, partitioning and plan shape."""
 
 import random
+import re
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 
@@ -116,6 +117,20 @@ def test_plan_has_no_pair_join(spark):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_hot_customers_are_counted_and_broadcast_once(spark):
+    inputs = [df.repartition(3) for df in skewed(spark, 1)]
+    hot = hindsight.build_training_inputs(*inputs, lookback_days=30, max_seq=5, hot_rows=100)
+    cold = hindsight.build_training_inputs(*inputs, lookback_days=30, max_seq=5, hot_rows=10_000)
+    assert rows(hot) == rows(cold)
+    hot.collect()
+    cold.collect()
+    hot_plan, cold_plan = (plan(df).split("== Initial Plan ==")[0] for df in (hot, cold))
+    # Three logs, each in both branches; one broadcast for all of them.
+    assert hot_plan.count("LeftAnti") == hot_plan.count("LeftSemi") == 3
+    assert len(re.findall("ReusedExchange.*BroadcastExchange", hot_plan)) == 5
+    assert "LeftAnti" not in cold_plan and "LeftSemi" not in cold_plan
+
+
 def test_hot_key_is_split_in_the_last_join(spark):
     impressions, clicks, carts, orders = sources(spark, [])
     impressions = spark.range(0, 40_000, 1, 8).select(
