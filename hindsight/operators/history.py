@@ -25,6 +25,9 @@ from ..functions import epoch_day, newest_slice, require_positive, require_same_
 
 ORDERS = ("recent_first", "oldest_first")
 
+# Actions of one customer that a single task may sort (some 50 bytes each).
+DEFAULT_HOT_ROWS = 2_000_000
+
 # Tasks that share the work on one day of a hot customer.
 SPLITS = 16
 
@@ -84,15 +87,16 @@ def keyed_history(
     lookback_days: int,
     max_seq: int,
     order: str = "recent_first",
-    hot_rows: int | None = None,
+    hot_rows: int | None = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """``(customer_id, day, items, types)`` for each key that has a history.
 
     ``keys`` holds distinct, non-null ``(customer_id, day)``, ``actions`` normalised actions. The
     arrays are parallel and unpadded, 1 to ``max_seq`` long. Recency is ``ts``, then action type,
     then item, all descending; whatever the ``order``, the newest ``max_seq`` entries are kept.
-    ``hot_rows`` limits the daily cap to customers with more actions than that; by default it
-    applies to all of them, which needs the actions only once.
+    The daily cap applies to customers with more than ``hot_rows`` actions. ``None`` applies it to
+    everybody, which reads the actions only once: better where they are costly to compute, but with
+    files a scan more is cheaper than a shuffle more.
     """
     check_window(lookback_days, max_seq)
     if order not in ORDERS:

@@ -11,11 +11,6 @@ from ..sources import SourcePaths, load_sources, save_metrics, save_training_inp
 from .quality import dq_metrics
 from .training_inputs import MAP_SIDE_RANK_LIMIT, build_training_inputs
 
-# Actions of one customer that a single task may sort (some 50 bytes each). The logs are files, so
-# counting them by customer first is cheaper than shuffling all of them once more.
-HOT_ROWS = 2_000_000
-
-
 def run_job(
     spark: SparkSession,
     paths: SourcePaths,
@@ -37,7 +32,7 @@ def run_job(
     sources = load_sources(spark, paths, source_format)
     logs = prune_logs(*sources, lookback_days=lookback_days)
     train = build_training_inputs(
-        sources.impressions, *logs, lookback_days=lookback_days, max_seq=max_seq, hot_rows=HOT_ROWS
+        sources.impressions, *logs, lookback_days=lookback_days, max_seq=max_seq
     )
     save_training_inputs(train, output, partition_by=partition_by)
     written = spark.read.schema(train.schema).parquet(output)

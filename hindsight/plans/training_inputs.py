@@ -27,7 +27,7 @@ from ..operators import (
     normalize_actions,
     window_activity,
 )
-from ..operators.history import check_window
+from ..operators.history import DEFAULT_HOT_ROWS, check_window
 from ..operators.impressions import check_impressions
 
 MAP_SIDE_RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -80,7 +80,7 @@ def build_training_inputs(
     lookback_days: int = DEFAULT_LOOKBACK_DAYS,
     max_seq: int = DEFAULT_MAX_SEQ,
     order: str = "recent_first",
-    hot_rows: int | None = None,
+    hot_rows: int | None = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """One row per impression: ``dt, ranking_id, customer_id, impression_item_id, is_order``, and
     ``actions`` / ``action_types``, two parallel arrays of exactly ``max_seq`` entries.
@@ -116,13 +116,14 @@ def history_entries(
     *,
     lookback_days: int = DEFAULT_LOOKBACK_DAYS,
     max_seq: int = DEFAULT_MAX_SEQ,
+    hot_rows: int | None = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """The same histories in long form: one row per impression and entry.
 
     ``rn`` is the recency rank, 1 for the newest. Impressions without history have no rows.
     """
     rankings, _ = _rankings_with_history(
-        impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, "recent_first", None
+        impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, "recent_first", hot_rows
     )
     entries = F.arrays_zip(F.col("items").alias(COL_ITEM_ID), F.col("types").alias(COL_ACTION_TYPE))
     with_entries = rankings.where(F.col("items").isNotNull()).withColumn("entries", entries)

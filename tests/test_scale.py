@@ -110,7 +110,7 @@ def plan(df):
 
 def test_plan_has_no_pair_join(spark):
     inputs = [df.repartition(3) for df in skewed(spark, 1)]
-    text = plan(hindsight.build_training_inputs(*inputs, lookback_days=30, max_seq=5))
+    text = plan(hindsight.build_training_inputs(*inputs, lookback_days=30, max_seq=5, hot_rows=None))
     assert text.count("Join") == 1
     assert "LeftOuter" in text
     assert "NestedLoop" not in text and "Cartesian" not in text

@@ -46,7 +46,7 @@ def main() -> None:
     sources = hindsight.load_sources(spark, paths, "parquet")
     window = {"lookback_days": args.lookback_days, "max_seq": args.max_seq}
     plans = {
-        "all customers capped": hindsight.build_training_inputs(*sources, **window),
+        "all customers capped": hindsight.build_training_inputs(*sources, **window, hot_rows=None),
         "hot customers capped": hindsight.build_training_inputs(*sources, **window, hot_rows=500_000),
     }
     if args.per_impression:
