@@ -68,7 +68,8 @@ def thin_hot_customers(actions: DataFrame, max_seq: int, hot_rows: int) -> DataF
 
     The counts combine map-side. At most one customer per ``hot_rows`` actions is hot: with two
     million, the broadcast set has no more than 500 entries per billion actions. It is usually
-    empty, and adaptive execution then drops the second branch altogether.
+    empty, and adaptive execution then drops the second branch altogether. ``actions`` is read
+    again for each branch and has to give the same rows each time.
     """
     hot = F.broadcast(
         actions.groupBy(COL_CUSTOMER_ID)

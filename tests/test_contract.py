@@ -264,6 +264,25 @@ def test_formula_fixture_against_brute_force(spark):
     assert inputs[3].where("order_date >= '2024-07-31'").count() == 77
 
 
+def test_without_ansi_mode(spark):
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        out = hindsight.build_training_inputs(*small(spark), max_seq=4)
+        assert rows(out) == sorted(SMALL_EXPECTED, key=repr)
+        nothing = spark.createDataFrame([("bad", "r", 1, 1, False, None, None)], schema.training_inputs_schema)
+        metrics = hindsight.dq_metrics(out.unionByName(nothing)).first()
+        assert metrics.asDict() == {
+            "total_rows": 4,
+            "bad_dt_rows": 1,
+            "zero_history_pct": 0.0,
+            "avg_history_length": 2.0,
+            "action_type_distribution": {"0": 6 / 12, "1": 3 / 12, "2": 2 / 12, "3": 1 / 12},
+        }
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+
+
 @pytest.mark.parametrize("max_broadcast_customers", [0, 1000])
 def test_pruned_logs_give_the_same_result(spark, max_broadcast_customers):
     impressions, *logs = medium(spark)
