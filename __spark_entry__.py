@@ -7,6 +7,7 @@ as comma-joined strings, time-zoned timestamps as zone-less ones in UTC.
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ from workloads.mappings import (
 )
 
 
+# The corpus operators and their pipeline may be absent; everything else works without them.
+CORPUS = all(find_spec(name) for name in ("hindsight.llm", "corpus_pipeline"))
+if CORPUS:
+    import corpus_pipeline
+    from hindsight.llm import queries as corpus
+
+
 def _joined(df: DataFrame) -> DataFrame:
     """Array columns as strings."""
     return df.withColumns(
@@ -167,7 +175,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         query.__name__: query
         for query in (
             csv_scan_typed,
@@ -193,7 +201,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             csv_job,
         )
     }
+    return {**own, **corpus.queries(), "pipeline": corpus_pipeline.run} if CORPUS else own
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    sql = oracles.sql()
+    if CORPUS:
+        sql |= corpus.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
