@@ -3,11 +3,13 @@
 1. Each text becomes the set of its 5-word shingles and a MinHash signature. Texts with equal sets
    form a class; one of each class goes on.
 2. Signatures are cut into bands. Classes that agree in a whole band share a bucket.
-3. In a bucket not all pairs are built: a pivot is compared with every other member, then more
-   pivots (1, 4, 16, ...) with the members that are left, and no pair is compared whose two sides
-   are already connected. A pivot leaves its bucket once it has met all the others, a bucket is
-   done when its members are in one component. So every pair of a bucket is either compared or
-   known to be connected, whatever the bucket's size, and a group of copies costs one row each.
+3. In a bucket not all pairs are built. First those members go that have so many shingles of their own
+   that no text of the bucket can be similar enough. Then the most central member, the pivot, is
+   compared with every other, then more pivots (4, 16, ...) with the members that are left, and no
+   pair is compared whose two sides are already connected. A pivot leaves its bucket once it has met
+   all the others, a bucket is done when its members are in one component. So every pair of a bucket
+   is compared, known to be connected, or too unlike by its bound, whatever the bucket's size, and a
+   group of copies costs about one row each.
 4. A pair's signatures are compared batch by batch. After each batch the posterior probability that
    the similarity reaches the threshold, given the matches so far, decides: below ``miss`` the pair
    is dropped and costs no more.
@@ -233,47 +235,46 @@ def _placed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .drop("last")
     )
     # Buckets of one class need no more thought; few rows are left.
-    members = written(bands.join(shared, "bucket"), "buckets")
+    members = written(bands.join(shared, "bucket").select("bucket", "node"), "buckets")
     live = members.select("node").distinct()
     sets = written(
-        plain.join(live, plain["doc_id"] == live["node"], "left_semi").mapInArrow(
-            _shingle_rows, "node long, shingles array<long>"
-        ),
+        plain.join(live, plain["doc_id"] == live["node"], "left_semi")
+        .dropDuplicates(["doc_id", "text_key"])
+        .mapInArrow(_shingle_rows, "node long, shingles array<long>"),
         "shingles",
     )
-
-    found = _verified(
-        members.where("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(),
-        classes,
-        sets,
-    )
-    roots = connected_components(found)
-    rest = members.where("pivot < node").select("bucket", "node")
+    rest = _plausible(members, sets)
+    roots = None
     pivots = 1
     while True:
         rest = written(_unfinished(rest, roots), "buckets")
         if rest.isEmpty():
             break
-        pivots *= 4
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
         chosen = (
-            rest.withColumn("rank", rank)
+            rest.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*_CENTRAL)))
             .where(F.col("rank") <= pivots)
-            .select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
+            .select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "own")])
         )
+        later = F.struct("own", "node") > F.struct("own_a", "node_a")
+        shared = F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a"))
+        possible = 100 * shared >= PERCENT * (F.col("n") + F.col("n_a") - shared)
         pairs = (
             rest.join(chosen, "bucket")
-            .where("a < node and root_a <> root")
-            .select("a", F.col("node").alias("b"))
+            .where((F.col("root") != F.col("root_a")) & later & possible)
+            .select(F.col("node_a").alias("a"), F.col("node").alias("b"))
             .distinct()
         )
         found = written(_verified(pairs, classes, sets), "links")
-        last = chosen.groupBy("bucket").agg(F.max("a").alias("last"))
-        rest = rest.join(last, "bucket").where("node > last").select("bucket", "node")
+        last = chosen.groupBy("bucket").agg(F.max(F.struct("own_a", "node_a")).alias("last"))
+        rest = rest.join(last, "bucket").where(F.struct(F.col("own").alias("own_a"), F.col("node").alias("node_a")) > F.col("last"))
+        rest = rest.select("bucket", "node", "n", "own")
         if not found.isEmpty():
-            known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+            known = roots.select(F.col("root").alias("a"), F.col("node").alias("b")) if roots else found
             roots = connected_components(known.unionByName(found))
+        pivots *= 4
 
+    if roots is None:
+        roots = classes.where(F.lit(False)).select("node", F.col("node").alias("root"))
     nodes = classes.select("digest", "node").join(roots, "node", "left")
     component = F.coalesce("root", "node", "doc_id")
     return (
@@ -284,9 +285,38 @@ def _placed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _unfinished(rest: DataFrame, roots: DataFrame) -> DataFrame:
+#: The order of pivots: texts of which other texts have most of the shingles come first.
+_CENTRAL = ("own", "node")
+
+
+def _plausible(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(bucket, node, n, own)`` without members that cannot be linked to any other of their bucket.
+
+    ``own`` counts the shingles that no other text has. They are in no intersection, so with at most
+    ``n - own`` in common and a union of at least ``n`` plus what the smallest member has beyond that,
+    the similarity is bounded. Heavily edited copies, which resemble all of a large group without
+    reaching the threshold with any, go here, before any pair is built.
+    """
+    single = (
+        sets.select(F.explode("shingles").alias("shingle"), "node")
+        .groupBy("shingle")
+        .agg(F.count("*").alias("seen"), F.min("node").alias("node"))
+        .where("seen = 1")
+        .groupBy("node")
+        .agg(F.count("*").alias("own"))
+    )
+    facts = sets.select("node", F.size("shingles").cast("long").alias("n")).join(single, "node", "left")
+    known = written(members.join(facts.fillna(0, ["own"]), "node"), "buckets")
+    least = known.groupBy("bucket").agg(F.min("n").alias("least"))
+    common = F.col("n") - F.col("own")
+    enough = 100 * common >= PERCENT * (F.col("n") + F.greatest("least", common) - common)
+    return known.join(least, "bucket").where(enough).select("bucket", "node", "n", "own")
+
+
+def _unfinished(rest: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members, with their component, of the buckets that still hold more than one component."""
-    placed = rest.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    placed = rest.join(roots, "node", "left") if roots else rest.withColumn("root", F.col("node"))
+    placed = placed.select("bucket", "node", "n", "own", F.coalesce("root", "node").alias("root"))
     several = (
         placed.groupBy("bucket")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"))
