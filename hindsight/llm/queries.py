@@ -1,17 +1,89 @@
 """The registered queries of the corpus operators: each applies one operator to its whole table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import fingerprints, mixing, near_dedup, nearest, packing, pii, toxicity, url_filters, warc
 from .common import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
+
+RULES = [
+    url_filters.Rule("allow", "com", "/"),
+    url_filters.Rule("block", "example.com", "/en/"),
+    url_filters.Rule("allow", "www.example.com", "/en/"),
+    url_filters.Rule("block", "net", "/es/"),
+    url_filters.Rule("block", "net", "/fr/"),
+]
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def packed_pieces(documents: DataFrame) -> DataFrame:
+    pieces = packing.pack(documents, TOKENIZER, END_ID)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "window", "source")
+
+
+def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def archived_pages(pages: DataFrame) -> DataFrame:
+    return warc.read_archive(warc.write_archive(pages)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op7_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are those of the document with the page's number: bad if toxic or of low quality."""
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), labels, RULES)
+
+
 def queries() -> dict:
-    return {query.__name__: query for query in (op1_minhash_near_dedup,)}
+    return {
+        query.__name__: query
+        for query in (
+            op1_minhash_near_dedup,
+            op2_mixture_packing,
+            op4_weak_supervision_pii,
+            op5_ordinal_toxicity,
+            op6_flow_mixing,
+            op7_seekable_warc,
+            op8_hilbert_neighbours,
+            op9_prefix_fingerprints,
+            op10_url_template_filter,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,118 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from hindsight.llm import packing
+from hindsight.llm.queries import packed_pieces
+from hindsight.llm.subwords import Encoder
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return Tokenizer.from_file(PATH)
+
+
+TEXTS = [
+    None, "", " ", "The QUICK brown-fox's isn't we'll\x0bx\x0cy\x1cz\x85w\u00a0v", "e\u0301 É ﬁ İ ΑΣ Σ 中文字 👍🏽", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>B",
+    "x" * 5000, "12,345.67 %%% don't", "a\u200bb\ufeff", "K Å",
+]
+
+
+def test_ids_by_word_are_those_of_the_text(plain):
+    own = Encoder(PATH)
+    for text, ids in zip(TEXTS, own.ids(TEXTS), strict=True):
+        assert np.frombuffer(ids, own.dtype).tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet=st.characters(codec="utf-8"), max_size=60))
+def test_ids_of_any_text(text):
+    own = test_ids_of_any_text.__dict__.setdefault("own", Encoder(PATH))
+    tokenizer = own.tokenizer
+    assert np.frombuffer(own.ids([text])[0], own.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def check(rows, out, plain):
+    """Every id in one piece, sequences gapless and full."""
+    want = {}
+    for doc, text in rows:
+        want.setdefault(doc, []).append(plain.encode(text or "", add_special_tokens=False).ids + [2])
+    by_sequence, by_doc = {}, {}
+    for r in out:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        by_doc.setdefault(r.doc_id, []).append(r)
+    assert sorted(by_doc, key=str) == sorted(want, key=str)
+    for doc, pieces in by_doc.items():
+        copies = len(want[doc])
+        ids = want[doc][0]
+        assert len({tuple(x) for x in want[doc]}) == 1
+        assert sum(p.length for p in pieces) == copies * len(ids)
+        assert sorted(x for p in pieces for x in range(p.start, p.start + p.length)) == sorted(list(range(len(ids))) * copies)
+        for p in pieces:
+            assert p.doc_tokens == len(ids) and p.length > 0
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+    last = max(by_sequence, default=-1)
+    for sequence, spans in by_sequence.items():
+        spans.sort()
+        ends = [0, *[a + n for a, n in spans]]
+        assert [a for a, _ in spans] == ends[:-1] and ends[-1] <= packing.SEQUENCE
+        assert sequence == last or ends[-1] == packing.SEQUENCE
+    assert sorted(by_sequence) == list(range(last + 1))
+
+
+def test_packs_everything(spark, plain, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 7)
+    rows = [(i, (" ".join(f"word{j % 97}" for j in range(i * 37 % 900)) or None), f"s{i % 3}" if i % 5 else None) for i in range(60)]
+    rows += [(100, "very long " * 20_000, "s0"), (7, rows[7][1], "s1"), (None, "no id", "s0"), (None, "no id", "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, row int")
+    out = packed_pieces(df).collect()
+    check([r[:2] for r in rows], out, plain)
+
+
+def test_empty_table(spark):
+    assert packed_pieces(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_windows_hold_the_mixture():
+    totals = [900_000, 50_000, 50_003, 7]
+    schedule = packing.Schedule(totals, totals)
+    for source, total in enumerate(totals):
+        served = schedule.served(source, np.arange(schedule.windows + 1))
+        assert served[0] == 0 and served[-1] == total and (np.diff(served) >= 0).all()
+        share = total / sum(totals) * packing.WINDOW
+        assert (np.abs(np.diff(served[:-1]) - share) <= 1).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(
+    totals=st.lists(st.integers(1, 3_000), min_size=1, max_size=6),
+    weights=st.lists(st.integers(1, 9), min_size=6, max_size=6),
+    data=st.data(),
+)
+def test_any_weights_place_every_token_once(totals, weights, data):
+    schedule = packing.Schedule(totals, weights[: len(totals)], window=64)
+    source, start, length = [], [], []
+    for s, total in enumerate(totals):
+        cuts = sorted({0, total, *data.draw(st.lists(st.integers(0, total), max_size=4))})
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            source.append(s), start.append(a), length.append(b - a)
+    run, offset, size, position = schedule.pieces(source, start, length)
+    places = np.concatenate([np.arange(p, p + n) for p, n in zip(position, size, strict=True)])
+    assert sorted(places.tolist()) == list(range(sum(totals)))
+    for i in range(len(source)):
+        own = sorted((o, n) for r, o, n in zip(run, offset, size, strict=True) if r == i)
+        assert [o for o, _ in own] == np.cumsum([0, *[n for _, n in own]])[:-1].tolist() and sum(n for _, n in own) == length[i]
+
+
+def test_weighted_windows():
+    schedule = packing.Schedule([10**6, 10**6, 10**6], [1, 2, 5])
+    first = [int(schedule.served(s, 1)) for s in range(3)]
+    assert np.allclose(first, np.array([1, 2, 5]) / 8 * packing.WINDOW, atol=1)
+    assert int(schedule.served(2, schedule.windows // 2)) < 10**6 <= int(schedule.served(2, schedule.windows - 3))
