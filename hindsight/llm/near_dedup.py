@@ -4,9 +4,9 @@
    form a class; one of each class goes on.
 2. Signatures are cut into bands. Classes that agree in a whole band share a bucket.
 3. In a bucket not all pairs are built. First those members go that have so many shingles of their own
-   that no text of the bucket can be similar enough. Then the most central member, the pivot, is
-   compared with every other, then more pivots (4, 16, ...) with the members that are left, and no
-   pair is compared whose two sides are already connected. A pivot leaves its bucket once it has met
+   that no text of the bucket can be similar enough. Then the most central member (that with the
+   fewest shingles of its own), the pivot, is compared with every other, then more pivots (32, 1024, ...) with the members that are left, and no
+   pair is compared whose two sides are already connected. Large buckets are dealt to chunks. A pivot leaves its bucket once it has met
    all the others, a bucket is done when its members are in one component. So every pair of a bucket
    is compared, known to be connected, or too unlike by its bound, whatever the bucket's size, and a
    group of copies costs about one row each.
@@ -35,7 +35,11 @@ ROWS = 4
 HASHES = BANDS * ROWS
 BATCH = 16
 #: A pair at the similarity threshold is lost with about this probability in the sequential test.
-MISS = 1e-6
+MISS = 1e-5
+#: Members of a bucket that one task compares with the pivots, about.
+CHUNK = 4096
+#: By so much the number of pivots grows with each round.
+MORE_PIVOTS = 32
 #: Similarity of at least 75 in 100.
 PERCENT = 75
 
@@ -141,57 +145,111 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> tuple[int, ...]
     return tuple(kept)
 
 
-def sequential_test(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which rows of two signature matrices survive all batches. Dropped rows cost no more."""
-    alive = np.arange(len(left))
-    matches = np.zeros(len(left), np.int64)
-    for i, least in enumerate(least_matches()):
-        batch = slice(i * BATCH, (i + 1) * BATCH)
-        matches[alive] += (left[alive, batch] == right[alive, batch]).sum(axis=1)
+def sequential_test(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows ``i`` of one and ``j`` of another signature matrix survive all batches.
+
+    Dropped pairs cost no more.
+    """
+    alive = np.arange(len(i))
+    matches = np.zeros(len(i), np.int64)
+    for k, least in enumerate(least_matches()):
+        batch = slice(k * BATCH, (k + 1) * BATCH)
+        matches[alive] += (left[i[alive], batch] == right[j[alive], batch]).sum(axis=1)
         alive = alive[matches[alive] >= least]
-    out = np.zeros(len(left), bool)
+    out = np.zeros(len(i), bool)
     out[alive] = True
     return out
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_MEMBER = ("bucket", "chunk", "is_pivot", "band", "node", "root", "n", "own")
+
 
+def _possible(pivot: dict, member: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of pairs that are not connected yet and that their sizes allow to be similar enough."""
+    p, m = (lambda c: pivot[c][:, None]), (lambda c: member[c][None, :])
+    shared = np.minimum(p("n") - p("own"), m("n") - m("own"))
+    later = (m("own") > p("own")) | (m("own") == p("own")) & (m("node") > p("node"))
+    return np.nonzero(later & (p("root") != m("root")) & (100 * shared >= PERCENT * (p("n") + m("n") - shared)))
 
-def _survivors(batches: BatchesIn) -> Batches:
+
+def _compare(pivot: dict, member: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the bucket that survive the sequential test.
+
+    A pair that shares several bands is left to the bucket of the first.
+    """
+    left, right = [], []
+    for low in range(0, len(pivot["node"]), 64):
+        some = {c: x[low : low + 64] for c, x in pivot.items()}
+        i, j = _possible(some, member)
+        for start in range(0, len(i), 1 << 14):
+            a, b = i[start : start + (1 << 14)], j[start : start + (1 << 14)]
+            keep = np.flatnonzero(sequential_test(some["sig"], member["sig"], a, b))
+            a, b = a[keep], b[keep]
+            same = (some["sig"][a] == member["sig"][b]).reshape(-1, BANDS, ROWS).all(axis=2)
+            first = same.argmax(axis=1) == member["band"][b]
+            left.append(some["node"][a[first]])
+            right.append(member["node"][b[first]])
+    none = np.empty(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _bucket_pairs(batches: BatchesIn) -> Batches:
+    """Rows come by bucket and chunk, pivots first; members pass by in batches."""
+    now, pivots = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        left, right = (
-            batch.column(batch.schema.get_field_index(c)).flatten().to_numpy().reshape(-1, HASHES)
-            for c in ("sig_a", "sig_b")
-        )
-        yield batch.select(["a", "b"]).filter(pa.array(sequential_test(left, right)))
-
-
-def _large_enough(size_a, size_b, percent: int):
-    return 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
+        rows = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in _MEMBER}
+        rows["sig"] = batch.column(batch.schema.get_field_index("sig")).flatten().to_numpy().reshape(-1, HASHES)
+        owner = np.stack([rows["bucket"], rows["chunk"].astype(np.int64), rows["is_pivot"].astype(np.int64)])
+        ends = np.flatnonzero((owner[:, 1:] != owner[:, :-1]).any(axis=0)) + 1
+        found = []
+        for low, high in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+            part = {c: x[low:high] for c, x in rows.items()}
+            group = (part["bucket"][0], part["chunk"][0])
+            if group != now:
+                now, pivots = group, []
+            if part["is_pivot"][0]:
+                pivots.append(part)
+            elif pivots:
+                if len(pivots) > 1:
+                    pivots = [{c: np.concatenate([p[c] for p in pivots]) for c in part}]
+                found.append(_compare(pivots[0], part))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR)
+
+
+def _candidates(rest: DataFrame, signatures: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of this round's pivots with the other members that survive the sequential
+    test, and the pivots. A large bucket's members are dealt to chunks, its pivots go to each."""
+    chosen = written(
+        rest.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("own", "node")))
+        .where(F.col("rank") <= pivots)
+        .drop("rank"),
+        "pivots",
+    )
+    chunks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    members = rest.join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    own = chosen.join(chunks, "bucket").select(*chosen.columns, "chunks", every)
+    rows = members.withColumn("is_pivot", F.lit(False)).unionByName(own.withColumn("is_pivot", F.lit(True)))
+    pairs = (
+        rows.join(signatures, "node")
+        .select(*_MEMBER, "sig")
+        .repartition("bucket", "chunk")
+        .sortWithinPartitions("bucket", "chunk", F.desc("is_pivot"))
+        .mapInArrow(_bucket_pairs, "a long, b long")
+    )
+    return pairs.distinct(), chosen
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingle sets overlap enough. One member's set travels to the pivot's."""
-    sides = [
-        classes.select(
-            F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")
-        )
-        for side in "ab"
-    ]
-    survivors = (
-        pairs.join(sides[1], "b")
-        .join(sides[0], "a")
-        .where(_large_enough(F.col("n_a"), F.col("n_b"), PERCENT))
-        .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_survivors, "a long, b long")
-        .distinct()
-    )
     left, right = (sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return survivors.join(right, "b").join(left, "a").where(100 * common >= PERCENT * union).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(100 * common >= PERCENT * union).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,19 +282,18 @@ def _placed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where("node is not null"),
         "classes",
     )
-    band = F.explode(
-        F.array(*[F.xxhash64(F.lit(i), *[F.col("sig")[i * ROWS + j] for j in range(ROWS)]) for i in range(BANDS)])
-    )
-    bands = classes.select(band.alias("bucket"), "node")
+    keys = [F.xxhash64(F.lit(i), *[F.col("sig")[i * ROWS + j] for j in range(ROWS)]) for i in range(BANDS)]
+    bands = classes.select(F.posexplode(F.array(*keys)).alias("band", "bucket"), "node")
     shared = (
         bands.groupBy("bucket")
-        .agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-        .where("pivot < last")
-        .drop("last")
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        .where("low < high")
+        .select("bucket")
     )
     # Buckets of one class need no more thought; few rows are left.
-    members = written(bands.join(shared, "bucket").select("bucket", "node"), "buckets")
+    members = written(bands.join(shared, "bucket", "left_semi"), "buckets")
     live = members.select("node").distinct()
+    signatures = written(classes.join(live, "node", "left_semi").select("node", "sig"), "live-signatures")
     sets = written(
         plain.join(live, plain["doc_id"] == live["node"], "left_semi")
         .dropDuplicates(["doc_id", "text_key"])
@@ -250,28 +307,13 @@ def _placed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rest = written(_unfinished(rest, roots), "buckets")
         if rest.isEmpty():
             break
-        chosen = (
-            rest.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*_CENTRAL)))
-            .where(F.col("rank") <= pivots)
-            .select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "own")])
-        )
-        later = F.struct("own", "node") > F.struct("own_a", "node_a")
-        shared = F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a"))
-        possible = 100 * shared >= PERCENT * (F.col("n") + F.col("n_a") - shared)
-        pairs = (
-            rest.join(chosen, "bucket")
-            .where((F.col("root") != F.col("root_a")) & later & possible)
-            .select(F.col("node_a").alias("a"), F.col("node").alias("b"))
-            .distinct()
-        )
-        found = written(_verified(pairs, classes, sets), "links")
-        last = chosen.groupBy("bucket").agg(F.max(F.struct("own_a", "node_a")).alias("last"))
-        rest = rest.join(last, "bucket").where(F.struct(F.col("own").alias("own_a"), F.col("node").alias("node_a")) > F.col("last"))
-        rest = rest.select("bucket", "node", "n", "own")
+        pairs, chosen = _candidates(rest, signatures, pivots)
+        found = written(_verified(pairs, sets), "links")
+        rest = rest.join(chosen.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("root")
         if not found.isEmpty():
             known = roots.select(F.col("root").alias("a"), F.col("node").alias("b")) if roots else found
             roots = connected_components(known.unionByName(found))
-        pivots *= 4
+        pivots *= MORE_PIVOTS
 
     if roots is None:
         roots = classes.where(F.lit(False)).select("node", F.col("node").alias("root"))
@@ -285,12 +327,8 @@ def _placed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-#: The order of pivots: texts of which other texts have most of the shingles come first.
-_CENTRAL = ("own", "node")
-
-
 def _plausible(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(bucket, node, n, own)`` without members that cannot be linked to any other of their bucket.
+    """``(bucket, band, node, n, own)`` without members that cannot be linked to any other of their bucket.
 
     ``own`` counts the shingles that no other text has. They are in no intersection, so with at most
     ``n - own`` in common and a union of at least ``n`` plus what the smallest member has beyond that,
@@ -310,13 +348,13 @@ def _plausible(members: DataFrame, sets: DataFrame) -> DataFrame:
     least = known.groupBy("bucket").agg(F.min("n").alias("least"))
     common = F.col("n") - F.col("own")
     enough = 100 * common >= PERCENT * (F.col("n") + F.greatest("least", common) - common)
-    return known.join(least, "bucket").where(enough).select("bucket", "node", "n", "own")
+    return known.join(least, "bucket").where(enough).select("bucket", "band", "node", "n", "own")
 
 
 def _unfinished(rest: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members, with their component, of the buckets that still hold more than one component."""
     placed = rest.join(roots, "node", "left") if roots else rest.withColumn("root", F.col("node"))
-    placed = placed.select("bucket", "node", "n", "own", F.coalesce("root", "node").alias("root"))
+    placed = placed.select("bucket", "band", "node", "n", "own", F.coalesce("root", "node").alias("root"))
     several = (
         placed.groupBy("bucket")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"))

@@ -94,6 +94,11 @@ def test_sequential_test_keeps_what_is_similar():
 
     random.seed(1)
     lost = 0
+    one = np.zeros(1, int)
+
+    def survives(x, y):
+        return near_dedup.sequential_test(near_dedup.signature(x)[None], near_dedup.signature(y)[None], one, one)[0]
+
     for _ in range(300):
         base = [str(random.random()) for _ in range(200)]
         other = base[:]
@@ -102,7 +107,22 @@ def test_sequential_test_keeps_what_is_similar():
         a, b = (near_dedup.shingle_set(" ".join(w)) for w in (base, other))
         similar = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert similar >= 0.75
-        lost += not near_dedup.sequential_test(near_dedup.signature(a)[None], near_dedup.signature(b)[None])[0]
+        lost += not survives(a, b)
     assert lost == 0
     unlike = near_dedup.shingle_set(" ".join(str(random.random()) for _ in range(200)))
-    assert not near_dedup.sequential_test(near_dedup.signature(a)[None], near_dedup.signature(unlike)[None])[0]
+    assert not survives(a, unlike)
+
+
+def test_a_large_group_of_unlike_copies(spark, monkeypatch):
+    """Copies that resemble a base, many of them too far from each other."""
+    monkeypatch.setattr(near_dedup, "CHUNK", 40)
+    monkeypatch.setattr(near_dedup, "MORE_PIVOTS", 3)
+    random.seed(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for k in random.sample(range(120), random.randint(0, 9)):
+            text[k] = f"n{i}-{k % 3}"
+        rows.append((1000 - i, " ".join(text)))
+    assert result(spark, rows) == brute_force(rows)
