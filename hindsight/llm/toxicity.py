@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, BatchesIn, column, words
+from .common import Batches, BatchesIn, column, list_array, words
 
 #: Labelled documents that the model is fitted on, at most. The driver holds their features.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 8_000
 #: Features of one training document that the driver holds: beyond this, words from all over the text.
-MAX_TRAINING_FEATURES = 4_000
+MAX_TRAINING_FEATURES = 2_000
 HASH_BITS = 20
 #: A feature stays if it is in so many training documents, and deviates by so many standard errors.
 LEAST_DOCUMENTS = 4
@@ -65,60 +65,73 @@ def exceed(score, thresholds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(thresholds - np.asarray(score)[..., None], -40, 40)))
 
 
-def select_features(rows: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
+class Examples(NamedTuple):
+    """Features of training documents, one after the other: document, feature and count of each."""
+
+    document: np.ndarray
+    feature: np.ndarray
+    count: np.ndarray
+    grades: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: Iterable[int]) -> "Examples":
+        sizes = [len(f) for f, _ in rows]
+        both = [np.concatenate([r[k] for r in rows]) if rows else np.empty(0, np.int32) for k in range(2)]
+        return cls(np.repeat(np.arange(len(rows), dtype=np.int32), sizes), *both, np.asarray(list(grades), np.int64))
+
+
+def select_features(data: Examples) -> np.ndarray:
     """Features whose documents' mean grade differs significantly from that of all."""
-    index = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n = np.bincount(index, minlength=1 << HASH_BITS)
-    total = np.bincount(index, weights=grades[owner].astype(float), minlength=1 << HASH_BITS)
-    spread = grades.std()
+    spread = data.grades.std() if len(data.grades) else 0
     if not spread:
         return np.empty(0, np.int64)
-    z = (total - n * grades.mean()) / (spread * np.sqrt(np.maximum(n, 1)))
+    n = np.bincount(data.feature, minlength=1 << HASH_BITS)
+    total = np.bincount(data.feature, weights=data.grades[data.document], minlength=1 << HASH_BITS)
+    z = (total - n * data.grades.mean()) / (spread * np.sqrt(np.maximum(n, 1)))
     return np.flatnonzero((n >= LEAST_DOCUMENTS) & (np.abs(z) >= SIGNIFICANT))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: Iterable[int], penalty: float = 1e-3, steps: int = 400) -> OrdinalModel:
-    """Penalised maximum likelihood by Adam on all rows at once.
+def fit(data: Examples, penalty: float = 1e-3, steps: int = 400) -> OrdinalModel:
+    """Penalised maximum likelihood by Adam on all examples at once.
 
-    Without rows, or with one grade only, there are no weights and the thresholds are those of
+    Without examples, or with one grade only, there are no weights and the thresholds are those of
     the grades' frequencies, which start from few grades above 0.
     """
-    grades = np.asarray(list(grades), np.int64)
+    grades = data.grades
     top = int(grades.max(initial=0))
     frequent = np.array([(np.sum(grades > k) + 0.5) / (len(grades) + 10) for k in range(max(1, top))])
     thresholds = np.maximum.accumulate(np.log((1 - frequent) / frequent) + 1e-6 * np.arange(len(frequent)))
-    kept = select_features([f for f, _ in rows], grades)
+    kept = select_features(data)
     if not len(kept):
         return OrdinalModel(kept, np.empty(0, np.float32), thresholds)
 
     place = np.full(1 << HASH_BITS, -1)
     place[kept] = np.arange(len(kept))
-    owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    feature = place[np.concatenate([f for f, _ in rows])]
-    value = 1 + np.log(np.concatenate([c for _, c in rows]))
-    owner, feature, value = (x[feature >= 0] for x in (owner, feature, value))
+    used = place[data.feature] >= 0
+    owner, feature, value = data.document[used], place[data.feature[used]], 1 + np.log(data.count[used])
+    n = len(grades)
     weight = np.zeros(len(kept))
     # Thresholds as the first and the logarithms of the steps, so that they stay in order.
     free = np.concatenate([thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))])
-    state = [np.zeros(len(kept) + len(free)), np.zeros(len(kept) + len(free))]
-    at = np.arange(len(rows))
+    mean, square = np.zeros(len(kept) + len(free)), np.zeros(len(kept) + len(free))
+    at = np.arange(n)
     for step in range(1, steps + 1):
         cuts = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-        score = np.bincount(owner, weights=weight[feature] * value, minlength=len(rows))
-        above = np.hstack([np.ones((len(rows), 1)), exceed(score, cuts), np.zeros((len(rows), 1))])
+        score = np.bincount(owner, weights=weight[feature] * value, minlength=n)
+        above = np.hstack([np.ones((n, 1)), exceed(score, cuts), np.zeros((n, 1))])
         chance = np.maximum(above[at, grades] - above[at, grades + 1], 1e-12)
         slope = above * (1 - above)
-        d_score = -(slope[at, grades] - slope[at, grades + 1]) / chance / len(rows)
+        d_score = -(slope[at, grades] - slope[at, grades + 1]) / chance / n
         d_cut = np.zeros_like(above)
-        np.add.at(d_cut, (at, grades), slope[at, grades] / chance / len(rows))
-        np.add.at(d_cut, (at, grades + 1), -slope[at, grades + 1] / chance / len(rows))
+        np.add.at(d_cut, (at, grades), slope[at, grades] / chance / n)
+        np.add.at(d_cut, (at, grades + 1), -slope[at, grades + 1] / chance / n)
         d_cuts = d_cut[:, 1:-1].sum(axis=0)
         d_free = np.array([d_cuts[i:].sum() * (np.exp(free[i]) if i else 1) for i in range(len(free))])
-        gradient = np.concatenate([np.bincount(feature, weights=d_score[owner] * value, minlength=len(kept)) + penalty * weight, d_free])
-        state[0] = 0.9 * state[0] + 0.1 * gradient
-        state[1] = 0.999 * state[1] + 0.001 * gradient**2
-        move = 0.05 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-9)
+        d_weight = np.bincount(feature, weights=d_score[owner] * value, minlength=len(kept)) + penalty * weight
+        gradient = np.concatenate([d_weight, d_free])
+        mean = 0.9 * mean + 0.1 * gradient
+        square = 0.999 * square + 0.001 * gradient**2
+        move = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
         weight, free = weight - move[: len(kept)], free - move[len(kept) :]
     return OrdinalModel(kept, weight.astype(np.float32), np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
 
@@ -132,11 +145,12 @@ def _featurized(batches: BatchesIn) -> Batches:
                 # Hashes are in no order of the text: an even choice of all its features.
                 some = np.linspace(0, len(index) - 1, MAX_TRAINING_FEATURES).astype(int)
                 index, count = index[some], count[some]
-            rows.append((grade, index.astype(np.int32).tolist(), count.astype(np.int32).tolist()))
+            rows.append((grade, index.astype(np.int32), count.astype(np.int32)))
         if rows:
             grades, indexes, counts = zip(*rows, strict=True)
+            ends = np.cumsum([0, *map(len, indexes)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grades, pa.int64()), pa.array(indexes, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
+                [pa.array(grades, pa.int64()), *[list_array(ends, pa.array(np.concatenate(x))) for x in (indexes, counts)]],
                 names=["grade", "feature", "n"],
             )
 
@@ -160,13 +174,10 @@ def train(documents: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABEL
         .mapInArrow(_featurized, "grade long, feature array<int>, n array<int>")
     ).toArrow()
     if not labelled.num_rows:
-        return fit([], [])
+        return fit(Examples.of([], []))
     feature, count = (labelled.column(c).combine_chunks() for c in ("feature", "n"))
-    ends = feature.offsets.to_numpy()
-    index, counts = feature.flatten().to_numpy().astype(np.int64), count.flatten().to_numpy().astype(float)
-    ends = ends - ends[0]
-    rows = [(index[a:b], counts[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return fit(rows, labelled.column("grade").to_numpy())
+    owner = np.repeat(np.arange(labelled.num_rows, dtype=np.int32), np.diff(feature.offsets.to_numpy()))
+    return fit(Examples(owner, feature.flatten().to_numpy(), count.flatten().to_numpy(), labelled.column("grade").to_numpy()))
 
 
 def _log_odds(text: str | None, weights: np.ndarray) -> float:

@@ -45,7 +45,7 @@ def test_thresholds_share_weights_and_stay_ordered():
         g = random.choice([0, 1, 2, 3])
         rows.append((np.array([1, 2 + random.randrange(50)]) if g else np.array([2 + random.randrange(50)]), np.array([3**g, 1][: 1 + (g > 0)])))
         grades.append(g)
-    model = toxicity.fit(rows, grades)
+    model = toxicity.fit(toxicity.Examples.of(rows, grades))
     assert (np.diff(model.thresholds) > 0).all() and 1 in model.feature
     assert model.weight[list(model.feature).index(1)] > 0
     above = toxicity.exceed(np.array([-1.0, 0, 3]), model.thresholds)
@@ -56,7 +56,7 @@ def test_gradient_climbs_to_the_frequencies():
     rows = [(np.array([i % 7]), np.array([1])) for i in range(700)]
     grades = [0] * 500 + [1] * 150 + [2] * 50
     random.Random(0).shuffle(grades)
-    model = toxicity.fit(rows, grades)
+    model = toxicity.fit(toxicity.Examples.of(rows, grades))
     above = toxicity.exceed(np.array([0.0]), model.thresholds)[0]
     assert above == pytest.approx([200 / 700, 50 / 700], abs=0.01)
 
