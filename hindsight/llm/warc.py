@@ -27,6 +27,8 @@ from .common import Batches, BatchesIn, column, shared_path, written
 #: Plain bytes after which a frame, and compressed bytes after which a bundle is closed.
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
+#: Plain bytes that one task reads back, about.
+READ_BYTES = 1 << 25
 #: Payloads smaller than this are never replaced by a revisit.
 MIN_REVISIT_BYTES = 0
 
@@ -271,5 +273,8 @@ def read_archive(index: DataFrame) -> DataFrame:
     ``payload`` is null for revisits; ``payload_bytes`` and ``payload_digest`` are those of the full
     payload for either type.
     """
-    frames = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
+    # The index is small, what it points at is not: tasks by the records' size, not by the index's.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // READ_BYTES))
+    frames = index.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "start")
     return frames.mapInArrow(_read, _READ_DDL)
