@@ -1,16 +1,48 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input.
+
+Toxic documents go, one of each group of near-duplicates stays, personal data is masked, sources are
+mixed to their targets (rows left out, kept or repeated), and what is left is packed. All but the
+last stage return the columns of ``documents``.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hindsight.llm.common import shared_path, table
+from hindsight.llm.mixing import mixed_documents
 from hindsight.llm.near_dedup import without_near_duplicates
+from hindsight.llm.pii import masked_documents
+from hindsight.llm.queries import packed_pieces
+from hindsight.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return masked_documents(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs, F.array("source"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed_pieces(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("pii", pii),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 #: SQL cannot express the stages; tests compare them with plain versions.
 ORACLE_SQL = None
