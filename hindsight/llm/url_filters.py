@@ -21,6 +21,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Segments of a path that are told apart; deeper ones count as one.
 DEPTH = 4
 #: A node with more branches than this, on average seen less than ``RARE`` times, is variable.
@@ -79,7 +81,7 @@ def shape_of(path: Column) -> Column:
 
 def _templates(shapes: DataFrame) -> DataFrame:
     """``(host, shape, template)``: each shape with its place in the tree."""
-    tree = shapes.withColumn("template", F.lit(""))
+    tree = written(shapes.withColumn("template", F.lit("")), "shapes")
     for level in range(DEPTH + 1):
         segment = F.get("shape", F.lit(level))
         tree = tree.withColumn("segment", F.coalesce(segment, F.lit("")))
@@ -98,9 +100,9 @@ def _templates(shapes: DataFrame) -> DataFrame:
             "host", "template", "segment", F.when(own, F.col("segment")).otherwise("*").alias("kept")
         )
         step = F.when(F.col("kept") == "", "").otherwise(F.concat(F.lit("/"), "kept"))
-        tree = tree.join(decided, ["host", "template", "segment"]).withColumn(
-            "template", F.concat("template", step)
-        ).drop("segment", "kept")
+        tree = tree.join(decided, ["host", "template", "segment"]).withColumn("template", F.concat("template", step))
+        # Each level refers to the one above several times: written, the plan stays small.
+        tree = written(tree.drop("segment", "kept"), "templates")
     return tree
 
 
