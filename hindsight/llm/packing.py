@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, BatchesIn, column, written
+from .common import Batches, BatchesIn, column, small, written
 from .subwords import encoder
 
 SEQUENCE = 4096
@@ -123,7 +123,7 @@ def tokenized(documents: DataFrame, path: str, end_id: int, source: Column, by_w
     def encode(batches: BatchesIn) -> Batches:
         own = encoder(path, by_word)
         end = np.array([end_id], own.dtype).tobytes()
-        for batch in batches:
+        for batch in small(batches):
             ids = [x + end for x in own.ids(column(batch, "text"))]
             sizes = [len(x) // own.dtype.itemsize for x in ids]
             yield pa.RecordBatch.from_arrays(
@@ -210,9 +210,10 @@ def pack(
         shares = [r["n"] for r in totals]
     schedule = Schedule([r["n"] for r in totals], shares)
 
+    width = encoder(tokenizer, by_word).dtype
+
     def cut(batches: BatchesIn) -> Batches:
-        width = encoder(tokenizer, by_word).dtype
-        for batch in batches:
+        for batch in small(batches, 2000):
             docs, sources, sizes, packed, starts = (column(batch, c) for c in ("doc_id", "source", "n", "ids", "start"))
             if not docs:
                 continue

@@ -6,7 +6,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Distinct words whose ids a Python worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
+#: A private-use character: between words it tells their ids apart.
+_BETWEEN = "\ue000"
 
 
 class Encoder:
@@ -23,11 +25,33 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.between = np.frombuffer(self._encoded([_BETWEEN])[0], self.dtype)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _encoded_words(self, some: list[bytes]) -> list[bytes]:
+        """Ids of each word. Words go through the tokenizer together, which costs half as much."""
+        if not len(self.between) or any(_BETWEEN.encode() in word for word in some):
+            return self._encoded([word.decode() for word in some])
+        out, mark = [], f" {_BETWEEN} "
+        for low in range(0, len(some), 1000):
+            group = some[low : low + 1000]
+            ids = self.tokenizer.encode_batch_fast([b" ".join(group).decode().replace(" ", mark)], add_special_tokens=False)
+            ids = np.array(ids[0].ids, self.dtype)
+            n = len(self.between)
+            at = np.ones(max(0, len(ids) - n + 1), bool)
+            for i, value in enumerate(self.between):
+                at &= ids[i : len(ids) - n + 1 + i] == value
+            cuts = np.flatnonzero(at)
+            if len(cuts) != len(group) - 1:
+                raise ValueError("the tokenizer joins what white space separates; use by_word=False")
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            starts, ends = [0, *((cuts + n) * width).tolist()], [*(cuts * width).tolist(), len(raw)]
+            out += [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+        return out
+
     def split(self, text: str | None) -> list[bytes]:
         """The text's words. Capitals go where the tokenizer lowers them anyway, for more recurrence,
         unless that could make the text spell a special token."""
@@ -48,10 +72,10 @@ class Encoder:
     def ids_of_words(self, texts: list[list[bytes]]) -> list[bytes]:
         """Ids of texts that are split into words already."""
         out = []
-        for low in range(0, len(texts), 1000):
-            some = texts[low : low + 1000]
-            new = list(set().union(*some) - self.known.keys())
-            self.known.update(zip(new, self._encoded([word.decode() for word in new]), strict=True))
+        for low in range(0, len(texts), 500):
+            some = texts[low : low + 500]
+            new = [word for word in set().union(*some) if word not in self.known]
+            self.known.update(zip(new, self._encoded_words(new), strict=True))
             out += [b"".join(map(self.known.__getitem__, text)) for text in some]
             # Frequent words come early, so the first to come stay.
             for word in new[: max(0, len(self.known) - KEPT_WORDS)]:

@@ -21,7 +21,7 @@ def plain():
 
 TEXTS = [
     None, "", " ", "The QUICK brown-fox's isn't we'll\x0bx\x0cy\x1cz\x85w\u00a0v", "e\u0301 É ﬁ İ ΑΣ Σ 中文字 👍🏽", "<|endoftext|> <|ENDOFTEXT|> a<|startoftext|>B",
-    "x" * 5000, "12,345.67 %%% don't", "a\u200bb\ufeff", "K Å",
+    "a\ue000b \ue000 c", "private \ue001 use", "x" * 5000, "12,345.67 %%% don't", "a\u200bb\ufeff", "K Å",
 ]
 
 
