@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, nearest, packing, pii, toxicity, url_filters, warc
+from . import fingerprints, lm_scoring, mixing, near_dedup, nearest, packing, pii, toxicity, url_filters, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,10 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"))
 
 
+def op3_attention_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ def queries() -> dict:
         for query in (
             op1_minhash_near_dedup,
             op2_mixture_packing,
+            op3_attention_lm_scoring,
             op4_weak_supervision_pii,
             op5_ordinal_toxicity,
             op6_flow_mixing,
