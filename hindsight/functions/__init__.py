@@ -1,15 +1,15 @@
-from .checks import require_columns, require_positive, require_same_kind, require_types
-from .days import epoch_day, midnight
-from .sequences import newest_slice, nonzero_count, pad_right
+from .checks import require_columns, require_same_kind, require_types, whole_number
+from .days import epoch_day, midnight, text_day
+from .sequences import nonzero_count, pad_right
 
 __all__ = [
     "epoch_day",
     "midnight",
-    "newest_slice",
     "nonzero_count",
     "pad_right",
     "require_columns",
-    "require_positive",
     "require_same_kind",
     "require_types",
+    "text_day",
+    "whole_number",
 ]

@@ -37,8 +37,12 @@ def require_same_kind(column: str, frames: dict[str, DataFrame]) -> None:
         raise ValueError(f"{column} differs in type between frames: {kinds}")
 
 
-def require_positive(**values: int) -> None:
-    """``max_seq`` style parameters: whole numbers of at least one."""
-    for name, value in values.items():
-        if int(value) != value or value < 1:
-            raise ValueError(f"{name} must be a whole number >= 1, got {value!r}")
+def whole_number(name: str, value: int, least: int) -> int:
+    """``value`` as an ``int``. Whole floats pass; booleans, fractions and anything else do not."""
+    try:
+        whole = None if isinstance(value, bool) else int(value)
+    except (TypeError, ValueError, OverflowError):
+        whole = None
+    if whole is None or whole != value or whole < least:
+        raise ValueError(f"{name} must be a whole number >= {least}, got {value!r}")
+    return whole

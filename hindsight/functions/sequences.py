@@ -15,13 +15,3 @@ def pad_right(array: Column, length: int, element_type: str) -> Column:
     entries = F.slice(F.coalesce(array, F.array().cast(array_type)).cast(array_type), 1, length)
     zeros = F.array_repeat(F.lit(0).cast(element_type), F.lit(length) - F.size(entries))
     return F.concat(entries, zeros)
-
-
-def newest_slice(current: Column, previous: Column, skip: Column, count: Column) -> Column:
-    """``count`` entries of ``current ++ previous`` after leaving out the first ``skip`` ones.
-
-    ``skip`` is smaller than the size of ``current``; ``previous`` may be null.
-    """
-    from_current = F.least(count, F.size(current) - skip)
-    tail = F.coalesce(F.slice(previous, F.lit(1), count - from_current), F.slice(current, 1, 0))
-    return F.concat(F.slice(current, skip + 1, from_current), tail)

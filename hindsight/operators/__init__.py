@@ -1,6 +1,6 @@
 from .actions import normalize_actions
 from .attach import attach_by_customer_day
-from .history import cap_daily, keyed_history, thin_hot_customers
+from .history import cap_daily, keyed_history
 from .impressions import explode_impressions, impression_keys
 from .pruning import prune_logs
 from .window_activity import window_activity
@@ -13,6 +13,5 @@ __all__ = [
     "keyed_history",
     "normalize_actions",
     "prune_logs",
-    "thin_hot_customers",
     "window_activity",
 ]

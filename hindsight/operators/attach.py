@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import COL_CUSTOMER_ID, COL_DT
-from ..functions import epoch_day
+from ..functions import text_day
 
 
 def attach_by_customer_day(rows: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -14,5 +14,5 @@ def attach_by_customer_day(rows: DataFrame, keyed: DataFrame) -> DataFrame:
     execution may split a hot key's rows at will. Rows without a customer match nothing; they get
     a made-up day each map task to spread them, or they would all hash to one partition.
     """
-    day = F.when(F.col(COL_CUSTOMER_ID).isNull(), F.spark_partition_id()).otherwise(epoch_day(F.col(COL_DT)))
+    day = F.when(F.col(COL_CUSTOMER_ID).isNull(), F.spark_partition_id()).otherwise(text_day(rows, COL_DT))
     return rows.withColumn("day", day).join(keyed, [COL_CUSTOMER_ID, "day"], "left").drop("day")

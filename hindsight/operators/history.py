@@ -4,81 +4,103 @@ The window of a key is ``[day - lookback, day)``, whole calendar days. Instead o
 with every action of its window and ranking the pairs, actions get a position on their customer's
 time line and a key's history is a *position range* of at most ``max_seq`` entries:
 
-1. ``cap_daily`` bounds what any customer brings into one task: of each day (and split, see there)
-   only the ``max_seq`` newest actions go on. A window holds whole days, so an action that is not
-   among the newest ``max_seq`` of its own day is not among the newest ``max_seq`` of any window:
-   nothing that could be in a result is lost. ``thin_hot_customers`` does so for the customers
-   that need it only, which saves a shuffle of the others at the price of reading the logs again.
-2. One shuffle brings actions and keys of a customer together. A running count gives each action
-   its position, and each key the positions its window starts and ends at.
-3. Actions are collected in blocks of ``max_seq`` positions. A key's range reaches into the block
-   its newest entry is in and at most the one before, and is sliced out of the two.
-
-No pair of key and action is built; work is linear in actions, keys and output entries.
+1. ``cap_daily`` keeps the ``max_seq`` newest actions of each customer's day. A window holds whole
+   days, so an action that is not among the newest ``max_seq`` of its own day is not among the
+   newest ``max_seq`` of any window: nothing that could be in a result is lost.
+2. What is left is counted per customer and day. Only these daily counts of a customer meet in one
+   task; running sums over them give each day its offset and each key its positions.
+3. An action's position is its day's offset plus its place within the day. Actions are collected in
+   blocks of a few ``max_seq`` positions, overlapping by ``max_seq``, so that a key's range is a slice
+   of the one block that its newest entry is in.
+
+No pair of key and action is built; work is linear in actions, keys and output entries. Days and
+blocks of a customer lie in different tasks, so a hot customer is split however many actions it has:
+no step brings the actions of a customer together.
 """
 
-from pyspark.sql import DataFrame, Window
+from math import isqrt
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import COL_ACTION_TYPE, COL_CUSTOMER_ID, COL_ITEM_ID, COL_TS
-from ..functions import epoch_day, newest_slice, require_positive, require_same_kind
+from ..functions import epoch_day, require_same_kind, whole_number
 
 ORDERS = ("recent_first", "oldest_first")
 
-# Actions of one customer that a single task may sort (some 50 bytes each).
-DEFAULT_HOT_ROWS = 2_000_000
-
-# Tasks that share the work on one day of a hot customer.
-SPLITS = 16
+# Positions of a block, in ``max_seq``. One in so many actions goes to two blocks.
+BLOCK = 4
 
 
-def check_window(lookback_days: int, max_seq: int = 1) -> None:
-    require_positive(max_seq=max_seq)
-    if int(lookback_days) != lookback_days or lookback_days < 0:
-        raise ValueError(f"lookback_days must be a whole number >= 0, got {lookback_days!r}")
+def check_window(lookback_days: int, max_seq: int = 1) -> tuple[int, int]:
+    """Both parameters as integers; ``ValueError`` for anything that is not a whole number in range."""
+    return whole_number("lookback_days", lookback_days, 0), whole_number("max_seq", max_seq, 1)
 
 
 def usable_actions(actions: DataFrame) -> DataFrame:
-    """Actions that can be part of a history, with their day number."""
-    return actions.where(F.col(COL_CUSTOMER_ID).isNotNull() & F.col(COL_TS).isNotNull()).withColumn(
-        "day", epoch_day(F.col(COL_TS))
-    )
+    """Actions that can be part of a history, with their day number.
+
+    That the day is not null follows; saying so keeps the optimizer from adding it to one use of the
+    result only, and so lets all uses share one shuffle.
+    """
+    usable = actions.where(F.col(COL_CUSTOMER_ID).isNotNull() & F.col(COL_TS).isNotNull())
+    return usable.withColumn("day", epoch_day(F.col(COL_TS))).where("day is not null")
+
+
+def _splits(spark: SparkSession) -> int:
+    """Tasks that share one day of a customer. With as many map tasks as shuffle partitions, each of
+    them and the task that merges them get about the same."""
+    return isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
 
 
-def cap_daily(actions: DataFrame, max_seq: int, splits: int = SPLITS) -> DataFrame:
-    """Per customer and day, a superset of the ``max_seq`` newest actions, bounded in size.
+def cap_daily(actions: DataFrame, max_seq: int, splits: int | None = None) -> DataFrame:
+    """The ``max_seq`` newest actions of each customer and day, with their rank ``back`` (1: newest).
 
-    A split is a set of map tasks: each map task sends at most ``max_seq`` rows of a customer's day
-    on, and the splits of a day are ranked by different tasks. What is left of a customer is at
-    most ``days * splits * max_seq`` actions however hot.
+    They are ranked map-side, then by split (a set of map tasks), and what is left of the splits once
+    more by day: a task gets at most ``max_seq`` rows of a day from each map task of a split, or
+    from each split.
     """
-    newest = Window.partitionBy(COL_CUSTOMER_ID, "day", "_split").orderBy(
-        F.desc(COL_TS), F.desc(COL_ACTION_TYPE), F.desc(COL_ITEM_ID)
-    )
+    splits = splits or _splits(actions.sparkSession)
+    recency = (F.desc(COL_TS), F.desc(COL_ACTION_TYPE), F.desc(COL_ITEM_ID))
+    in_split = Window.partitionBy(COL_CUSTOMER_ID, "day", "_split").orderBy(*recency)
+    in_day = Window.partitionBy(COL_CUSTOMER_ID, "day").orderBy(*recency)
     return (
         actions.withColumn("_split", F.spark_partition_id() % splits)
-        .withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("_rank") <= max_seq)
-        .drop("_rank", "_split")
+        .withColumn("back", F.row_number().over(in_split))
+        .where(F.col("back") <= max_seq)
+        .drop("_split")
+        .withColumn("back", F.row_number().over(in_day))
+        .where(F.col("back") <= max_seq)
     )
 
 
-def thin_hot_customers(actions: DataFrame, max_seq: int, hot_rows: int) -> DataFrame:
-    """``cap_daily`` for the customers with more than ``hot_rows`` actions, the rest as they are.
+def _day_lines(daily: DataFrame, keys: DataFrame, lookback_days: int, max_seq: int) -> DataFrame:
+    """Daily counts and keys of a customer on one line: a row per day of either, with the actions
+    before it (``offset``) and how many of them are a key's history (``length``).
 
-    The counts combine map-side. At most one customer per ``hot_rows`` actions is hot: with two
-    million, the broadcast set has no more than 500 entries per billion actions. It is usually
-    empty, and adaptive execution then drops the second branch altogether. ``actions`` is read
-    again for each branch and has to give the same rows each time.
+    Days that no key can reach count nothing, so positions are gapless without them.
     """
-    hot = F.broadcast(
-        actions.groupBy(COL_CUSTOMER_ID)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > hot_rows)
-        .select(COL_CUSTOMER_ID)
+    line = Window.partitionBy(COL_CUSTOMER_ID).orderBy("day")
+    before = line.rangeBetween(Window.unboundedPreceding, -1)
+    before_window = line.rangeBetween(Window.unboundedPreceding, -(lookback_days + 1))
+    zero = F.lit(0).cast("long")
+    offset = F.coalesce(F.sum("n").over(before), zero)
+    expired = F.coalesce(F.sum("n").over(before_window), zero)
+    # With no look-back the frame is empty and nothing is reached.
+    reached = F.count_if("is_key").over(line.rangeBetween(1, lookback_days)) > 0 if lookback_days else F.lit(False)
+    return (
+        daily.withColumn("is_key", F.lit(False))
+        .unionByName(keys.select(COL_CUSTOMER_ID, "day", zero.alias("n"), F.lit(True).alias("is_key")))
+        .withColumn("n", F.when(reached, F.col("n")).otherwise(zero))
+        .select(
+            COL_CUSTOMER_ID,
+            "day",
+            "n",
+            "is_key",
+            offset.alias("offset"),
+            F.least(F.lit(max_seq), offset - expired).cast("int").alias("length"),
+        )
     )
-    thinned = cap_daily(actions.join(hot, COL_CUSTOMER_ID, "left_semi"), max_seq)
-    return actions.join(hot, COL_CUSTOMER_ID, "left_anti").unionByName(thinned)
 
 
 def keyed_history(
@@ -88,69 +110,56 @@ def keyed_history(
     lookback_days: int,
     max_seq: int,
     order: str = "recent_first",
-    hot_rows: int | None = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """``(customer_id, day, items, types)`` for each key that has a history.
 
     ``keys`` holds distinct, non-null ``(customer_id, day)``, ``actions`` normalised actions. The
     arrays are parallel and unpadded, 1 to ``max_seq`` long. Recency is ``ts``, then action type,
     then item, all descending; whatever the ``order``, the newest ``max_seq`` entries are kept.
-    The daily cap applies to customers with more than ``hot_rows`` actions. ``None`` applies it to
-    everybody, which reads the actions only once: better where they are costly to compute, but with
-    files a scan more is cheaper than a shuffle more.
+    Actions that no key can reach are dropped before they are collected.
     """
-    check_window(lookback_days, max_seq)
+    lookback_days, max_seq = check_window(lookback_days, max_seq)
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}, got {order!r}")
-
     require_same_kind(COL_CUSTOMER_ID, {"impressions": keys, "actions": actions})
-    usable = usable_actions(actions)
-    if hot_rows is None:
-        capped = cap_daily(usable, max_seq)
-    else:
-        require_positive(hot_rows=hot_rows)
-        capped = thin_hot_customers(usable, max_seq, hot_rows)
-
-    by_customer = Window.partitionBy(COL_CUSTOMER_ID)
-    # A key sorts before the actions of its own day, which its window excludes.
-    timeline = by_customer.orderBy("day", "is_action", COL_TS, COL_ACTION_TYPE, COL_ITEM_ID)
-    up_to_here = timeline.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before_window = by_customer.orderBy("day").rangeBetween(Window.unboundedPreceding, -(lookback_days + 1))
-    is_action = F.col("is_action")
-    counted = (
-        capped.withColumn("is_action", F.lit(True))
-        .unionByName(keys.withColumn("is_action", F.lit(False)), allowMissingColumns=True)
-        .withColumn("upto", F.count_if(is_action).over(up_to_here))
-        .withColumn("expired", F.count_if(is_action).over(before_window))
-        .withColumn("length", F.least(F.lit(max_seq), F.col("upto") - F.col("expired")).cast("int"))
-    )
 
+    capped = cap_daily(usable_actions(actions), max_seq)
+    daily = capped.groupBy(COL_CUSTOMER_ID, "day").agg(F.count("*").alias("n"))
+    lines = _day_lines(daily, keys, lookback_days, max_seq)
+
+    # Positions count from 0 at the oldest action. A block's last ``max_seq`` go to the next one, too, so
+    # that a key finds all its entries, positions [offset - length, offset), in the block of its newest.
+    size = BLOCK * max_seq
+    days = lines.where("not is_key and n > 0").select(COL_CUSTOMER_ID, "day", "n", "offset")
+    position = F.col("position")
+    block = F.expr(f"position div {size}")
+    late = position % size >= size - max_seq
+    placed = (
+        capped.join(days, [COL_CUSTOMER_ID, "day"])
+        .withColumn("position", F.col("offset") + F.col("n") - F.col("back"))
+        .select(
+            COL_CUSTOMER_ID,
+            F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"),
+            F.struct(position, COL_ITEM_ID, COL_ACTION_TYPE).alias("entry"),
+        )
+    )
+    asking = lines.where("is_key and length > 0").select(
+        COL_CUSTOMER_ID, F.expr(f"(offset - 1) div {size}").alias("block"), F.struct("day", "offset", "length").alias("key")
+    )
     blocks = (
-        counted.where(is_action | (F.col("length") > 0))
-        .withColumn("block", F.expr(f"(upto - 1) div {int(max_seq)}"))
+        placed.unionByName(asking, allowMissingColumns=True)
         .groupBy(COL_CUSTOMER_ID, "block")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.when(is_action, F.struct("upto", COL_ITEM_ID, COL_ACTION_TYPE))),
-                asc=False,
-            ).alias("newest"),
-            F.collect_list(F.when(~is_action, F.struct("day", "upto", "length"))).alias("keys"),
-        )
-        .withColumn("before", F.lag("newest").over(by_customer.orderBy("block")))
+        .agg(F.sort_array(F.collect_list("entry"), asc=False).alias("newest"), F.collect_list("key").alias("keys"))
     )
-
     # Entries of the block that are younger than the key.
-    skip = (F.col("newest")[0]["upto"] - F.col("key.upto")).cast("int")
-    entries = newest_slice(F.col("newest"), F.col("before"), skip, F.col("key.length"))
-    if order == "oldest_first":
-        entries = F.reverse(entries)
-    return (
-        blocks.select(COL_CUSTOMER_ID, F.explode("keys").alias("key"), "newest", "before")
-        .select(COL_CUSTOMER_ID, F.col("key.day").alias("day"), entries.alias("entries"))
-        .select(
-            COL_CUSTOMER_ID,
-            "day",
-            F.col(f"entries.{COL_ITEM_ID}").alias("items"),
-            F.col(f"entries.{COL_ACTION_TYPE}").alias("types"),
-        )
+    skip = (F.col("newest")[0]["position"] + 1 - F.col("key.offset")).cast("int")
+    parts = blocks.select(COL_CUSTOMER_ID, F.explode("keys").alias("key"), "newest").select(
+        COL_CUSTOMER_ID, F.col("key.day").alias("day"), F.slice("newest", skip + 1, F.col("key.length")).alias("entries")
+    )
+    entries = F.reverse("entries") if order == "oldest_first" else F.col("entries")
+    return parts.select(COL_CUSTOMER_ID, "day", entries.alias("entries")).select(
+        COL_CUSTOMER_ID,
+        "day",
+        F.col(f"entries.{COL_ITEM_ID}").alias("items"),
+        F.col(f"entries.{COL_ACTION_TYPE}").alias("types"),
     )

@@ -15,7 +15,7 @@ from ..constants import (
     COL_ITEM_ID,
     COL_RANKING_ID,
 )
-from ..functions import epoch_day, require_columns, require_types
+from ..functions import require_columns, require_types, text_day
 from ..streaming import require_batch
 
 
@@ -49,14 +49,13 @@ def explode_impressions(impressions_df: DataFrame, carry: Sequence[str] = ()) ->
     )
 
 
-def impression_keys(impressions_df: DataFrame) -> DataFrame:
+def impression_keys(impressions_df: DataFrame, distinct: bool = True) -> DataFrame:
     """Distinct ``(customer_id, day)``: all that a history depends on.
 
     Duplicates collapse map-side, so a customer with very many rankings costs one row per day and
     map task. Rows without a customer or with a malformed ``dt`` cannot have a history.
     """
-    return (
-        impressions_df.select(COL_CUSTOMER_ID, epoch_day(F.col(COL_DT)).alias("day"))
-        .where(F.col(COL_CUSTOMER_ID).isNotNull() & F.col("day").isNotNull())
-        .distinct()
+    keys = impressions_df.select(COL_CUSTOMER_ID, text_day(impressions_df, COL_DT).alias("day")).where(
+        F.col(COL_CUSTOMER_ID).isNotNull() & F.col("day").isNotNull()
     )
+    return keys.distinct() if distinct else keys

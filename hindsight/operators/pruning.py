@@ -1,16 +1,12 @@
-"""Cut the action logs down to what some impression can look back to."""
+"""Cut the action logs down to the days that some impression can look back to."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import COL_CUSTOMER_ID, COL_DT
-from ..functions import epoch_day, midnight, require_same_kind
+from ..functions import midnight
 from .actions import check_logs
 from .history import check_window
-from .impressions import check_impressions
-
-# Customers that may be broadcast: some 50 MB as a hash table of integers.
-MAX_BROADCAST_CUSTOMERS = 1_000_000
+from .impressions import check_impressions, impression_keys
 
 
 def prune_logs(
@@ -20,41 +16,24 @@ def prune_logs(
     orders_df: DataFrame,
     *,
     lookback_days: int,
-    max_broadcast_customers: int = MAX_BROADCAST_CUSTOMERS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three logs without rows that no window of the impressions can contain.
-
-    One job runs at once, over ``dt`` and ``customer_id`` alone, without a shuffle of rows: it finds
-    the first and last day and estimates the number of customers.
+    """The three logs without rows outside ``[first day - lookback, last day)`` of the impressions.
 
-    - Rows outside ``[first day - lookback, last day)`` go. The bounds enter the plan as literals of
-      each log's own time type and are pushed into its scan, where they skip files and row groups.
-    - With no more customers than ``max_broadcast_customers``, rows of all others go too, by a
-      broadcast semi-join ahead of any shuffle. With more, all customers stay and the shuffles of
-      the history do the rest.
+    Lazy: the bounds are scalar subqueries over the impressions' days, compared with each log's own
+    time column in its own type, so they are known before the logs are scanned and are pushed into
+    the scans, where they skip files and row groups. Without any impression that has a customer
+    and a day nothing is left.
     """
     check_impressions(impressions_df)
-    check_window(lookback_days)
+    lookback_days, _ = check_window(lookback_days)
     logs = check_logs(clicks_df, atc_df, orders_df)
-    require_same_kind(COL_CUSTOMER_ID, {"impressions_df": impressions_df, "clicks_df": clicks_df})
-    seen = impressions_df.select(COL_CUSTOMER_ID, epoch_day(F.col(COL_DT)).alias("day")).where(
-        F.col(COL_CUSTOMER_ID).isNotNull() & F.col("day").isNotNull()
-    )
-    first, last, customers = seen.agg(
-        F.min("day"), F.max("day"), F.approx_count_distinct(COL_CUSTOMER_ID)
-    ).first()
-    if first is None:
-        return tuple(log.where(F.lit(False)) for log, _ in logs)
-
-    few = customers <= max_broadcast_customers
-    present = F.broadcast(seen.select(COL_CUSTOMER_ID).distinct())
+    days = impression_keys(impressions_df, distinct=False)
 
     def prune(log: DataFrame, when: str) -> DataFrame:
         time_type = log.schema[when].dataType.simpleString()
-        recent = log.where(
-            (F.col(when) >= midnight(F.lit(first - lookback_days), time_type))
-            & (F.col(when) < midnight(F.lit(last), time_type))
-        )
-        return recent.join(present, COL_CUSTOMER_ID, "left_semi") if few else recent
+        # Bounds as ready values of the column's type: only then are they pushed into the scan.
+        first = days.select(midnight(F.min("day") - lookback_days, time_type).alias("first")).scalar()
+        last = days.select(midnight(F.max("day"), time_type).alias("last")).scalar()
+        return log.where((F.col(when) >= first) & (F.col(when) < last))
 
     return tuple(prune(log, when) for log, when in logs)

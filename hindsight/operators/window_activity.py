@@ -29,7 +29,7 @@ def window_activity(keys: DataFrame, actions: DataFrame, *, lookback_days: int)
     that only ever grow then take the place of the join: what is counted before the window's end
     less what is counted before its start. Each key keeps its row.
     """
-    check_window(lookback_days)
+    lookback_days, _ = check_window(lookback_days)
     require_same_kind(COL_CUSTOMER_ID, {"impressions": keys, "actions": actions})
     daily = (
         actions.where(F.col(COL_CUSTOMER_ID).isNotNull() & F.col(COL_TS).isNotNull())

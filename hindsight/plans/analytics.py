@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import COL_ACTION_TYPES, COL_ACTIONS
-from ..functions import nonzero_count, require_columns, require_positive
+from ..functions import nonzero_count, require_columns, whole_number
 from ..streaming import require_batch
 
 
@@ -29,7 +29,7 @@ def action_types_by_position(df: DataFrame, max_positions: int = 10) -> DataFram
     """
     require_batch(df, "training inputs")
     require_columns(df, [COL_ACTION_TYPES], "training inputs")
-    require_positive(max_positions=max_positions)
+    max_positions = whole_number("max_positions", max_positions, 1)
     counts = (
         df.select(F.posexplode(F.slice(COL_ACTION_TYPES, 1, max_positions)).alias("pos", "action_type"))
         .groupBy("pos", "action_type")

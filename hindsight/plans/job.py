@@ -1,16 +1,35 @@
 """The batch job: four datasets in, Parquet training inputs and optional JSON metrics out."""
 
 import argparse
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..constants import DEFAULT_LOOKBACK_DAYS, DEFAULT_MAX_SEQ
-from ..operators import prune_logs
+from ..operators.history import check_window
 from ..sources import SourcePaths, load_sources, save_metrics, save_training_inputs
 from .quality import dq_metrics
 from .training_inputs import MAP_SIDE_RANK_LIMIT, build_training_inputs
 
+# Option names and defaults below are fixed values of the contract.
+
+
+@contextmanager
+def _settings(spark: SparkSession, max_seq: int) -> Iterator[None]:
+    """UTC days and a rank limit for ``max_seq``; what was set before comes back."""
+    limit = max(max_seq, int(spark.conf.get(MAP_SIDE_RANK_LIMIT)))
+    wanted = {"spark.sql.session.timeZone": "UTC", MAP_SIDE_RANK_LIMIT: str(limit)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def run_job(
     spark: SparkSession,
     paths: SourcePaths,
@@ -23,21 +42,18 @@ def run_job(
 ) -> DataFrame:
     """Build and write the training inputs, and return them as read back from ``output``.
 
-    Metrics are computed from the written files, not by running the pipeline again. The session
-    time zone is set to UTC, so days and midnights mean the same on every cluster.
+    Metrics are computed from the written files, not by running the pipeline again. The job runs in
+    UTC, so days and midnights mean the same on every cluster; the session's own settings are as
+    before when it returns.
     """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if max_seq > int(spark.conf.get(MAP_SIDE_RANK_LIMIT)):
-        spark.conf.set(MAP_SIDE_RANK_LIMIT, str(max_seq))
-    sources = load_sources(spark, paths, source_format)
-    logs = prune_logs(*sources, lookback_days=lookback_days)
-    train = build_training_inputs(
-        sources.impressions, *logs, lookback_days=lookback_days, max_seq=max_seq
-    )
-    save_training_inputs(train, output, partition_by=partition_by)
-    written = spark.read.schema(train.schema).parquet(output)
-    if metrics_path:
-        save_metrics(dq_metrics(written), metrics_path)
+    lookback_days, max_seq = check_window(lookback_days, max_seq)
+    with _settings(spark, max_seq):
+        sources = load_sources(spark, paths, source_format)
+        train = build_training_inputs(*sources, lookback_days=lookback_days, max_seq=max_seq)
+        save_training_inputs(train, output, partition_by=partition_by)
+        written = spark.read.schema(train.schema).parquet(output)
+        if metrics_path:
+            save_metrics(dq_metrics(written), metrics_path)
     return written
 
 
@@ -50,6 +66,7 @@ def job_arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--max_seq", type=int, default=DEFAULT_MAX_SEQ)
     parser.add_argument("--metrics_json", help="JSON directory to write metrics to")
     parser.add_argument("--source_format", choices=["csv", "parquet"], default="csv")
+    parser.add_argument("--partition_by", nargs="*", default=[], help="columns to partition the output by")
     return parser.parse_args(argv)
 
 
@@ -64,5 +81,6 @@ def main(argv: Sequence[str] | None = None) -> None:
         args.max_seq,
         args.metrics_json,
         args.source_format,
+        args.partition_by,
     )
     spark.stop()

@@ -14,7 +14,7 @@ from ..constants import (
     COL_ACTIONS,
     COL_DT,
 )
-from ..functions import epoch_day, nonzero_count, require_columns
+from ..functions import nonzero_count, require_columns, text_day
 from ..streaming import require_batch
 
 CODES = (ACTION_PADDING, ACTION_CLICK, ACTION_ADD_TO_CART, ACTION_PREVIOUS_ORDER)
@@ -26,7 +26,7 @@ def _check(df: DataFrame, *columns: str) -> None:
 
 
 def _bad_dt(df: DataFrame) -> Column:
-    return epoch_day(F.col(COL_DT)).isNull() if COL_DT in df.columns else F.lit(None).cast("boolean")
+    return text_day(df, COL_DT).isNull() if COL_DT in df.columns else F.lit(None).cast("boolean")
 
 
 def dq_summary(df: DataFrame) -> DataFrame:

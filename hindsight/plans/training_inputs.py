@@ -25,9 +25,10 @@ from ..operators import (
     impression_keys,
     keyed_history,
     normalize_actions,
+    prune_logs,
     window_activity,
 )
-from ..operators.history import DEFAULT_HOT_ROWS, check_window
+from ..operators.history import check_window
 from ..operators.impressions import check_impressions
 
 MAP_SIDE_RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -45,11 +46,9 @@ def _rankings_with_history(
     lookback_days: int,
     max_seq: int,
     order: str,
-    hot_rows: int | None,
 ) -> tuple[DataFrame, str]:
     """Unexploded rankings with ragged ``items`` / ``types``, and the type of the items."""
     check_impressions(impressions_df)
-    check_window(lookback_days, max_seq)
     spark = impressions_df.sparkSession
     if max_seq > int(spark.conf.get(MAP_SIDE_RANK_LIMIT)):
         warnings.warn(
@@ -58,15 +57,10 @@ def _rankings_with_history(
             stacklevel=3,
         )
     keys = impression_keys(impressions_df)
-    actions = normalize_actions(clicks_df, atc_df, orders_df)
-    history = keyed_history(
-        keys,
-        actions,
-        lookback_days=lookback_days,
-        max_seq=max_seq,
-        order=order,
-        hot_rows=hot_rows,
+    actions = normalize_actions(
+        *prune_logs(impressions_df, clicks_df, atc_df, orders_df, lookback_days=lookback_days)
     )
+    history = keyed_history(keys, actions, lookback_days=lookback_days, max_seq=max_seq, order=order)
     item_type = actions.schema[COL_ITEM_ID].dataType.simpleString()
     return attach_by_customer_day(_ranking_columns(impressions_df), history), item_type
 
@@ -80,7 +74,6 @@ def build_training_inputs(
     lookback_days: int = DEFAULT_LOOKBACK_DAYS,
     max_seq: int = DEFAULT_MAX_SEQ,
     order: str = "recent_first",
-    hot_rows: int | None = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """One row per impression: ``dt, ranking_id, customer_id, impression_item_id, is_order``, and
     ``actions`` / ``action_types``, two parallel arrays of exactly ``max_seq`` entries.
@@ -90,11 +83,12 @@ def build_training_inputs(
     impression without history, without customer or with a malformed ``dt`` is all padding. Item
     id 0 is reserved for padding.
 
-    Lazy: no job runs here. Where logs reach far beyond the days of the impressions, cut them with
-    ``prune_logs`` first. ``hot_rows`` is explained at ``keyed_history``.
+    Lazy: no job runs here. Each log is read once, and only the days that the impressions can look
+    back to (``prune_logs``).
     """
+    lookback_days, max_seq = check_window(lookback_days, max_seq)
     rankings, item_type = _rankings_with_history(
-        impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, order, hot_rows
+        impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, order
     )
     # Padded once per ranking, after the last shuffle, and then repeated for each of its items.
     padded = rankings.select(
@@ -116,14 +110,14 @@ def history_entries(
     *,
     lookback_days: int = DEFAULT_LOOKBACK_DAYS,
     max_seq: int = DEFAULT_MAX_SEQ,
-    hot_rows: int | None = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """The same histories in long form: one row per impression and entry.
 
     ``rn`` is the recency rank, 1 for the newest. Impressions without history have no rows.
     """
+    lookback_days, max_seq = check_window(lookback_days, max_seq)
     rankings, _ = _rankings_with_history(
-        impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, "recent_first", hot_rows
+        impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, "recent_first"
     )
     entries = F.arrays_zip(F.col("items").alias(COL_ITEM_ID), F.col("types").alias(COL_ACTION_TYPE))
     with_entries = rankings.where(F.col("items").isNotNull()).withColumn("entries", entries)
@@ -154,9 +148,11 @@ def impression_activity(
 ) -> DataFrame:
     """One row per impression with the activity in its whole window, not cut at any length."""
     check_impressions(impressions_df)
-    check_window(lookback_days)
+    lookback_days, _ = check_window(lookback_days)
     keys = impression_keys(impressions_df)
-    actions = normalize_actions(clicks_df, atc_df, orders_df)
+    actions = normalize_actions(
+        *prune_logs(impressions_df, clicks_df, atc_df, orders_df, lookback_days=lookback_days)
+    )
     activity = window_activity(keys, actions, lookback_days=lookback_days)
     counts = [c for c in activity.columns if c.startswith("n_")]
     rankings = attach_by_customer_day(_ranking_columns(impressions_df), activity).fillna(0, counts)

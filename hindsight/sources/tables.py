@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.checks import require_columns
 from ..schema import wire_schema
@@ -19,8 +19,10 @@ def _csv(spark: SparkSession):
 def read_csv_with_schema(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Scan CSV files with a header under a declared schema.
 
-    Array columns come back as JSON strings (see ``coerce_impressions_from_json``). A header that
-    does not match the schema fails the read; a cell that does not parse becomes null.
+    Array columns come back as JSON strings (see ``coerce_impressions_from_json``); a cell that does
+    not parse becomes null. The header is compared with the schema for the columns that a query
+    reads: reading a column that stands elsewhere in a file fails, a query that needs none of the
+    misplaced ones does not.
     """
     return _csv(spark).schema(wire_schema(schema)).csv(path)
 
@@ -29,7 +31,8 @@ def count_bad_rows(spark: SparkSession, path: str, schema: StructType) -> DataFr
     """One row: ``total_rows``, ``bad_rows`` and ``null_<column>`` for each column.
 
     A bad row is a CSV line with a cell that does not parse, or with too many or too few cells.
-    Every column is counted, so that column pruning cannot skip the cells in question.
+    Every column is counted, so that column pruning cannot skip the cells in question. Files whose
+    header is not the schema's fail, as all columns are read by name as well.
     """
     typed = wire_schema(schema)
     rows = (
@@ -40,11 +43,16 @@ def count_bad_rows(spark: SparkSession, path: str, schema: StructType) -> DataFr
         .option("enforceSchema", True)
         .csv(path)
     )
-    return rows.agg(
+    counts = rows.agg(
         F.count("*").alias("total_rows"),
         F.count(_BAD_RECORD).alias("bad_rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in typed.names],
     )
+    # Cells as text, bound by a header that has to match; the count of all columns reads each file's.
+    text = StructType([StructField(name, StringType()) for name in typed.names])
+    named = _csv(spark).schema(text).csv(path)
+    seen = named.agg(F.count(F.struct(*typed.names)).alias("seen"), *[F.count(c).alias(f"_{c}") for c in typed.names])
+    return counts.where(F.lit(0) <= seen.select(F.expr(" + ".join(["seen", *[f"`_{c}`" for c in typed.names]]))).scalar())
 
 
 def read_parquet_with_schema(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -46,9 +46,11 @@ def test_end_to_end_from_csv(spark, tmp_path):
 
 def test_csv_with_reordered_header_fails(spark, tmp_path):
     path = tmp_path / "clicks.csv"
-    path.write_text("dt,item_id,customer_id,click_time\n2025-07-30,101,1,2025-07-30 10:00:00\n")
+    path.write_text("dt,item_id,customer_id,click_time\n2025-07-30,44,1,2025-07-30 10:00:00\n")
     with pytest.raises(Exception, match="does not conform to the schema"):
         hindsight.read_csv_with_schema(spark, str(path), schema.clicks_schema).collect()
+    with pytest.raises(Exception, match="does not conform to the schema"):
+        hindsight.count_bad_rows(spark, str(path), schema.clicks_schema).collect()
 
 
 def test_bad_cells_become_null_and_are_counted(spark, tmp_path):
@@ -196,11 +198,11 @@ def test_normalized_actions(spark):
     actions = hindsight.normalize_actions(*small(spark)[1:])
     assert actions.schema["action_type"].dataType == T.ByteType()
     assert actions.columns == ["customer_id", "item_id", "ts", "action_type"]
-    assert rows(actions.where("customer_id = 1")) == sorted(
+    assert rows(actions.where("customer_id = 11")) == sorted(
         [
-            (1, 101, datetime(2025, 7, 30, 10), 1),
-            (1, 202, datetime(2025, 7, 29, 9, 30), 2),
-            (1, 101, datetime(2024, 7, 30), 3),
+            (11, 7, datetime(2023, 3, 14, 8, 15, 30), 1),
+            (11, 8, datetime(2023, 3, 10, 17, 5), 2),
+            (11, 5, datetime(2022, 3, 14), 3),
         ],
         key=repr,
     )
@@ -208,11 +210,35 @@ def test_normalized_actions(spark):
 
 @pytest.mark.parametrize(
     "window",
-    [{"max_seq": 0}, {"max_seq": -1}, {"max_seq": 1.5}, {"lookback_days": -1}, {"order": "random"}, {"hot_rows": 0}],
+    [
+        {"max_seq": 0}, {"max_seq": -1}, {"max_seq": 1.5}, {"max_seq": True}, {"max_seq": "3"}, {"max_seq": None},
+        {"lookback_days": -1}, {"lookback_days": False}, {"lookback_days": float("inf")}, {"order": "random"},
+    ],
 )
 def test_invalid_parameters(spark, window):
     with pytest.raises(ValueError, match=next(iter(window))):
         hindsight.build_training_inputs(*small(spark), **window)
+    if "order" not in window:
+        with pytest.raises(ValueError, match=next(iter(window))):
+            hindsight.history_entries(*small(spark), **window)
+
+
+def test_whole_floats_are_integers(spark):
+    exact = hindsight.build_training_inputs(*small(spark), lookback_days=365, max_seq=4)
+    assert rows(hindsight.build_training_inputs(*small(spark), lookback_days=365.0, max_seq=4.0)) == rows(exact)
+
+
+@pytest.mark.parametrize(
+    "dt", ["2025", "2025-07", "2025-7-31", " 2025-07-31 ", "2025-07-31 13:00:00", "2025-07-31T13:00", "2025-02-30", "", None]
+)
+def test_only_days_written_as_days_count(spark, dt):
+    impressions, *logs = sources(spark, [ranking(dt, "r", 1, (9, False))], [click(1, 3, "2024-12-31 10:00:00"), click(1, 4, "2025-07-30 10:00:00")])
+    out = hindsight.build_training_inputs(impressions, *logs, max_seq=2)
+    assert out.first().actions == [0, 0]
+    assert hindsight.dq_summary(out).first().bad_dt_rows == 1
+    assert [log.count() for log in hindsight.prune_logs(impressions, *logs, lookback_days=9)] == [0, 0, 0]
+    day = impressions.withColumn("dt", F.lit("2025-07-31").cast("date"))
+    assert hindsight.build_training_inputs(day, *logs, max_seq=2).first().actions == [4, 3]
 
 
 def test_missing_and_mistyped_columns(spark):
@@ -257,11 +283,12 @@ def test_streams_are_refused(spark, tmp_path):
             function(inputs)
 
 
-def test_formula_fixture_against_brute_force(spark):
+def test_medium_fixture_against_brute_force(spark):
     inputs = medium(spark)
     out = hindsight.build_training_inputs(*inputs, lookback_days=365, max_seq=10)
     assert rows(out) == brute_force(*inputs, 365, 10)
-    assert inputs[3].where("order_date >= '2024-07-31'").count() == 77
+    inside = inputs[3].where("order_date >= '2022-02-20' and order_date < '2023-02-20'").count()
+    assert 0 < inside < inputs[3].count()
 
 
 def test_without_ansi_mode(spark):
@@ -283,18 +310,27 @@ def test_without_ansi_mode(spark):
         spark.conf.set("spark.sql.ansi.enabled", ansi)
 
 
-@pytest.mark.parametrize("max_broadcast_customers", [0, 1000])
-def test_pruned_logs_give_the_same_result(spark, max_broadcast_customers):
+def test_pruned_logs_give_the_same_result(spark):
     impressions, *logs = medium(spark)
     impressions = impressions.where("customer_id % 3 = 0")
-    pruned = hindsight.prune_logs(
-        impressions, *logs, lookback_days=20, max_broadcast_customers=max_broadcast_customers
-    )
+    pruned = hindsight.prune_logs(impressions, *logs, lookback_days=20)
     assert [log.count() < whole.count() for log, whole in zip(pruned, logs)] == [True, True, True]
-    others = sum(log.where("customer_id % 3 <> 0").count() for log in pruned)
-    assert (others == 0) == (max_broadcast_customers > 0)
-    out = hindsight.build_training_inputs(impressions, *pruned, lookback_days=20, max_seq=5)
-    assert rows(out) == brute_force(impressions, *logs, 20, 5)
+    first, last = datetime(2023, 1, 31), datetime(2023, 2, 20)
+    kept = [r.click_time for r in pruned[0].collect()]
+    assert sorted(kept) == sorted(r.click_time for r in logs[0].collect() if first <= r.click_time < last)
+    expected = brute_force(impressions, *logs, 20, 5)
+    assert rows(hindsight.build_training_inputs(impressions, *pruned, lookback_days=20, max_seq=5)) == expected
+    assert rows(hindsight.build_training_inputs(impressions, *logs, lookback_days=20, max_seq=5)) == expected
+
+
+def test_time_bounds_reach_the_scan(spark, tmp_path):
+    impressions, clicks, carts, orders = medium(spark)
+    clicks.write.parquet(str(tmp_path / "clicks"))
+    scanned = spark.read.parquet(str(tmp_path / "clicks"))
+    (pruned, *_) = hindsight.prune_logs(impressions, scanned, carts, orders, lookback_days=20)
+    text = pruned._jdf.queryExecution().executedPlan().toString()
+    filters = text.split("DataFilters: ")[1].split("Format")[0]
+    assert "click_time" in filters and "subquery" in filters
 
 
 def test_exports():

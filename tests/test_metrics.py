@@ -9,7 +9,7 @@ import hindsight
 from hindsight import schema
 from hindsight.plans.job import job_arguments
 
-from .fixtures import SMALL_EXPECTED, rows, small, write_small_csv
+from .fixtures import SMALL_DAY, SMALL_EXPECTED, rows, small, write_small_csv
 
 
 def inputs_of(spark, data):
@@ -104,7 +104,7 @@ def test_parquet_sink(spark, golden, tmp_path):
     hindsight.save_training_inputs(golden, path)
     assert spark.read.parquet(path).count() == 3
     hindsight.save_training_inputs(golden, str(tmp_path / "by_day"), partition_by=["dt"])
-    assert os.path.isdir(tmp_path / "by_day" / "dt=2025-07-31")
+    assert os.path.isdir(tmp_path / "by_day" / f"dt={SMALL_DAY}")
 
 
 @pytest.mark.parametrize("source_format", ["csv", "parquet"])
@@ -114,6 +114,8 @@ def test_job(spark, tmp_path, source_format):
         for name, df in hindsight.load_sources(spark, paths)._asdict().items():
             df.write.parquet(str(tmp_path / name))
         paths = hindsight.SourcePaths(*[str(tmp_path / name) for name in hindsight.SourcePaths._fields])
+    names = ("spark.sql.session.timeZone", "spark.sql.optimizer.windowGroupLimitThreshold")
+    before = [spark.conf.get(name) for name in names]
     written = hindsight.run_job(
         spark,
         paths,
@@ -123,6 +125,7 @@ def test_job(spark, tmp_path, source_format):
         source_format=source_format,
     )
     assert rows(written) == sorted(SMALL_EXPECTED, key=repr)
+    assert [spark.conf.get(name) for name in names] == before
     (file,) = [f for f in os.listdir(tmp_path / "metrics") if f.endswith(".json")]
     metrics = json.loads((tmp_path / "metrics" / file).read_text())
     assert metrics == {
@@ -138,7 +141,23 @@ def test_job_arguments():
     required = ["--impressions", "i", "--clicks", "c", "--add_to_carts", "a", "--previous_orders", "p"]
     args = job_arguments([*required, "--output", "/out"])
     assert (args.output, args.lookback_days, args.max_seq, args.metrics_json) == ("/out", 365, 1000, None)
+    assert args.partition_by == []
+    assert job_arguments([*required, "--output", "o", "--partition_by", "dt"]).partition_by == ["dt"]
     with pytest.raises(SystemExit):
         job_arguments(required)
+
+
+def test_job_gives_settings_back_when_it_fails(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Madrid")
+    try:
+        with pytest.raises(Exception):
+            hindsight.run_job(spark, hindsight.SourcePaths(*4 * [str(tmp_path / "none")]), str(tmp_path / "o"), max_seq=5000)
+        assert spark.conf.get("spark.sql.session.timeZone") == "Europe/Madrid"
+        assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == "1000"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_unknown_source_format():
     with pytest.raises(ValueError, match="source_format"):
         hindsight.load_sources(None, None, "orc")

@@ -6,11 +6,10 @@ from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import hindsight
-from workloads.per_impression import per_impression_inputs
-
 from .fixtures import brute_force, ranking, rows, sources
 
 HOT = 7
@@ -61,18 +60,15 @@ def skewed(spark, seed):
 
 
 @pytest.mark.parametrize(
-    "seed, lookback_days, max_seq, hot_rows",
-    [(1, 7, 3, None), (2, 30, 1, 20), (3, 365, 17, 10), (4, 14, 10, None), (5, 60, 400, 100), (6, 5, 2, 1)],
+    "seed, lookback_days, max_seq",
+    [(1, 7, 3), (2, 30, 1), (3, 365, 17), (4, 14, 10), (5, 60, 400), (6, 5, 2), (7, 0, 4), (8, 1, 50)],
 )
-def test_skewed_histories_against_brute_force(spark, seed, lookback_days, max_seq, hot_rows):
+def test_skewed_histories_against_brute_force(spark, seed, lookback_days, max_seq):
     inputs = skewed(spark, seed)
     expected = brute_force(*inputs, lookback_days, max_seq)
     spread = [df.repartition(5 + i) for i, df in enumerate(inputs)]
-    out = hindsight.build_training_inputs(
-        *spread, lookback_days=lookback_days, max_seq=max_seq, hot_rows=hot_rows
-    )
+    out = hindsight.build_training_inputs(*spread, lookback_days=lookback_days, max_seq=max_seq)
     assert rows(out) == expected
-    assert rows(per_impression_inputs(*inputs, lookback_days=lookback_days, max_seq=max_seq)) == expected
 
 
 def test_oldest_first_against_brute_force(spark):
@@ -88,20 +84,43 @@ def test_result_does_not_depend_on_partitions(spark):
     assert rows(one) == rows(many)
 
 
-def test_daily_cap_is_bounded_and_keeps_the_newest(spark):
-    from hindsight.operators import cap_daily
-    from hindsight.operators.history import usable_actions
-
-    actions = spark.range(0, 20_000, 1, 8).select(
+def hot_actions(spark, n=50_000, days=365, tasks=16):
+    """One customer's actions, spread over a year and over many map tasks."""
+    return spark.range(0, n, 1, tasks).select(
         F.lit(HOT).alias("customer_id"),
         F.col("id").cast("int").alias("item_id"),
-        F.timestamp_seconds(F.lit(1_750_000_000) + F.col("id") % 5000).alias("ts"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7919 % n) * F.lit(days * 86400) / n).alias("ts"),
         F.lit(1).cast("tinyint").alias("action_type"),
     )
-    capped = cap_daily(usable_actions(actions), 10, splits=2)
-    assert capped.count() <= 2 * 10 * actions.select(F.to_date("ts")).distinct().count()
-    newest = actions.orderBy(F.desc("ts"), F.desc("item_id")).limit(10)
-    assert newest.select("item_id").subtract(capped.select("item_id")).count() == 0
+
+
+@pytest.mark.parametrize("splits", [None, 1, 5])
+def test_daily_cap_is_exact(spark, splits):
+    from hindsight.operators import cap_daily
+    from hindsight.operators.history import usable_actions
+
+    usable = usable_actions(hot_actions(spark))
+    capped = cap_daily(usable, 10, splits)
+    days = usable.select("day").distinct().count()
+    assert days in (365, 366) and capped.count() == 10 * days
+    newest = Window.partitionBy("day").orderBy(F.desc("ts"), F.desc("item_id"))
+    expected = usable.withColumn("back", F.row_number().over(newest)).where("back <= 10")
+    assert rows(capped.select("item_id", "back")) == rows(expected.select("item_id", "back"))
+
+
+def test_hot_customer_is_split(spark):
+    """No task gets a customer's actions: only days meet by customer, and blocks hold ``max_seq``."""
+    impressions, _, carts, orders = sources(spark, [ranking("2024-10-01", f"r{i}", HOT, (1, False)) for i in range(3)])
+    clicks = hot_actions(spark).select("customer_id", "item_id", F.col("ts").alias("click_time"))
+    with settings(spark, {**NO_BROADCAST, "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}):
+        out = hindsight.build_training_inputs(impressions, clicks, carts, orders, lookback_days=200, max_seq=10)
+        text = plan(out)
+        assert len(out.collect()) == 3
+    exchanges = [x for x in text.splitlines() if re.search(r" Exchange hashpartitioning\(customer_id#\d+, \d+\)", x)]
+    assert len([x for x in exchanges if "ReusedExchange" not in x]) == 1
+    for line in re.findall(r"Window \[.*", text):
+        if re.search(r"\], \[customer_id#\d+\], ", line):
+            assert "sum(n#" in line or "is_key#" in line
 
 
 def plan(df):
@@ -110,25 +129,23 @@ def plan(df):
 
 def test_plan_has_no_pair_join(spark):
     inputs = [df.repartition(3) for df in skewed(spark, 1)]
-    text = plan(hindsight.build_training_inputs(*inputs, lookback_days=30, max_seq=5, hot_rows=None))
-    assert text.count("Join") == 1
+    text = plan(hindsight.build_training_inputs(*inputs, lookback_days=30, max_seq=5))
+    # Days come to their actions, and histories to their rankings.
+    assert text.count("Join") == 2
     assert "LeftOuter" in text
     assert "NestedLoop" not in text and "Cartesian" not in text
-    assert text.count("WindowGroupLimit") == 2
-
-
-def test_hot_customers_are_counted_and_broadcast_once(spark):
-    inputs = [df.repartition(3) for df in skewed(spark, 1)]
-    hot = hindsight.build_training_inputs(*inputs, lookback_days=30, max_seq=5, hot_rows=100)
-    cold = hindsight.build_training_inputs(*inputs, lookback_days=30, max_seq=5, hot_rows=10_000)
-    assert rows(hot) == rows(cold)
-    hot.collect()
-    cold.collect()
-    hot_plan, cold_plan = (plan(df).split("== Initial Plan ==")[0] for df in (hot, cold))
-    # Three logs, each in both branches; one broadcast for all of them.
-    assert hot_plan.count("LeftAnti") == hot_plan.count("LeftSemi") == 3
-    assert len(re.findall("ReusedExchange.*BroadcastExchange", hot_plan)) == 5
-    assert "LeftAnti" not in cold_plan and "LeftSemi" not in cold_plan
+    assert "WindowGroupLimit" in text
+
+
+def test_each_log_is_read_once(spark, tmp_path):
+    names = ("impressions", "clicks", "carts", "orders")
+    for name, df in zip(names, skewed(spark, 1)):
+        df.write.parquet(str(tmp_path / name))
+    inputs = [spark.read.parquet(str(tmp_path / name)) for name in names]
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        final = plan(hindsight.build_training_inputs(*inputs, lookback_days=30, max_seq=5))
+    for time in ("click_time", "occurred_at", "order_date"):
+        assert len(re.findall(rf"FileScan parquet \[[^\]]*{time}", final)) == 1
 
 
 def test_hot_key_is_split_in_the_last_join(spark):

@@ -7,7 +7,6 @@ add-to-carts, purchases are orders. The item is ``props.k`` plus one, because 0
 action, so every time is a midnight and ties are the rule.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +17,19 @@ from hindsight.sources.datasets import Sources
 EVENTS_WINDOW = {"lookback_days": 7, "max_seq": 10}
 ORDERS_WINDOW = {"lookback_days": 365, "max_seq": 20}
 
+# Strings that a lenient cast would take for a day.
+NO_DAYS = ("2024", "2024-01", "2024-1-20", " 2024-01-20 ", "2024-01-20 13:00:00", "2024-01-20T13:00", "2024-02-30", None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of the cluster; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hindsight-")
+    """A fresh path in the folder that the driver and all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -72,6 +76,41 @@ def event_sources(spark: SparkSession, sf_dir: str) -> Sources:
     return Sources(impressions, *_event_logs(spark, sf_dir))
 
 
+def dirty_sources(spark: SparkSession, sf_dir: str) -> Sources:
+    """The events with what logs should not have: errors show as rankings whose day is no day, every
+    eleventh item belongs to nobody, and clicks on every seventh have no time."""
+    sources = event_sources(spark, sf_dir)
+    k = _event_item()
+    no_day = F.element_at(F.array(*[F.lit(d) for d in NO_DAYS]), k % len(NO_DAYS) + 1)
+    errors = (
+        table(spark, sf_dir, "events")
+        .where("event_type = 'error'")
+        .select(
+            no_day.alias("dt"),
+            F.col("event_id").cast("string").alias("ranking_id"),
+            F.col("user_id").alias("customer_id"),
+            F.array(_slot(k, F.lit(False))).alias("impressions"),
+        )
+    )
+
+    def known(item: Column) -> Column:
+        return F.when(item % 11 != 0, F.col("customer_id"))
+
+    clicks = sources.clicks.withColumn("customer_id", known(F.col("item_id")))
+    return Sources(
+        sources.impressions.withColumn("customer_id", known(F.col("impressions")[0]["item_id"])).unionByName(errors),
+        clicks.withColumn("click_time", F.when(F.col("item_id") % 7 != 0, F.col("click_time"))),
+        sources.add_to_carts.withColumn("customer_id", known(F.col("config_id"))),
+        sources.previous_orders.withColumn("customer_id", known(F.col("config_id"))),
+    )
+
+
+def hot_sources(spark: SparkSession, sf_dir: str) -> Sources:
+    """The events with a third of all customers being one."""
+    one = F.when(F.col("customer_id") % 3 != 0, F.col("customer_id")).otherwise(0)
+    return Sources(*[df.withColumn("customer_id", one) for df in event_sources(spark, sf_dir)])
+
+
 def ranking_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings as they arrive, with the items as JSON text.
 

@@ -38,9 +38,37 @@ imp AS (SELECT rid, strftime(o_orderdate, '%Y-%m-%d') AS dt, CAST(o_orderkey AS
         FROM lines)"""
 
 
+_DIRTY = """
+ev AS (SELECT *, CAST(props::json->>'k' AS INTEGER) AS k FROM events),
+act AS (SELECT CASE WHEN (k + 1) % 11 <> 0 THEN user_id END AS customer_id, k + 1 AS item_id,
+               CASE WHEN event_type = 'purchase' THEN date_trunc('day', ts)
+                    WHEN event_type = 'signup' OR (k + 1) % 7 <> 0 THEN ts END AS ts,
+               CASE event_type WHEN 'click' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END AS action_type
+        FROM ev WHERE event_type IN ('click', 'signup', 'purchase')),
+imp AS (SELECT event_id AS rid,
+               CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m-%d')
+                    ELSE (['2024', '2024-01', '2024-1-20', ' 2024-01-20 ', '2024-01-20 13:00:00', '2024-01-20T13:00',
+                           '2024-02-30', NULL])[(k + 1) % 8 + 1] END AS dt,
+               CAST(event_id AS VARCHAR) AS ranking_id,
+               CASE WHEN event_type = 'error' OR (k + 1) % 11 <> 0 THEN user_id END AS customer_id,
+               k + 1 AS impression_item_id, event_type = 'view' AND value > 20 AS is_order
+        FROM ev WHERE event_type IN ('view', 'error'))"""
+
+_HOT = f"""{_EVENTS.replace("act AS", "act0 AS")}, {_EVENT_IMPRESSIONS.replace("imp AS", "imp0 AS")},
+act AS (SELECT * REPLACE (CASE WHEN customer_id % 3 <> 0 THEN customer_id ELSE 0 END AS customer_id) FROM act0),
+imp AS (SELECT * REPLACE (CASE WHEN customer_id % 3 <> 0 THEN customer_id ELSE 0 END AS customer_id) FROM imp0)"""
+
+_IS_DAY = "regexp_full_match(dt, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(dt AS DATE) IS NOT NULL"
+
+_SUMMARY = f"""
+SELECT count(*) AS total_rows, count(*) - count(CASE WHEN {_IS_DAY} THEN 1 END) AS bad_dt_rows,
+       avg(CASE WHEN history_length = 0 THEN 1.0 ELSE 0.0 END) AS zero_history_pct,
+       avg(history_length) AS avg_history_length FROM train"""
+
+
 def _in_window(days: int) -> str:
-    return f"""a.customer_id = i.customer_id AND a.ts < CAST(i.dt AS TIMESTAMP)
-        AND a.ts >= CAST(i.dt AS TIMESTAMP) - INTERVAL {days} DAY"""
+    day = f"CASE WHEN {_IS_DAY.replace('dt', 'i.dt')} THEN CAST(try_cast(i.dt AS DATE) AS TIMESTAMP) END"
+    return f"""a.customer_id = i.customer_id AND a.ts < {day} AND a.ts >= {day} - INTERVAL {days} DAY"""
 
 
 def _ranked(days: int, k: int) -> str:
@@ -117,10 +145,15 @@ SELECT dt, ranking_id, customer_id, impression_item_id, rn, item_id, action_type
         "training_inputs_defaults": f"{_training(events, 365, 1000)} {_TRAIN}",
         "training_inputs_rankings": f"{_training(rankings, 7, 10)} {_TRAIN}",
         "training_inputs_orders": f"{_training(_ORDERS, 365, 20)} {_TRAIN}",
-        "dq_summary": f"""{train}
-SELECT count(*) AS total_rows, 0 AS bad_dt_rows,
-       avg(CASE WHEN history_length = 0 THEN 1.0 ELSE 0.0 END) AS zero_history_pct,
-       avg(history_length) AS avg_history_length FROM train""",
+        "training_inputs_dirty": f"{_training(_DIRTY, 7, 10)} {_TRAIN}",
+        "training_inputs_hot_customer": f"{_training(_HOT, 7, 10)} {_TRAIN}",
+        "history_asof_join_hot_customer": _activity(_HOT, 7),
+        "prune_logs": f"""WITH {_EVENTS}, imp AS (SELECT min(ts) AS low, max(ts) AS high FROM ev
+       WHERE event_type = 'view' AND dayofmonth(ts) BETWEEN 12 AND 17)
+SELECT customer_id, item_id, ts, action_type FROM act, imp
+WHERE ts >= date_trunc('day', low) - INTERVAL 3 DAY AND ts < date_trunc('day', high)""",
+        "dq_summary": f"{train} {_SUMMARY}",
+        "dq_summary_dirty": f"{_training(_DIRTY, 7, 10)} {_SUMMARY}",
         "dq_action_type_distribution": f"""{train}
 SELECT action_type, count(*) AS n, count(*) / (SELECT count(*) * 10 FROM train) AS share
 FROM {shares} GROUP BY action_type""",
@@ -129,10 +162,10 @@ SELECT history_length, count(*) AS n FROM train GROUP BY history_length""",
         "action_type_freq_by_position": f"""{train}
 SELECT pos - 1 AS pos, action_types[pos] AS action_type, count(*) AS n,
        count(*) / (SELECT count(*) FROM train) AS share
-FROM train, (VALUES (1), (2), (3), (4), (5)) p(pos) GROUP BY pos, action_types[pos]""",
+FROM train, (SELECT unnest(range(1, 11)) AS pos) p GROUP BY pos, action_types[pos]""",
         "parquet_roundtrip": f"{train} {_TRAIN}",
         "metrics_json_roundtrip": f"""{train}
-SELECT count(*) AS total_rows, 0 AS bad_dt_rows,
+SELECT count(*) AS total_rows, count(*) - count(CASE WHEN {_IS_DAY} THEN 1 END) AS bad_dt_rows,
        avg(CASE WHEN history_length = 0 THEN 1.0 ELSE 0.0 END) AS zero_history_pct,
        avg(history_length) AS avg_history_length,
        sum(n_0) / (count(*) * 10) AS share_0, sum(n_1) / (count(*) * 10) AS share_1,
@@ -144,3 +177,38 @@ FROM (SELECT train.*, 10 - history_length AS n_0,
       FROM (SELECT *, action_types AS types FROM train) train)""",
         "csv_job": f"{_training(rankings, 7, 10)} {_TRAIN}",
     }
+
+
+def for_spark() -> dict[str, str]:
+    """The plain plan of three headline queries in Spark's SQL: every impression is joined with its
+    actions, the pairs are ranked and collected. Work is quadratic per customer."""
+
+    def training(base: str, days: int, k: int) -> str:
+        return f"""WITH {base}, {_ranked(days, k)},
+seq AS (SELECT rid, sort_array(collect_list(struct(rn, item_id, action_type))) AS entries FROM r GROUP BY rid)
+SELECT i.dt, i.ranking_id, i.customer_id, i.impression_item_id, i.is_order,
+       concat(coalesce(entries.item_id, array()), array_repeat(0, {k} - coalesce(size(entries), 0))) AS actions,
+       concat(coalesce(entries.action_type, array()), array_repeat(0, {k} - coalesce(size(entries), 0))) AS action_types
+FROM imp i LEFT JOIN seq ON i.rid = seq.rid"""
+
+    def spark_sql(text: str) -> str:
+        changes = {
+            "props::json->>'k'": "get_json_object(props, '$.k')",
+            "strftime(ts, '%Y-%m-%d')": "date_format(ts, 'yyyy-MM-dd')",
+            "strftime(o_orderdate, '%Y-%m-%d')": "date_format(o_orderdate, 'yyyy-MM-dd')",
+            "CAST(event_id AS VARCHAR)": "CAST(event_id AS STRING)",
+            "CAST(o_orderkey AS VARCHAR)": "CAST(o_orderkey AS STRING)",
+            "row_number() OVER () AS rid": "monotonically_increasing_id() AS rid",
+            _IS_DAY.replace("dt", "i.dt"): "true",
+            "CAST(try_cast(i.dt AS DATE) AS TIMESTAMP)": "CAST(i.dt AS TIMESTAMP_NTZ)",
+        }
+        for ours, theirs in changes.items():
+            text = text.replace(ours, theirs)
+        return text
+
+    events = f"{_EVENTS}, {_EVENT_IMPRESSIONS}"
+    return {
+        "training_inputs_events": spark_sql(training(events, 7, 10)),
+        "training_inputs_events_default_window": spark_sql(training(events, 365, 1000)),
+        "training_inputs_orders": spark_sql(training(_ORDERS, 365, 20)),
+    }

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 import hindsight
 from workloads.mappings import event_sources, scratch_path
-from workloads.per_impression import per_impression_inputs
 
 
 def blown_up(df: DataFrame, copies: int, hot: int | None) -> DataFrame:
@@ -34,7 +33,6 @@ def main() -> None:
     parser.add_argument("--hot", type=int, help="one copy in this many belongs to a single customer")
     parser.add_argument("--lookback_days", type=int, default=7)
     parser.add_argument("--max_seq", type=int, default=50)
-    parser.add_argument("--per_impression", action="store_true", help="time the plain plan, too")
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName("scale-check").getOrCreate()
@@ -45,12 +43,7 @@ def main() -> None:
     paths = hindsight.SourcePaths(*[f"{base}/{name}" for name in hindsight.SourcePaths._fields])
     sources = hindsight.load_sources(spark, paths, "parquet")
     window = {"lookback_days": args.lookback_days, "max_seq": args.max_seq}
-    plans = {
-        "all customers capped": hindsight.build_training_inputs(*sources, **window, hot_rows=None),
-        "hot customers capped": hindsight.build_training_inputs(*sources, **window, hot_rows=500_000),
-    }
-    if args.per_impression:
-        plans["per impression"] = per_impression_inputs(*sources, **window)
+    plans = {"build_training_inputs": hindsight.build_training_inputs(*sources, **window)}
     for _ in range(2):
         for name, df in plans.items():
             start = time.perf_counter()
