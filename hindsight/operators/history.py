@@ -18,8 +18,6 @@ blocks of a customer lie in different tasks, so a hot customer is split however
 no step brings the actions of a customer together.
 """
 
-from math import isqrt
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +46,9 @@ def usable_actions(actions: DataFrame) -> DataFrame:
 
 
 def _splits(spark: SparkSession) -> int:
-    """Tasks that share one day of a customer. With as many map tasks as shuffle partitions, each of
-    them and the task that merges them get about the same."""
-    return isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+    """Tasks that share one day of a customer: one for every 64 map tasks, if there are as many of
+    those as shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions")) // 64 + 1
 
 
 def cap_daily(actions: DataFrame, max_seq: int, splits: int | None = None) -> DataFrame:
@@ -58,20 +56,17 @@ def cap_daily(actions: DataFrame, max_seq: int, splits: int | None = None) -> Da
 
     They are ranked map-side, then by split (a set of map tasks), and what is left of the splits once
     more by day: a task gets at most ``max_seq`` rows of a day from each map task of a split, or
-    from each split.
+    from each split. A single split is the day itself and ranked once.
     """
     splits = splits or _splits(actions.sparkSession)
     recency = (F.desc(COL_TS), F.desc(COL_ACTION_TYPE), F.desc(COL_ITEM_ID))
     in_split = Window.partitionBy(COL_CUSTOMER_ID, "day", "_split").orderBy(*recency)
     in_day = Window.partitionBy(COL_CUSTOMER_ID, "day").orderBy(*recency)
-    return (
-        actions.withColumn("_split", F.spark_partition_id() % splits)
-        .withColumn("back", F.row_number().over(in_split))
-        .where(F.col("back") <= max_seq)
-        .drop("_split")
-        .withColumn("back", F.row_number().over(in_day))
-        .where(F.col("back") <= max_seq)
-    )
+    if splits > 1:
+        by_split = actions.withColumn("_split", F.spark_partition_id() % splits)
+        newest = by_split.withColumn("back", F.row_number().over(in_split)).where(F.col("back") <= max_seq)
+        actions = newest.drop("_split", "back")
+    return actions.withColumn("back", F.row_number().over(in_day)).where(F.col("back") <= max_seq)
 
 
 def _day_lines(daily: DataFrame, keys: DataFrame, lookback_days: int, max_seq: int) -> DataFrame:
