@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lm_scoring, mixing, near_dedup, nearest, packing, pii, toxicity, url_filters, warc
+from . import fingerprints, lm_scoring, mixing, near_dedup, nearest, oracles, packing, pii, toxicity, url_filters, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -70,7 +70,7 @@ def op10_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are those of the document with the page's number: bad if toxic or of low quality."""
     bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return url_filters.judge_urls(table(spark, sf_dir, "pages"), labels, RULES)
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), labels, RULES).drop("purity")
 
 
 def queries() -> dict:
@@ -93,4 +93,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; the others are tested against brute force."""
-    return {}
+    return oracles.sql(RULES)

@@ -127,7 +127,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule]) -> Da
     tree = _templates(shapes)
 
     def counts(*by: str) -> DataFrame:
-        return tree.groupBy(*by).agg(F.sum("labelled").alias("labelled"), F.sum("labelled").alias("_n"), F.sum("bad").alias("bad"))
+        return tree.groupBy(*by).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
 
     def smoothed(towards: Column) -> Column:
         return (F.col("labelled") - F.col("bad") + SMOOTHING * towards) / (F.col("labelled") + SMOOTHING)
