@@ -26,10 +26,14 @@ from .common import Batches, BatchesIn, column, list_array, words
 MAX_LABELLED = 8_000
 #: Features of one training document that the driver holds: beyond this, words from all over the text.
 MAX_TRAINING_FEATURES = 2_000
-HASH_BITS = 20
-#: A feature stays if it is in so many training documents, and deviates by so many standard errors.
-LEAST_DOCUMENTS = 4
-SIGNIFICANT = 5.0
+HASH_BITS = 22
+#: A feature stays if it is in so many training documents, as many as this share of those graded above 0
+#: (rarer ones are mostly a few texts that copy from each other), and deviates by so many standard errors.
+LEAST_DOCUMENTS = 8
+LEAST_SHARE = 0.08
+SIGNIFICANT = 6.0
+#: Occurrences of toxic words from which on a document labelled toxic is of grade 2 and 3.
+GRADE_HITS = (3, 6)
 #: Expected severity from which a document is rejected.
 REJECT = 0.5
 
@@ -80,6 +84,27 @@ class Examples(NamedTuple):
         return cls(np.repeat(np.arange(len(rows), dtype=np.int32), sizes), *both, np.asarray(list(grades), np.int64))
 
 
+def without_copies(data: Examples, bands: int = 12, rows: int = 8) -> Examples:
+    """One example of each group of near-copies, or the words of a much copied text would seem to be
+    signs of its grade. Copies agree in a band of min-hashes of their features."""
+    n = len(data.grades)
+    filled, starts = np.unique(data.document, return_index=True)
+    group = np.arange(n)
+    random = np.random.default_rng(3)
+    for _ in range(bands if len(filled) else 0):
+        key = np.zeros(len(filled), np.uint64)
+        for a, b in random.integers(0, 2**64, (rows, 2), dtype=np.uint64):
+            mixed = data.feature.astype(np.uint64) * (a | np.uint64(1)) + b
+            least = np.minimum.reduceat((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93), starts)
+            key = key * np.uint64(0x9E3779B97F4A7C15) + least
+        _, first, member = np.unique(key, return_index=True, return_inverse=True)
+        group[filled] = np.minimum(group[filled], group[filled[first]][member])
+    kept = group == np.arange(n)
+    number = np.cumsum(kept) - 1
+    own = kept[data.document]
+    return Examples(number[data.document[own]].astype(np.int32), data.feature[own], data.count[own], data.grades[kept])
+
+
 def select_features(data: Examples) -> np.ndarray:
     """Features whose documents' mean grade differs significantly from that of all."""
     spread = data.grades.std() if len(data.grades) else 0
@@ -88,7 +113,23 @@ def select_features(data: Examples) -> np.ndarray:
     n = np.bincount(data.feature, minlength=1 << HASH_BITS)
     total = np.bincount(data.feature, weights=data.grades[data.document], minlength=1 << HASH_BITS)
     z = (total - n * data.grades.mean()) / (spread * np.sqrt(np.maximum(n, 1)))
-    return np.flatnonzero((n >= LEAST_DOCUMENTS) & (np.abs(z) >= SIGNIFICANT))
+    least = max(LEAST_DOCUMENTS, LEAST_SHARE * np.count_nonzero(data.grades))
+    return np.flatnonzero((n >= least) & (np.abs(z) >= SIGNIFICANT))
+
+
+def graded_by_hits(data: Examples, hits: tuple[int, ...] = GRADE_HITS) -> Examples:
+    """Grades for examples that are only told apart as harmless (0) and toxic (1).
+
+    A toxic document's grade grows with the occurrences of words that go with toxic ones beyond chance.
+    """
+    toxic = (data.grades > 0).astype(np.int64)
+    kept = select_features(data._replace(grades=toxic))
+    n = np.bincount(data.feature, minlength=1 << HASH_BITS)
+    share = np.bincount(data.feature, weights=toxic[data.document], minlength=1 << HASH_BITS) / np.maximum(n, 1)
+    signs = np.zeros(1 << HASH_BITS, bool)
+    signs[kept[share[kept] > 0.5]] = True
+    found = np.bincount(data.document, weights=signs[data.feature] * data.count, minlength=len(toxic))
+    return data._replace(grades=toxic * (1 + np.searchsorted(hits, found, side="right")))
 
 
 def fit(data: Examples, penalty: float = 1e-3, steps: int = 400) -> OrdinalModel:
@@ -155,10 +196,13 @@ def _featurized(batches: BatchesIn) -> Batches:
             )
 
 
-def train(documents: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 0) -> OrdinalModel:
+def train(
+    documents: DataFrame, grades: DataFrame, by_hits: bool = False, max_labelled: int = MAX_LABELLED, seed: int = 0
+) -> OrdinalModel:
     """Fit on at most ``max_labelled`` rows of ``grades`` (``doc_id``, ``grade`` from 0), each with its document.
 
-    Null ids and grades are left out; an id with several grades counts with its highest.
+    Null ids and grades are left out; an id with several grades counts with its highest. ``by_hits``:
+    the grades are only 0 and 1, and severity is told from the texts (``graded_by_hits``).
     """
     usable = grades.where("doc_id is not null and grade is not null")
     chosen = (
@@ -177,7 +221,9 @@ def train(documents: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABEL
         return fit(Examples.of([], []))
     feature, count = (labelled.column(c).combine_chunks() for c in ("feature", "n"))
     owner = np.repeat(np.arange(labelled.num_rows, dtype=np.int32), np.diff(feature.offsets.to_numpy()))
-    return fit(Examples(owner, feature.flatten().to_numpy(), count.flatten().to_numpy(), labelled.column("grade").to_numpy()))
+    data = Examples(owner, feature.flatten().to_numpy(), count.flatten().to_numpy(), labelled.column("grade").to_numpy())
+    data = without_copies(data)
+    return fit(graded_by_hits(data) if by_hits else data)
 
 
 def _log_odds(text: str | None, weights: np.ndarray) -> float:
@@ -218,10 +264,8 @@ def scored(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     return plain.mapInArrow(score, schema)
 
 
-def graded(labels: DataFrame) -> DataFrame:
-    """Grades from the labels: 0 harmless, 1 toxic, 2 toxic and of low quality. No label, no grade."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
-    return labels.select("doc_id", grade.alias("grade"))
+def _labelled(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.col("toxic").cast("int").alias("grade"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -230,13 +274,13 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are graded alike, null ids are graded too. Without labels nothing is toxic; an
     empty table gives an empty result; other columns are ignored.
     """
-    model = train(documents, graded(labels))
+    model = train(documents, _labelled(labels), by_hits=True)
     return scored(documents.select("doc_id", "text"), model).select("doc_id", "severity", "grade", "toxic")
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose expected severity is below ``REJECT``, all columns as they are."""
-    model = train(documents, graded(labels))
+    model = train(documents, _labelled(labels), by_hits=True)
     shared = documents.sparkSession.sparkContext.broadcast((model.table(), model.thresholds))
 
     def keep(batches: BatchesIn) -> Batches:
