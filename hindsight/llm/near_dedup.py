@@ -32,8 +32,9 @@ from .components import connected_components
 SHINGLE = 5
 BANDS = 32
 ROWS = 4
-HASHES = BANDS * ROWS
-BATCH = 16
+#: The first ``BANDS * ROWS`` hashes make the bands, all are compared.
+HASHES = 256
+BATCH = 32
 #: A pair at the similarity threshold is lost with about this probability in the sequential test.
 MISS = 1e-5
 #: Members of a bucket that one task compares with the pivots, about.
@@ -186,7 +187,8 @@ def _compare(pivot: dict, member: dict) -> tuple[np.ndarray, np.ndarray]:
             a, b = i[start : start + (1 << 14)], j[start : start + (1 << 14)]
             keep = np.flatnonzero(sequential_test(some["sig"], member["sig"], a, b))
             a, b = a[keep], b[keep]
-            same = (some["sig"][a] == member["sig"][b]).reshape(-1, BANDS, ROWS).all(axis=2)
+            same = some["sig"][a, : BANDS * ROWS] == member["sig"][b, : BANDS * ROWS]
+            same = same.reshape(-1, BANDS, ROWS).all(axis=2)
             first = same.argmax(axis=1) == member["band"][b]
             left.append(some["node"][a[first]])
             right.append(member["node"][b[first]])
