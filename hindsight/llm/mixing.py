@@ -137,8 +137,8 @@ def plan_mixture(documents: DataFrame, sources: Column, targets=share_out, seed:
 
     ``sources`` is an array of strings by row, ``targets`` a function from source sizes to words. A
     document of several sources counts for each of them. Target words are met to within a word
-    by the flow, where it has enough documents, and by the selection to within about the smallest
-    document that is left of a pattern.
+    by the flow, where it has enough documents, and by the selection to within about half of the
+    smallest document that is left of a pattern.
     """
     plain = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", _pattern(sources.cast("array<string>")).alias("sources")
@@ -203,26 +203,36 @@ def _cut_offs(sized: DataFrame, quotas: DataFrame, blocks: int) -> DataFrame:
         .agg(F.max("key").alias("last"), F.max("upto").alias("taken"))
     )
     # Where not even the block's first document fits, all keys of earlier blocks are taken.
-    first_key = ((F.col("block") / F.lit(float(blocks)) - 0.5) * F.lit(2.0**64)).cast("long")
+    before_block = F.when(F.col("block") == 0, F.lit(-(2**63))).otherwise(
+        ((F.col("block") / F.lit(float(blocks)) - 0.5) * F.lit(2.0**64)).cast("long") - 1
+    )
     state = at.join(fits, "sources", "left").select(
         "sources",
-        F.coalesce("last", first_key - 1).alias("last"),
+        F.coalesce("last", before_block).alias("last"),
         (F.col("words") - F.coalesce("taken", "ahead")).alias("gap"),
         F.array().cast("array<long>").alias("extra"),
     )
-    for _ in range(FILLS):
+    def with_one_more(state: DataFrame, over: bool) -> DataFrame:
+        """The largest document that fits the gap, or the smallest that overshoots by less than the gap."""
         state = written(state, "cut-offs")
+        fits = (F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")) if over else F.col("size") <= F.col("gap")
         beyond = rows.join(F.broadcast(state), "sources").where(
-            (F.col("key") > F.col("last")) & (F.col("size") <= F.col("gap")) & ~F.array_contains("extra", F.col("key"))
+            (F.col("key") > F.col("last")) & ~F.array_contains("extra", F.col("key"))
         )
-        best = beyond.groupBy("sources", "key").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
-        best = best.where("size <= gap").groupBy("sources").agg(F.max(F.struct("size", "key")).alias("best"))
-        state = state.join(best, "sources", "left").select(
+        # Rows that share a key are taken together.
+        each = beyond.groupBy("sources", "key").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).where(fits)
+        pick = F.min if over else F.max
+        best = each.groupBy("sources").agg(pick(F.struct("size", "key")).alias("best"))
+        return state.join(best, "sources", "left").select(
             "sources",
             "last",
             (F.col("gap") - F.coalesce(F.col("best.size"), F.lit(0))).alias("gap"),
             F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("best.key"))).alias("extra"),
         )
+
+    for _ in range(FILLS):
+        state = with_one_more(state, over=False)
+    state = with_one_more(state, over=True)
     return quotas.join(state, "sources", "left").select("sources", "copies", "last", "extra")
 
 

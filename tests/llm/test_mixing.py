@@ -104,3 +104,9 @@ def test_odd_tables(spark):
     rows = [(1, "a b", "s", 0, "", 0), (1, "a b", "s", 0, "", 0), (None, None, None, 0, "", 0), (2, "", "s", 0, "", 0)]
     out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(out) == 4 and sum(r.taken for r in out) == 4
+
+
+def test_no_document_fits_what_is_wanted(spark):
+    rows = [(1, "a " * 50, "s", 0, "", 0), (2, "b " * 200, "t", 0, "", 0)]
+    out = {r.doc_id: r.taken for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {1: 100, 2: 200}  # targets of 83 and 167

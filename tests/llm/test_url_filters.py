@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from hindsight.llm import url_filters
@@ -14,9 +13,7 @@ def judge(spark, urls, labels=(), ids=None):
     return sorted(out.collect(), key=lambda r: (r.page_id is None, r.page_id or 0, r.path))
 
 
-@pytest.mark.parametrize(
-    ("url", "host", "path", "rule", "verdict"),
-    [
+CASES = [
         (None, "", "", None, "allow"),
         ("", "", "", None, "allow"),
         ("no scheme/com/", "", "", None, "allow"),
@@ -30,11 +27,13 @@ def judge(spark, urls, labels=(), ids=None):
         ("ftp://x.net/es", "x.net", "/es", None, "allow"),
         ("a://b://net/fr/", "b:", "//net/fr/", None, "allow"),
         ("x://É.net/fr/q", "É.net", "/fr/q", "net/fr/", "block"),
-    ],
-)
-def test_hosts_paths_and_rules(spark, url, host, path, rule, verdict):
-    (row,) = judge(spark, [url])
-    assert (row.host, row.path, row.rule, row.verdict) == (host, path, rule, verdict)
+    ]
+
+
+def test_hosts_paths_and_rules(spark):
+    out = judge(spark, [url for url, *_ in CASES])
+    for row, (url, *expected) in zip(out, CASES, strict=True):
+        assert [row.host, row.path, row.rule, row.verdict] == expected, url
 
 
 def test_shapes(spark):
