@@ -6,7 +6,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Distinct words whose ids a Python worker keeps.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 600_000
 #: A private-use character: between words it tells their ids apart.
 _BETWEEN = "\ue000"
 
