@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import Batches, BatchesIn, column, list_array, words
 
 #: Labelled documents that the model is fitted on, at most. The driver holds their features.
-MAX_LABELLED = 8_000
+MAX_LABELLED = 6_000
 #: Features of one training document that the driver holds: beyond this, words from all over the text.
 MAX_TRAINING_FEATURES = 2_000
 HASH_BITS = 22
@@ -58,10 +58,12 @@ class OrdinalModel(NamedTuple):
     weight: np.ndarray
     thresholds: np.ndarray
 
-    def table(self) -> np.ndarray:
-        weights = np.zeros(1 << HASH_BITS, np.float32)
-        weights[self.feature] = self.weight
-        return weights
+    def score(self, text: str | None) -> float:
+        index, count = features(text)
+        at = np.searchsorted(self.feature, index)
+        hit = at < len(self.feature)
+        hit[hit] = self.feature[at[hit]] == index[hit]
+        return float(np.dot(self.weight[at[hit]], 1 + np.log(count[hit]))) if hit.any() else 0.0
 
 
 def exceed(score, thresholds: np.ndarray) -> np.ndarray:
@@ -93,10 +95,12 @@ def without_copies(data: Examples, bands: int = 12, rows: int = 8) -> Examples:
     random = np.random.default_rng(3)
     for _ in range(bands if len(filled) else 0):
         key = np.zeros(len(filled), np.uint64)
-        for a, b in random.integers(0, 2**64, (rows, 2), dtype=np.uint64):
-            mixed = data.feature.astype(np.uint64) * (a | np.uint64(1)) + b
-            least = np.minimum.reduceat((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93), starts)
-            key = key * np.uint64(0x9E3779B97F4A7C15) + least
+        for a, b in random.integers(0, 2**32, (rows, 2), dtype=np.uint32):
+            mixed = data.feature.astype(np.uint32) * (a | np.uint32(1)) + b
+            mixed ^= mixed >> np.uint32(15)
+            mixed *= np.uint32(0x85EBCA6B)
+            mixed ^= mixed >> np.uint32(13)
+            key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mixed, starts).astype(np.uint64)
         _, first, member = np.unique(key, return_index=True, return_inverse=True)
         group[filled] = np.minimum(group[filled], group[filled[first]][member])
     kept = group == np.arange(n)
@@ -223,32 +227,25 @@ def train(
     owner = np.repeat(np.arange(labelled.num_rows, dtype=np.int32), np.diff(feature.offsets.to_numpy()))
     data = Examples(owner, feature.flatten().to_numpy(), count.flatten().to_numpy(), labelled.column("grade").to_numpy())
     data = without_copies(data)
+    del labelled, feature, count, owner
+    pa.default_memory_pool().release_unused()
     return fit(graded_by_hits(data) if by_hits else data)
 
 
-def _log_odds(text: str | None, weights: np.ndarray) -> float:
-    index, count = features(text)
-    own = weights[index]
-    hit = own != 0
-    return float(np.dot(own[hit], 1 + np.log(count[hit]))) if hit.any() else 0.0
-
-
 def scored(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     """``documents`` with ``severity`` (expected grade), ``grade`` (most probable) and ``toxic``.
 
     Existing columns of these names give way. A null or empty text has no features: its severity is
     what the thresholds alone say, well below rejection wherever most documents are harmless.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((model.table(), model.thresholds))
     plain = documents.drop("severity", "grade", "toxic")
     schema = T.StructType([*plain.schema.fields])
     schema.add("severity", T.DoubleType()).add("grade", T.IntegerType()).add("toxic", T.BooleanType())
 
     def score(batches: BatchesIn) -> Batches:
-        weights, thresholds = shared.value
         for batch in batches:
-            sums = [_log_odds(text, weights) for text in column(batch, "text")]
-            above = exceed(np.array(sums, float), thresholds)
+            sums = [model.score(text) for text in column(batch, "text")]
+            above = exceed(np.array(sums, float), model.thresholds)
             chances = np.hstack([np.ones((len(sums), 1)), above]) - np.hstack([above, np.zeros((len(sums), 1))])
             severity = above.sum(axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -281,12 +278,10 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose expected severity is below ``REJECT``, all columns as they are."""
     model = train(documents, _labelled(labels), by_hits=True)
-    shared = documents.sparkSession.sparkContext.broadcast((model.table(), model.thresholds))
 
     def keep(batches: BatchesIn) -> Batches:
-        weights, thresholds = shared.value
         for batch in batches:
-            sums = np.array([_log_odds(text, weights) for text in column(batch, "text")], float)
-            yield batch.filter(pa.array(exceed(sums, thresholds).sum(axis=1) < REJECT))
+            sums = np.array([model.score(text) for text in column(batch, "text")], float)
+            yield batch.filter(pa.array(exceed(sums, model.thresholds).sum(axis=1) < REJECT))
 
     return documents.mapInArrow(keep, documents.schema)
