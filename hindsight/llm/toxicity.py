@@ -27,10 +27,9 @@ MAX_LABELLED = 6_000
 #: Features of one training document that the driver holds: beyond this, words from all over the text.
 MAX_TRAINING_FEATURES = 2_000
 HASH_BITS = 22
-#: A feature stays if it is in so many training documents, as many as this share of those graded above 0
-#: (rarer ones are mostly a few texts that copy from each other), and deviates by so many standard errors.
+#: A feature stays if it is in so many training documents (near-copies count once), whatever share of
+#: them that is, and deviates by so many standard errors.
 LEAST_DOCUMENTS = 8
-LEAST_SHARE = 0.08
 SIGNIFICANT = 6.0
 #: Occurrences of toxic words from which on a document labelled toxic is of grade 2 and 3.
 GRADE_HITS = (3, 6)
@@ -117,8 +116,7 @@ def select_features(data: Examples) -> np.ndarray:
     n = np.bincount(data.feature, minlength=1 << HASH_BITS)
     total = np.bincount(data.feature, weights=data.grades[data.document], minlength=1 << HASH_BITS)
     z = (total - n * data.grades.mean()) / (spread * np.sqrt(np.maximum(n, 1)))
-    least = max(LEAST_DOCUMENTS, LEAST_SHARE * np.count_nonzero(data.grades))
-    return np.flatnonzero((n >= least) & (np.abs(z) >= SIGNIFICANT))
+    return np.flatnonzero((n >= LEAST_DOCUMENTS) & (np.abs(z) >= SIGNIFICANT))
 
 
 def graded_by_hits(data: Examples, hits: tuple[int, ...] = GRADE_HITS) -> Examples:

@@ -61,6 +61,22 @@ def test_gradient_climbs_to_the_frequencies():
     assert above == pytest.approx([200 / 700, 50 / 700], abs=0.01)
 
 
+def test_toxic_terms_of_a_few_percent_each_count():
+    random.seed(5)
+    rows, grades = [], []
+    for i in range(3000):
+        index = {1000 + random.randrange(5000) for _ in range(20)}
+        if i < 1000:
+            index.add(i % 50)  # 50 toxic terms, each in 2 % of the toxic documents
+        rows.append((np.array(sorted(index)), np.ones(len(index), int)))
+        grades.append(int(i < 1000))
+    model = toxicity.fit(toxicity.graded_by_hits(toxicity.Examples.of(rows, grades)))
+    assert set(range(50)) <= set(model.feature)
+    score = [model.weight[np.isin(model.feature, index)].sum() for index, _ in rows]
+    rejected = toxicity.exceed(np.array(score), model.thresholds).sum(axis=1) >= toxicity.REJECT
+    assert rejected[:1000].all() and rejected[1000:].mean() < 0.01
+
+
 def test_pipeline_stage_keeps_clean_rows_and_columns(spark, corpus):
     rows, grades = corpus
     docs = spark.createDataFrame(rows, SCHEMA)
