@@ -5,12 +5,14 @@ one weight vector for all thresholds ``c_0 < c_1 < ...`` (proportional odds), so
 grade informs all of them, and the expected severity is the sum of these probabilities.
 
 ``x`` are words and word pairs, hashed, each counted as ``1 + log(count)``. Training uses the
-``MAX_LABELLED`` labelled documents that come first in a seeded order; of their features only
-those stay whose presence goes with the grade beyond chance, and a penalty keeps weights small.
+``MAX_LABELLED`` labelled documents that come first in a seeded order, their whole texts: documents
+and grades are summed up by feature in the tasks, and of the documents' features the driver gets
+only those whose presence goes with the grade beyond chance. A penalty keeps weights small.
 Scoring covers every document and its whole text, with a table of the weights that are left.
 """
 
 from collections.abc import Iterable
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -20,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, BatchesIn, column, list_array, words
+from .common import Batches, BatchesIn, column, list_array, words, written
 
-#: Labelled documents that the model is fitted on, at most. The driver holds their features.
+#: Labelled documents that the model is fitted on, at most. The driver holds their significant features.
 MAX_LABELLED = 6_000
-#: Features of one training document that the driver holds: beyond this, words from all over the text.
-MAX_TRAINING_FEATURES = 2_000
 HASH_BITS = 22
 #: A feature stays if it is in so many training documents (near-copies count once), whatever share of
 #: them that is, and deviates by so many standard errors.
@@ -85,38 +85,54 @@ class Examples(NamedTuple):
         return cls(np.repeat(np.arange(len(rows), dtype=np.int32), sizes), *both, np.asarray(list(grades), np.int64))
 
 
-def without_copies(data: Examples, bands: int = 12, rows: int = 8) -> Examples:
-    """One example of each group of near-copies, or the words of a much copied text would seem to be
-    signs of its grade. Copies agree in a band of min-hashes of their features."""
-    n = len(data.grades)
-    filled, starts = np.unique(data.document, return_index=True)
-    group = np.arange(n)
+@cache
+def _mixers(bands: int, rows: int) -> np.ndarray:
     random = np.random.default_rng(3)
-    for _ in range(bands if len(filled) else 0):
-        key = np.zeros(len(filled), np.uint64)
-        for a, b in random.integers(0, 2**32, (rows, 2), dtype=np.uint32):
-            mixed = data.feature.astype(np.uint32) * (a | np.uint32(1)) + b
-            mixed ^= mixed >> np.uint32(15)
-            mixed *= np.uint32(0x85EBCA6B)
-            mixed ^= mixed >> np.uint32(13)
-            key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mixed, starts).astype(np.uint64)
+    return np.array([random.integers(0, 2**32, (rows, 2), dtype=np.uint32) for _ in range(bands)])
+
+
+def band_keys(feature: np.ndarray, bands: int = 12, rows: int = 8) -> np.ndarray:
+    """A key by band of min-hashes of one document's features; none without features."""
+    if not len(feature):
+        return np.empty(0, np.int64)
+    least = np.empty((bands, rows), np.uint64)
+    for band, row in np.ndindex(bands, rows):
+        a, b = _mixers(bands, rows)[band, row]
+        mixed = feature.astype(np.uint32) * (a | np.uint32(1)) + b
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x85EBCA6B)
+        mixed ^= mixed >> np.uint32(13)
+        least[band, row] = mixed.min()
+    key = np.zeros(bands, np.uint64)
+    for row in range(rows):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + least[:, row]
+    return key.view(np.int64)
+
+
+def first_of_copies(keys: np.ndarray) -> np.ndarray:
+    """Marks one document of each group of near-copies, or the words of a much copied text would seem to be
+    signs of its grade. Copies agree in a band; ``keys`` has a row for each document."""
+    group = np.arange(len(keys))
+    for key in keys.T:
         _, first, member = np.unique(key, return_index=True, return_inverse=True)
-        group[filled] = np.minimum(group[filled], group[filled[first]][member])
-    kept = group == np.arange(n)
-    number = np.cumsum(kept) - 1
-    own = kept[data.document]
-    return Examples(number[data.document[own]].astype(np.int32), data.feature[own], data.count[own], data.grades[kept])
+        group = np.minimum(group, group[first][member])
+    return group == np.arange(len(keys))
+
+
+def significant(n: np.ndarray, total: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Whether the mean grade of the ``n`` documents with a feature, ``total / n``, differs significantly from all's."""
+    spread = grades.std() if len(grades) else 0
+    if not spread:
+        return np.zeros(len(n), bool)
+    z = (total - n * grades.mean()) / (spread * np.sqrt(np.maximum(n, 1)))
+    return (n >= LEAST_DOCUMENTS) & (np.abs(z) >= SIGNIFICANT)
 
 
 def select_features(data: Examples) -> np.ndarray:
     """Features whose documents' mean grade differs significantly from that of all."""
-    spread = data.grades.std() if len(data.grades) else 0
-    if not spread:
-        return np.empty(0, np.int64)
     n = np.bincount(data.feature, minlength=1 << HASH_BITS)
     total = np.bincount(data.feature, weights=data.grades[data.document], minlength=1 << HASH_BITS)
-    z = (total - n * data.grades.mean()) / (spread * np.sqrt(np.maximum(n, 1)))
-    return np.flatnonzero((n >= LEAST_DOCUMENTS) & (np.abs(z) >= SIGNIFICANT))
+    return np.flatnonzero(significant(n, total, data.grades))
 
 
 def graded_by_hits(data: Examples, hits: tuple[int, ...] = GRADE_HITS) -> Examples:
@@ -179,23 +195,74 @@ def fit(data: Examples, penalty: float = 1e-3, steps: int = 400) -> OrdinalModel
     return OrdinalModel(kept, weight.astype(np.float32), np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
 
 
-def _featurized(batches: BatchesIn) -> Batches:
+def _keyed(batches: BatchesIn) -> Batches:
     for batch in batches:
-        rows = []
-        for text, grade in zip(column(batch, "text"), column(batch, "grade"), strict=True):
-            index, count = features(text)
-            if len(index) > MAX_TRAINING_FEATURES:
-                # Hashes are in no order of the text: an even choice of all its features.
-                some = np.linspace(0, len(index) - 1, MAX_TRAINING_FEATURES).astype(int)
-                index, count = index[some], count[some]
-            rows.append((grade, index.astype(np.int32), count.astype(np.int32)))
-        if rows:
-            grades, indexes, counts = zip(*rows, strict=True)
-            ends = np.cumsum([0, *map(len, indexes)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grades, pa.int64()), *[list_array(ends, pa.array(np.concatenate(x))) for x in (indexes, counts)]],
-                names=["grade", "feature", "n"],
-            )
+        found = [band_keys(features(text)[0]) for text in column(batch, "text")]
+        keys = list_array(np.cumsum([0, *map(len, found)]), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+        yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "keys"])
+
+
+class _Labelled(NamedTuple):
+    """Training documents in the shared folder; rows (sorted) and grades of those that count."""
+
+    texts: DataFrame
+    rows: np.ndarray
+    grades: np.ndarray
+
+    def _featurized(self, batches: BatchesIn):
+        for batch in batches:
+            for row, text in zip(column(batch, "row"), column(batch, "text"), strict=True):
+                at = np.searchsorted(self.rows, row)
+                if at < len(self.rows) and self.rows[at] == row:
+                    yield at, *features(text)
+
+    def selected(self) -> np.ndarray:
+        """``select_features`` of whole texts: each task sums up by feature, and the driver gets the sums."""
+        grades, featurized = self.grades, self._replace(texts=None)._featurized
+
+        def sums(batches: BatchesIn) -> Batches:
+            n, total = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+            for at, index, _ in featurized(batches):
+                n[index] += 1
+                total[index] += grades[at]
+            found = np.flatnonzero(n)
+            for some in np.split(found, range(1 << 16, len(found), 1 << 16)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int64()), pa.array(n[some]), pa.array(total[some])], names=["feature", "n", "total"]
+                )
+
+        # Of 2**HASH_BITS features at most.
+        found = (
+            self.texts.select("row", "text")
+            .mapInArrow(sums, "feature long, n long, total long")
+            .groupBy("feature")
+            .agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+            .where(F.col("n") >= LEAST_DOCUMENTS)
+            .toArrow()
+        )
+        feature, n, total = (found.column(c).to_numpy() for c in ("feature", "n", "total"))
+        return np.sort(feature[significant(n, total, grades)])
+
+    def examples(self, kept: np.ndarray) -> Examples:
+        """The documents with those of their features that are in ``kept``, and whole counts."""
+        featurized = self._replace(texts=None)._featurized
+
+        def some(batches: BatchesIn) -> Batches:
+            for batch in batches:
+                rows = []
+                for at, index, count in featurized([batch]):
+                    own = np.isin(index, kept, assume_unique=True)
+                    rows.append((np.full(own.sum(), at), index[own], count[own]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(x), pa.int32()) for x in zip(*rows, strict=True)],
+                        names=["document", "feature", "n"],
+                    )
+
+        if not len(kept):
+            return Examples.of([], [])._replace(grades=self.grades)
+        found = self.texts.select("row", "text").mapInArrow(some, "document int, feature int, n int").toArrow()
+        return Examples(*(found.column(c).to_numpy() for c in ("document", "feature", "n")), self.grades)
 
 
 def train(
@@ -213,21 +280,23 @@ def train(
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
         .limit(max_labelled)
     )
-    labelled = (
+    texts = written(
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows of two numbers
-        .select("text", "grade")
-        .mapInArrow(_featurized, "grade long, feature array<int>, n array<int>")
-    ).toArrow()
-    if not labelled.num_rows:
-        return fit(Examples.of([], []))
-    feature, count = (labelled.column(c).combine_chunks() for c in ("feature", "n"))
-    owner = np.repeat(np.arange(labelled.num_rows, dtype=np.int32), np.diff(feature.offsets.to_numpy()))
-    data = Examples(owner, feature.flatten().to_numpy(), count.flatten().to_numpy(), labelled.column("grade").to_numpy())
-    data = without_copies(data)
-    del labelled, feature, count, owner
-    pa.default_memory_pool().release_unused()
-    return fit(graded_by_hits(data) if by_hits else data)
+        .select(F.monotonically_increasing_id().alias("row"), "grade", "text")
+        .mapInArrow(_keyed, "row long, grade long, text string, keys array<long>"),
+        "labelled",
+    )
+    rows = texts.select("row", "grade", "keys").orderBy("row").toArrow()
+    keys = rows.column("keys").combine_chunks()
+    filled = np.diff(keys.offsets.to_numpy()) > 0
+    kept = np.ones(rows.num_rows, bool)
+    if filled.any():
+        kept[filled] = first_of_copies(keys.flatten().to_numpy().reshape(filled.sum(), -1))
+    labelled = _Labelled(texts, rows.column("row").to_numpy()[kept], rows.column("grade").to_numpy()[kept])
+    if by_hits:
+        labelled = labelled._replace(grades=graded_by_hits(labelled.examples(labelled.selected())).grades)
+    return fit(labelled.examples(labelled.selected()))
 
 
 def scored(documents: DataFrame, model: OrdinalModel) -> DataFrame:

@@ -77,6 +77,22 @@ def test_toxic_terms_of_a_few_percent_each_count():
     assert rejected[:1000].all() and rejected[1000:].mean() < 0.01
 
 
+def test_long_texts_train_whole(spark):
+    random.seed(6)
+    vocabulary = [f"w{i}" for i in range(40_000)]
+    rows = []
+    for i in range(180):
+        text = random.choices(vocabulary, k=4000)
+        for _ in range(7 if i < 60 else 0):
+            text[random.randrange(len(text))] = INSULTS[0]
+        rows.append((i, " ".join(text), 7, 0.5))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i < 60)) for i in range(180) if i % 6], "doc_id long, quality int, toxic int")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert all(r.toxic == (r.doc_id < 60) for r in out)
+    assert np.mean([r.grade == 3 for r in out if r.doc_id < 60]) > 0.9
+
+
 def test_pipeline_stage_keeps_clean_rows_and_columns(spark, corpus):
     rows, grades = corpus
     docs = spark.createDataFrame(rows, SCHEMA)
