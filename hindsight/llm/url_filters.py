@@ -7,7 +7,8 @@ The tree is built from aggregated shapes, not from pages:
 2. Level by level, the segments below a node (host and template so far) are compared. A node with
    many and rare segments is variable and gets one wildcard branch. Otherwise branches whose share
    of bad labels does not differ significantly from all branches of the node are merged into the
-   wildcard branch; only those that do differ stay on their own.
+   wildcard branch; only those that do differ stay on their own. This goes on to the end of every
+   path; a shape that is alone in its node is done, as nothing below it can merge.
 3. A template's purity is its share of good labels, smoothed towards its host's, and that towards
    the share of all labels. Templates below ``MIN_PURITY`` are rejected.
 
@@ -21,9 +22,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_path, written
 
-#: Segments of a path that are told apart; deeper ones count as one.
+#: Segments of a path in its short form, which is that of the SQL counterpart. The tree has all segments.
 DEPTH = 4
 #: A node with more branches than this, on average seen less than ``RARE`` times, is variable.
 FAN_OUT = 16
@@ -65,8 +66,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def shape_of(path: Column) -> Column:
-    """The path's segments with those that are variable by form generalised, deeper ones as ``**``."""
+def shape_of(path: Column, depth: int | None = DEPTH) -> Column:
+    """The path's segments with those that are variable by form generalised; those below ``depth``, if any is given, as ``**``."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def general(segment: Column) -> Column:
@@ -75,21 +76,26 @@ def shape_of(path: Column) -> Column:
         variable = stem.rlike(r"^[0-9_.-]*[0-9][0-9_.-]*$") | stem.rlike(r"^[0-9a-fA-F-]{16,}$") | (F.length(stem) > 64)
         return F.when(variable, F.concat(F.lit("*"), extension)).otherwise(segment)
 
-    shape = F.transform(F.slice(segments, 1, DEPTH), general)
-    return F.when(F.size(segments) > DEPTH, F.concat(shape, F.array(F.lit("**")))).otherwise(shape)
+    if depth is None:
+        return F.transform(segments, general)
+    shape = F.transform(F.slice(segments, 1, depth), general)
+    return F.when(F.size(segments) > depth, F.concat(shape, F.array(F.lit("**")))).otherwise(shape)
 
 
 def _templates(shapes: DataFrame) -> DataFrame:
     """``(host, shape, template)``: each shape with its place in the tree."""
-    tree = written(shapes.withColumn("template", F.lit("")), "shapes")
-    for level in range(DEPTH + 1):
+    spark, folder = shapes.sparkSession, shared_path(shapes.sparkSession, "templates")
+    tree = written(shapes.withColumn("template", F.lit("")).withColumn("done", F.lit(False)), "shapes")
+    schema, level = tree.schema, 0
+    while not tree.isEmpty():
         segment = F.get("shape", F.lit(level))
         tree = tree.withColumn("segment", F.coalesce(segment, F.lit("")))
         branches = tree.groupBy("host", "template", "segment").agg(
-            *[F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
+            F.count("*").alias("shapes"), *[F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
         )
         nodes = branches.groupBy("host", "template").agg(
-            F.count("*").alias("branches"), *[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "bad")]
+            F.count("*").alias("branches"),
+            *[F.sum(c).alias(f"all_{c}") for c in ("shapes", "pages", "labelled", "bad")],
         )
         share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1)
         spread = F.sqrt(F.col("labelled") * share * (1 - share))
@@ -97,13 +103,28 @@ def _templates(shapes: DataFrame) -> DataFrame:
         variable = (F.col("branches") > FAN_OUT) & (F.col("all_pages") < RARE * F.col("branches"))
         own = (F.col("segment") == "") | (F.col("branches") == 1) | (~variable & differs)
         decided = branches.join(nodes, ["host", "template"]).select(
-            "host", "template", "segment", F.when(own, F.col("segment")).otherwise("*").alias("kept")
+            "host",
+            "template",
+            "segment",
+            F.when(own, F.col("segment")).otherwise("*").alias("kept"),
+            (F.col("all_shapes") == 1).alias("alone"),
         )
         step = F.when(F.col("kept") == "", "").otherwise(F.concat(F.lit("/"), "kept"))
-        tree = tree.join(decided, ["host", "template", "segment"]).withColumn("template", F.concat("template", step))
+        below = F.slice("shape", level + 1, F.greatest(F.size("shape") - level, F.lit(0)))
+        whole = F.array_join(F.transform(below, lambda s: F.concat(F.lit("/"), s)), "")
+        tree = (
+            tree.join(decided, ["host", "template", "segment"])
+            .withColumn("template", F.concat("template", F.when(F.col("alone"), whole).otherwise(step)))
+            .withColumn("done", F.col("alone") | (F.size("shape") <= level + 1))
+        )
         # Each level refers to the one above several times: written, the plan stays small.
-        tree = written(tree.drop("segment", "kept"), "templates")
-    return tree
+        path = f"{folder}/level={level}"
+        tree.select(*schema.names).write.parquet(path)
+        tree = spark.read.schema(schema).parquet(path).where("not done")
+        level += 1
+    if not level:
+        return tree
+    return spark.read.schema(schema).parquet(folder).where("done").select(*schema.names)
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -120,7 +141,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule]) -> Da
     urls = pages.select("page_id", "url").select(F.col("page_id"), host.alias("host"), path.alias("path"))
     seen = urls.join(judged, "page_id", "left")
     shapes = (
-        seen.withColumn("shape", shape_of(F.col("path")))
+        seen.withColumn("shape", shape_of(F.col("path"), None))
         .groupBy("host", "shape")
         .agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
     )
@@ -141,7 +162,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule]) -> Da
     by_shape = tree.select("host", "shape", "template").join(purity, ["host", "template"])
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return (
-        urls.withColumn("shape", shape_of(F.col("path")))
+        urls.withColumn("shape", shape_of(F.col("path"), None))
         .join(by_shape, ["host", "shape"], "left")
         .select(
             "page_id",

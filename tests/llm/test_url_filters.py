@@ -52,6 +52,15 @@ def test_impure_templates_are_rejected_and_clean_siblings_stay(spark):
     assert {(r.template, r.verdict) for r in out} == {("/spam/*", "block"), ("/news/*", "allow")}
 
 
+def test_branches_differ_at_any_depth(spark):
+    urls = [f"http://h.org/a/b/c/d/{x}/e/{kind}/{i}" for kind in ("spam", "news") for x in ("x", "y") for i in range(40)]
+    alone = ["http://lone.org/" + "/".join("abcdefghijklmnopqrstuvwxyz"), "http://k.org/a/b/c", "http://l.org"]
+    out = judge(spark, urls + alone, [(i, i < 80) for i in range(160)])
+    assert {(r.template, r.verdict) for r in out[:80]} == {("/a/b/c/d/*/e/spam/*", "block")}
+    assert {(r.template, r.verdict) for r in out[80:160]} == {("/a/b/c/d/*/e/news/*", "allow")}
+    assert [r.template for r in out[160:]] == ["/" + "/".join("abcdefghijklmnopqrstuvwxyz"), "/a/b/c", ""]
+
+
 def test_similar_branches_merge_and_many_rare_ones_are_variable(spark):
     similar = [f"http://s.org/{a}/{i}" for a in ("a", "b", "c") for i in range(20)]
     rare = [f"http://r.org/user{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)]
