@@ -4,10 +4,10 @@ The tree is built from aggregated shapes, not from pages:
 
 1. A path's segments that are variable by form (numbers, hexadecimal and very long ones) become
    ``*``; a file extension stays. Pages are counted by host and resulting shape, with their labels.
-2. Level by level, the segments below a node (host and template so far) are compared. A node with
-   many and rare segments is variable and gets one wildcard branch. Otherwise branches whose share
-   of bad labels does not differ significantly from all branches of the node are merged into the
-   wildcard branch; only those that do differ stay on their own. This goes on to the end of every
+2. Level by level, the segments below a node (host and template so far) are compared. Branches
+   whose share of bad labels does not differ significantly from all branches of the node are merged
+   into the wildcard branch; only those that do differ stay on their own. A node with many and rare
+   segments is variable: there the rare ones are merged, too. This goes on to the end of every
    path; a shape that is alone in its node is done, as nothing below it can merge.
 3. A template's purity is its share of good labels, smoothed towards its host's, and that towards
    the share of all labels. Templates below ``MIN_PURITY`` are rejected.
@@ -26,7 +26,8 @@ from .common import shared_path, written
 
 #: Segments of a path in its short form, which is that of the SQL counterpart. The tree has all segments.
 DEPTH = 4
-#: A node with more branches than this, on average seen less than ``RARE`` times, is variable.
+#: A node with more branches than this, on average seen less than ``RARE`` times, is variable: only
+#: branches that are seen at least that often can stay on their own.
 FAN_OUT = 16
 RARE = 4
 #: Standard deviations by which a branch has to differ to stay on its own.
@@ -101,7 +102,7 @@ def _templates(shapes: DataFrame) -> DataFrame:
         spread = F.sqrt(F.col("labelled") * share * (1 - share))
         differs = (F.col("labelled") > 0) & (F.abs(F.col("bad") - F.col("labelled") * share) > DIFFERENT * spread)
         variable = (F.col("branches") > FAN_OUT) & (F.col("all_pages") < RARE * F.col("branches"))
-        own = (F.col("segment") == "") | (F.col("branches") == 1) | (~variable & differs)
+        own = (F.col("segment") == "") | (F.col("branches") == 1) | (differs & (~variable | (F.col("pages") >= RARE)))
         decided = branches.join(nodes, ["host", "template"]).select(
             "host",
             "template",

@@ -61,6 +61,14 @@ def test_branches_differ_at_any_depth(spark):
     assert [r.template for r in out[160:]] == ["/" + "/".join("abcdefghijklmnopqrstuvwxyz"), "/a/b/c", ""]
 
 
+def test_a_heavy_bad_branch_stands_out_of_many_rare_ones(spark):
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(400)]
+    urls = [f"http://h.org/{name}/1" for name in names] + [f"http://h.org/spam/{i}" for i in range(300)]
+    out = judge(spark, urls, [(i, i >= 400) for i in range(700)])
+    assert {(r.template, r.verdict) for r in out[:400]} == {("/*/*", "allow")}
+    assert {(r.template, r.verdict) for r in out[400:]} == {("/spam/*", "block")}
+
+
 def test_similar_branches_merge_and_many_rare_ones_are_variable(spark):
     similar = [f"http://s.org/{a}/{i}" for a in ("a", "b", "c") for i in range(20)]
     rare = [f"http://r.org/user{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)]
