@@ -4,7 +4,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lm_scoring, mixing, near_dedup, nearest, oracles, packing, pii, toxicity, url_filters, warc
+from . import (
+    collocations,
+    fingerprints,
+    lm_scoring,
+    manifest,
+    mixing,
+    near_dedup,
+    nearest,
+    oracles,
+    packing,
+    page_text,
+    pii,
+    toxicity,
+    url_filters,
+    warc,
+)
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -73,6 +88,27 @@ def op10_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), labels, RULES).drop("purity")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def tampered_manifest(documents: DataFrame, levels: int = manifest.LEVELS) -> DataFrame:
+    """The manifest, folded from rows of which every seventh has a wrong ``n_chars``."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    n_chars = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [n_chars if name == "n_chars" else F.col(name) for name in fields]
+    return manifest.manifest(documents, "doc_id", "lang", fields, changed, levels)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         query.__name__: query
@@ -87,6 +123,9 @@ def queries() -> dict:
             op8_hilbert_neighbours,
             op9_prefix_fingerprints,
             op10_url_template_filter,
+            op11_phrase_collocations,
+            op12_merkle_manifest,
+            op13_html_extraction,
         )
     }
 
