@@ -229,6 +229,9 @@ class Events(HTMLParser):
         return super().parse_html_declaration(i)
 
     def close(self) -> None:
+        # What the page ends in the midst of is no text, as in browsers: a tag, comment or declaration.
+        if self.rawdata.startswith("<"):
+            self.rawdata = ""
         super().close()
         self._end_line()
 

@@ -44,6 +44,8 @@ def test_given_pages_have_their_articles(spark):
         (f"<article><table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e</dl><p>{LONG}</article>", f"a b c d e {LONG}"),
         (f"<p>{LONG}</p><p title='unclosed", LONG),
         (f"<![CDATA[ x ]]><![if IE]><p>{LONG}</p></div></b><![endif", LONG),
+        (f"<p>{LONG}</p><!-- cut <p>{LONG}", LONG),
+        (f"<p>{LONG} 1 < 2 &amp", f"{LONG} 1 < 2 &"),
         (f"<article><p>{LONG}<article><p>{LONG}", f"{LONG} {LONG}"),
     ],
 )
