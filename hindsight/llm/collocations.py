@@ -5,12 +5,14 @@ with empty strings where the piece ends. Only these longest windows are counted.
 shorter phrase is the beginning of exactly one window, ``ROLLUP (lang, word1, ..., word_n)`` over the counted
 windows has the exact count of every phrase of every length, and of all words of a language.
 
-Tasks count the windows of their texts in chunks of ``CHUNK_BYTES`` (one longer text alone is a chunk) and send
-each distinct window once, ordered, to the task of its language and first two words. There windows become exact,
-and words from which on a phrase is rarer than ``least`` become padding: sums of shorter prefixes stay as they
-are, and such a phrase could neither be a candidate nor a part of one. What ROLLUP and the joins behind it
-shuffle is therefore the words and the frequent phrases only. A frequent word's windows are spread by the
-word that follows; of a frequent pair's windows a task sends one row per distinct window.
+Tasks count the windows of their texts in chunks of ``CHUNK_BYTES`` (one longer text alone is a chunk) and deal
+each distinct window out once by a bucket of its first two words; the windows of a bucket travel as one text,
+which takes less than half the space of a row for each. Where a bucket's texts meet, windows become exact, and words
+from which on a phrase is rarer than ``least`` become padding: sums of shorter prefixes stay as they are, and
+such a phrase could neither be a candidate nor a part of one. What ROLLUP and the joins behind it shuffle is
+therefore the words and the frequent phrases only. There are ``BUCKETS`` buckets for every shuffle partition, so a
+bucket is a small part of what a task is sized for: a frequent word's windows are spread by the word that
+follows, of a frequent pair's windows a task sends each distinct one once.
 
 Texts are lower-cased in A-Z, cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and those into words ``[^\\x20\\x09]+``.
 
@@ -20,6 +22,8 @@ repeated rows count as often as they occur; an empty table gives an empty result
 digits (counts of up to 10 ** 16); beyond that Spark raises an error.
 """
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,7 +36,9 @@ from .common import Batches, BatchesIn, written
 CHUNK_BYTES = 12_000_000
 #: Each language is ranked in so many parts before the parts' first rows meet.
 RANK_PARTS = 64
-#: Rows of an output batch.
+#: Buckets of first two words for every shuffle partition.
+BUCKETS = 8
+#: Windows of an output batch.
 ROWS = 50_000
 
 BREAK = b"\n"
@@ -65,22 +71,37 @@ def windows(codes: np.ndarray, end: int, distinct: int, longest: int) -> tuple[l
         lead = np.full(len(codes), end, np.int64)
         lead[:-ahead] = codes[ahead:]
         ended = ended | (lead == end)
-        columns.append(np.where(ended, end, lead))
-    columns = [column[starts] for column in columns]
-    # A window's key is the rank of its beginning so far, then the next word: below 2 ** 63 at any length.
-    key = columns[0]
-    for column in columns[1:-1]:
-        key = np.unique(key * distinct + column, return_inverse=True)[1]
-    _, first, counts = np.unique(key * distinct + columns[-1], return_index=True, return_counts=True)
-    return [column[first] for column in columns], counts
+        lead[ended] = end
+        columns.append(lead)
+    key = columns[0][starts]
+    beginnings = []
+    for i, column in enumerate(columns[1:], 2):
+        # Beginnings are numbered anew where the key of one more word could pass 64 bits.
+        if i > 2 and distinct**i >= 2**63:
+            known, key = np.unique(key, return_inverse=True)
+            beginnings.append((i - 1, known))
+        key = key * distinct + column[starts]
+    key, counts = np.unique(key, return_counts=True)
+    found: list[np.ndarray] = []
+    for size in range(longest, 1, -1):
+        if beginnings and beginnings[-1][0] == size:
+            key = beginnings.pop()[1][key]
+        found.append(key % distinct)
+        key = key // distinct
+    return [key, *reversed(found)], counts
 
 
 def _lead_names(longest: int) -> list[str]:
     return [f"word{i}" for i in range(1, longest + 1)]
 
 
-def _counted(batches: BatchesIn, longest: int) -> Batches:
-    """Distinct windows of chunks of texts with their counts."""
+def _lines(names: pa.Array, columns: list[np.ndarray]) -> pa.Array:
+    """Windows as text, with spaces between the words."""
+    return pc.binary_join_element_wise(*[names.take(pa.array(column)) for column in columns], pa.scalar(b" ", pa.binary()))
+
+
+def _counted(batches: BatchesIn, longest: int, buckets: int) -> Batches:
+    """Distinct windows of chunks of texts with their counts, those of a bucket in one row."""
     held: dict[str, list[bytes]] = {}
     size = 0
 
@@ -91,13 +112,26 @@ def _counted(batches: BatchesIn, longest: int) -> Batches:
             shown = names.to_pylist()
             shown[end] = b""
             names = pa.array(shown, pa.binary())
-            for low in range(0, len(counts), ROWS):
-                part = slice(low, low + ROWS)
-                of_part = [names.take(pa.array(column[part])).cast(pa.string()) for column in columns]
-                langs = pa.repeat(pa.scalar(lang, pa.string()), len(of_part[0]))
+            hashes = np.fromiter(map(crc32, shown), np.int64, len(shown))
+            dealt = (hashes[columns[0]] * 31 + hashes[columns[1]]) % buckets
+            order = np.argsort(dealt.astype(np.uint16 if buckets < 2**16 else np.int64), kind="stable")
+            dealt = dealt[order]
+            starts = np.flatnonzero(np.diff(dealt, prepend=-1))
+            ends = np.append(starts[1:], len(dealt))
+            low = 0
+            while low < len(starts):
+                high = max(low + 1, int(np.searchsorted(ends, starts[low] + ROWS, "right")))
+                rows = order[starts[low] : ends[high - 1]]
+                lines = _lines(names, [column[rows] for column in columns])
+                offsets = pa.array(np.append(starts[low:high], ends[high - 1]) - starts[low], pa.int32())
+                joined = pc.binary_join(pa.ListArray.from_arrays(offsets, lines), BREAK)
+                of_lines = pa.ListArray.from_arrays(offsets, pa.array(counts[rows], pa.int64()))
+                langs = pa.repeat(pa.scalar(lang, pa.string()), high - low)
+                bucket = pa.array(dealt[starts[low:high]], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [langs, *of_part, pa.array(counts[part], pa.int64())], ["lang", *_lead_names(longest), "n"]
+                    [langs, bucket, joined.cast(pa.string()), of_lines], ["lang", "bucket", "windows", "counts"]
                 )
+                low = high
 
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
@@ -110,11 +144,49 @@ def _counted(batches: BatchesIn, longest: int) -> Batches:
     yield from flush()
 
 
-def counted_windows(documents: DataFrame, longest: int = 3) -> DataFrame:
-    """Distinct windows of tasks' chunks: ``lang``, ``word1`` and so on (padding: empty), ``n``."""
+def _sums(values: pa.Array, counts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct values, their summed counts, and which of them each value is."""
+    encoded = values.dictionary_encode()
+    which = np.asarray(encoded.indices)
+    total = np.zeros(len(encoded.dictionary), np.int64)
+    np.add.at(total, which, counts)
+    return encoded.dictionary, total, which
+
+
+def exact_windows(bucket: pa.Table, longest: int, least: int) -> pa.Table:
+    """The windows of a bucket with exact counts, padded from where their beginnings are rarer than ``least``."""
+    lines = pc.split_pattern(bucket["windows"].cast(pa.large_binary()), pattern=BREAK).combine_chunks().flatten()
+    counts = np.asarray(pc.list_flatten(bucket["counts"]).combine_chunks())
+    distinct, totals, _ = _sums(lines, counts)
+    split = pc.split_pattern(distinct, pattern=b" ").flatten()
+    words = [split.take(pa.array(np.arange(i, len(split), longest))) for i in range(longest)]
+    # All windows that begin with a word's pair lie in this bucket, all that begin with the word do not.
+    frequent = []
+    head = words[0]
+    for word in words[1:]:
+        head = pc.binary_join_element_wise(head, word, pa.scalar(b" ", head.type))
+        _, of_head, which = _sums(head, totals)
+        frequent.append(pa.array(of_head[which] >= least))
+    nothing = pa.scalar(b"", split.type)
+    words[1:] = [pc.if_else(often, word, nothing) for often, word in zip(frequent, words[1:], strict=True)]
+    kept, totals, _ = _sums(pc.binary_join_element_wise(*words, pa.scalar(b" ", split.type)), totals)
+    split = pc.split_pattern(kept, pattern=b" ").flatten()
+    columns = [split.take(pa.array(np.arange(i, len(split), longest))).cast(pa.string()) for i in range(longest)]
+    langs = pa.repeat(pa.scalar(bucket["lang"][0].as_py(), pa.string()), len(kept))
+    return pa.Table.from_arrays([langs, *columns, pa.array(totals)], ["lang", *_lead_names(longest), "n"])
+
+
+def padded_windows(documents: DataFrame, least: int = 10, longest: int = 3) -> DataFrame:
+    """``lang``, ``word1`` and so on (padding: empty), ``n``: what ROLLUP sums up."""
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
+    buckets = BUCKETS * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(
+        lambda batches: _counted(batches, longest, buckets), "lang string, bucket long, windows string, counts array<long>"
+    )
     columns = ", ".join(f"{name} string" for name in _lead_names(longest))
-    return texts.mapInArrow(lambda batches: _counted(batches, longest), f"lang string, {columns}, n long")
+    return dealt.groupBy("lang", "bucket").applyInArrow(
+        lambda bucket: exact_windows(bucket, longest, least), f"lang string, {columns}, n long"
+    )
 
 
 def phrase_counts(documents: DataFrame, least: int = 10, longest: int = 3) -> DataFrame:
@@ -123,14 +195,7 @@ def phrase_counts(documents: DataFrame, least: int = 10, longest: int = 3) -> Da
     The row of ``size`` 0 has the number of all words of the language.
     """
     names = _lead_names(longest)
-    near = ["lang", *names[:2]]
-    exact = counted_windows(documents, longest).repartition(*near).groupBy("lang", *names).agg(F.sum("n").alias("n"))
-    # The window's count and those of its beginnings of two words and more; all lie in one task by now.
-    totals = {size: F.sum("n").over(Window.partitionBy("lang", *names[:size])) for size in range(2, longest)}
-    known = exact.withColumns({f"n{size}": total for size, total in totals.items()}).withColumn(f"n{longest}", F.col("n"))
-    kept = {name: F.when(F.col(f"n{i}") >= least, F.col(name)).otherwise("") for i, name in enumerate(names[1:], 2)}
-    frequent = known.withColumns(kept).groupBy("lang", *names).agg(F.sum("n").alias("n"))
-    rolled = frequent.rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
+    rolled = padded_windows(documents, least, longest).rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("left_out"))
     sizes = {(1 << (longest - size)) - 1: size for size in range(longest + 1)}
     size = F.lit(None).cast("int")
     padded = F.lit(False)

@@ -71,9 +71,10 @@ def test_chunks_do_not_show(spark, monkeypatch):
 
         batch = pa.RecordBatch.from_pydict({"lang": [t[0] for t in texts], "text": [t[1] for t in texts]})
         total = Counter()
-        for out in c._counted([batch], 3):
+        for out in c._counted([batch], 3, 7):
             for row in out.to_pylist():
-                total[tuple(v for k, v in row.items() if k != "n")] += row["n"]
+                for line, n in zip(row["windows"].split("\n"), row["counts"], strict=True):
+                    total[row["lang"], *line.split(" ")] += n
         return total
 
     whole = counts(10**9)
@@ -82,6 +83,22 @@ def test_chunks_do_not_show(spark, monkeypatch):
     assert sum(whole.values()) == sum(r[6] for r in {(r[0], r[6]): r for r in brute(rows, least=1)}.values())
 
 
+@pytest.mark.parametrize("distinct", [60, 2**20, 2**25, 2**31])
+@pytest.mark.parametrize("longest", [2, 3, 5])
+def test_windows_of_large_vocabularies(distinct, longest):
+    rng = np.random.default_rng(longest)
+    names = np.sort(rng.choice(distinct, 12, replace=False))
+    codes = names[rng.integers(0, 12, 400)]
+    end = int(names[3])
+    expected = Counter()
+    for i in np.flatnonzero(codes != end):
+        piece = list(codes[i : i + longest])
+        piece = piece[: piece.index(end)] if end in piece else piece
+        expected[tuple(map(int, piece)) + (end,) * (longest - len(piece))] += 1
+    columns, counts = c.windows(codes, end, distinct, longest)
+    assert dict(zip(zip(*[map(int, column) for column in columns], strict=True), map(int, counts), strict=True)) == expected
+
+
 def test_long_text_and_frequent_pair(spark):
     rows = [(1, "en", "big deal " * 30_000), (2, "en", "other big deal. " * 20), (3, "fr", "oh la la, " * 12)]
     found = c.collocations(spark.createDataFrame(rows, SCHEMA).repartition(3))
