@@ -7,6 +7,7 @@ as comma-joined strings, time-zoned timestamps as zone-less ones in UTC.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from workloads.mappings import (
     ORDERS_WINDOW,
     dirty_sources,
     event_sources,
+    few_customers,
     hot_sources,
     order_sources,
     ranking_wire,
@@ -194,6 +196,97 @@ def csv_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(written)
 
 
+def training_inputs_few_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impressions of every fiftieth customer only, with the logs of all."""
+    return _joined(hindsight.build_training_inputs(*few_customers(spark, sf_dir), **EVENTS_WINDOW))
+
+
+def history_asof_join_few_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hindsight.impression_activity(*few_customers(spark, sf_dir), lookback_days=EVENTS_WINDOW["lookback_days"])
+
+
+def training_inputs_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From stored days: half a month at once, then the other half, then a day that is stored already."""
+    impressions, *logs = event_sources(spark, sf_dir)
+    path = scratch_path(spark, "action-days")
+    for first, last in ((1, 15), (16, 31), (9, 9)):
+        hindsight.save_action_days(*logs, path, date(2024, 1, first), date(2024, 1, last), max_seq=EVENTS_WINDOW["max_seq"])
+    stored = hindsight.load_action_days(spark, path, max_seq=EVENTS_WINDOW["max_seq"])
+    return _joined(hindsight.build_training_inputs_from_days(impressions, stored, **EVENTS_WINDOW))
+
+
+def parquet_rerun_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days written, one of them without its logs; then that day is run again."""
+    inputs = _event_inputs(spark, sf_dir)
+    sources = event_sources(spark, sf_dir)
+    day = F.col("dt") == "2024-01-20"
+    without_logs = hindsight.build_training_inputs(
+        sources.impressions.where(day), *[log.where(F.lit(False)) for log in sources[1:]], **EVENTS_WINDOW
+    )
+    path = scratch_path(spark, "rerun")
+    hindsight.save_training_inputs(inputs.where(~day).unionByName(without_logs), path, partition_by=["dt"])
+    rerun = hindsight.build_training_inputs(sources.impressions.where(day), *sources[1:], **EVENTS_WINDOW)
+    hindsight.save_training_inputs(rerun, path, partition_by=["dt"], replace="partitions")
+    return _joined(spark.read.schema(inputs.schema).parquet(path))
+
+
+def job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the job observes while it writes, rankings that are not JSON included."""
+    sources = event_sources(spark, sf_dir)._replace(impressions=ranking_wire(spark, sf_dir))
+    base = scratch_path(spark, "job-metrics")
+    paths = hindsight.SourcePaths(*[write_csv(df, f"{base}/{name}") for name, df in sources._asdict().items()])
+    hindsight.run_job(spark, paths, f"{base}/output", **EVENTS_WINDOW, metrics_path=f"{base}/metrics")
+    columns = "total_rows long, bad_dt_rows long, bad_impressions_rows long, zero_history_pct double, avg_history_length double"
+    shares = F.col("action_type_distribution")
+    metrics = spark.read.schema(f"{columns}, action_type_distribution map<string, double>").json(f"{base}/metrics")
+    return metrics.select(*metrics.columns[:5], *[shares[str(code)].alias(f"share_{code}") for code in range(4)])
+
+
+def dq_summary_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rankings = hindsight.coerce_impressions_from_json(ranking_wire(spark, sf_dir), flag="bad_impressions")
+    return hindsight.dq_summary(hindsight.build_training_inputs(rankings, *event_sources(spark, sf_dir)[1:], **EVENTS_WINDOW))
+
+
+def json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hindsight.bad_impressions(ranking_wire(spark, sf_dir))
+
+
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with an item that is no number, as they stand in the files."""
+    clicks = event_sources(spark, sf_dir).clicks
+    odd = clicks.withColumn("item_id", F.when(F.col("item_id") % 7 == 0, "n/a").otherwise(F.col("item_id").cast("string")))
+    path = write_csv(odd, scratch_path(spark, "rejected-clicks"))
+    rejects = hindsight.csv_rejects(spark, path, hindsight.schema.clicks_schema)
+    known = F.col("file").contains(path.rstrip("/").split("/")[-1]) & (F.col("block_start") >= 0)
+    return rejects.select("line", F.array_join("null_cells", ",").alias("null_cells"), known.alias("known_place"))
+
+
+def _daily_metrics(spark: SparkSession, inputs: DataFrame, least: str = "2024-01-16") -> DataFrame:
+    """Metrics by day, stored in two runs."""
+    path = scratch_path(spark, "metrics-by-day")
+    late = F.coalesce(F.col("dt") >= least, F.lit(False))
+    for part in (inputs.where(~late), inputs.where(late)):
+        hindsight.replace_partitions(hindsight.metrics_by_day(part), path, ["dt"])
+    return spark.read.schema(hindsight.metrics_by_day(inputs).schema).parquet(path)
+
+
+def merged_sequence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hindsight.merged_sequence_lengths(_daily_metrics(spark, _event_inputs(spark, sf_dir)))
+
+
+def merged_action_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hindsight.merged_action_types(_daily_metrics(spark, _event_inputs(spark, sf_dir)))
+
+
+def merged_types_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hindsight.merged_types_by_position(_daily_metrics(spark, _event_inputs(spark, sf_dir)))
+
+
+def merged_summary_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirty = hindsight.build_training_inputs(*dirty_sources(spark, sf_dir), **EVENTS_WINDOW)
+    return hindsight.merged_summary(_daily_metrics(spark, dirty))
+
+
 #: The queries of the library itself, each with its SQL.
 LIBRARY = (
     csv_scan_typed,
@@ -222,6 +315,18 @@ LIBRARY = (
     parquet_roundtrip,
     metrics_json_roundtrip,
     csv_job,
+    training_inputs_few_customers,
+    history_asof_join_few_customers,
+    training_inputs_incremental,
+    parquet_rerun_day,
+    job_metrics,
+    dq_summary_rejects,
+    json_rejects,
+    csv_rejects,
+    merged_sequence_lengths,
+    merged_action_types,
+    merged_types_by_position,
+    merged_summary_dirty,
 )
 
 

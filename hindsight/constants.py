@@ -22,3 +22,5 @@ COL_ACTION_TYPE = "action_type"
 COL_IMPRESSION_ITEM_ID = "impression_item_id"
 COL_ACTIONS = "actions"
 COL_ACTION_TYPES = "action_types"
+# Optional: whether a ranking's impressions arrived as text that could not be parsed.
+COL_BAD_IMPRESSIONS = "bad_impressions"

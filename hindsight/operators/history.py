@@ -13,12 +13,15 @@ time line and a key's history is a *position range* of at most ``max_seq`` entri
    blocks of a few ``max_seq`` positions, overlapping by ``max_seq``, so that a key's range is a slice
    of the one block that its newest entry is in.
 
+Before all that, ``reachable_actions`` drops what no key of its customer can look back to, by a semi join in
+front of the first shuffle.
+
 No pair of key and action is built; work is linear in actions, keys and output entries. Days and
 blocks of a customer lie in different tasks, so a hot customer is split however many actions it has:
 no step brings the actions of a customer together.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import COL_ACTION_TYPE, COL_CUSTOMER_ID, COL_ITEM_ID, COL_TS
@@ -45,6 +48,24 @@ def usable_actions(actions: DataFrame) -> DataFrame:
     return usable.withColumn("day", epoch_day(F.col(COL_TS))).where("day is not null")
 
 
+def reachable_actions(actions: DataFrame, keys: DataFrame, lookback_days: int) -> DataFrame:
+    """The actions with a ``day`` that some key of their customer may reach.
+
+    Time is cut into periods of ``lookback_days``; a key's window lies in two of them, so the keys become few distinct pairs of customer and period, and the logs are semi-joined
+    with these. Spark broadcasts the pairs if they are small; if not, it may filter the logs' scans with a
+    Bloom filter of them, and split a hot customer's partition, since what follows is dealt out by day.
+    """
+    if not lookback_days:
+        return actions.where(F.lit(False))
+
+    def period(day: Column) -> Column:
+        return F.floor(day / lookback_days).cast("int")
+
+    reach = F.explode(F.sequence(period(F.col("day") - lookback_days), period(F.col("day") - 1)))
+    pairs = keys.select(COL_CUSTOMER_ID, reach.alias("period")).distinct()
+    return actions.withColumn("period", period(F.col("day"))).join(pairs, [COL_CUSTOMER_ID, "period"], "left_semi").drop("period")
+
+
 def _splits(spark: SparkSession) -> int:
     """Tasks that share one day of a customer: one for every 64 map tasks, if there are as many of
     those as shuffle partitions."""
@@ -118,7 +139,14 @@ def keyed_history(
         raise ValueError(f"order must be one of {ORDERS}, got {order!r}")
     require_same_kind(COL_CUSTOMER_ID, {"impressions": keys, "actions": actions})
 
-    capped = cap_daily(usable_actions(actions), max_seq)
+    capped = cap_daily(reachable_actions(usable_actions(actions), keys, lookback_days), max_seq)
+    return capped_history(keys, capped, lookback_days=lookback_days, max_seq=max_seq, order=order)
+
+
+def capped_history(
+    keys: DataFrame, capped: DataFrame, *, lookback_days: int, max_seq: int, order: str = "recent_first"
+) -> DataFrame:
+    """``keyed_history`` of actions that ``cap_daily`` has cut to ``max_seq`` a day."""
     daily = capped.groupBy(COL_CUSTOMER_ID, "day").agg(F.count("*").alias("n"))
     lines = _day_lines(daily, keys, lookback_days, max_seq)
 

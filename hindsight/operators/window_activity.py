@@ -12,8 +12,8 @@ from ..constants import (
     COL_CUSTOMER_ID,
     COL_TS,
 )
-from ..functions import epoch_day, require_same_kind
-from .history import check_window
+from ..functions import require_same_kind
+from .history import check_window, reachable_actions, usable_actions
 
 _COUNTS = {
     "n_clicks": ACTION_CLICK,
@@ -25,15 +25,15 @@ _COUNTS = {
 def window_activity(keys: DataFrame, actions: DataFrame, *, lookback_days: int) -> DataFrame:
     """Per key: number of actions in ``[day - lookback, day)``, by type, and first and last ``ts``.
 
-    Actions are summed up per customer and day before any customer's rows meet in one task. Frames
+    Actions that no key of their customer reaches go first. The others are summed up per customer and day before any customer's rows meet in one task. Frames
     that only ever grow then take the place of the join: what is counted before the window's end
     less what is counted before its start. Each key keeps its row.
     """
     lookback_days, _ = check_window(lookback_days)
     require_same_kind(COL_CUSTOMER_ID, {"impressions": keys, "actions": actions})
     daily = (
-        actions.where(F.col(COL_CUSTOMER_ID).isNotNull() & F.col(COL_TS).isNotNull())
-        .groupBy(COL_CUSTOMER_ID, epoch_day(F.col(COL_TS)).alias("day"))
+        reachable_actions(usable_actions(actions), keys, lookback_days)
+        .groupBy(COL_CUSTOMER_ID, "day")
         .agg(
             F.count("*").alias("n_actions"),
             *[F.count_if(F.col(COL_ACTION_TYPE) == code).alias(name) for name, code in _COUNTS.items()],

@@ -4,12 +4,13 @@ import argparse
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
-from ..constants import DEFAULT_LOOKBACK_DAYS, DEFAULT_MAX_SEQ
+from .. import schema
+from ..constants import COL_BAD_IMPRESSIONS, DEFAULT_LOOKBACK_DAYS, DEFAULT_MAX_SEQ
 from ..operators.history import check_window
-from ..sources import SourcePaths, load_sources, save_metrics, save_training_inputs
-from .quality import dq_metrics
+from ..sources import SourcePaths, csv_rejects, load_sources, save_metrics, save_training_inputs
+from .quality import observed, observed_metrics
 from .training_inputs import MAP_SIDE_RANK_LIMIT, build_training_inputs
 
 # Option names and defaults below are fixed values of the contract.
@@ -39,22 +40,38 @@ def run_job(
     metrics_path: str | None = None,
     source_format: str = "csv",
     partition_by: Sequence[str] = (),
+    replace: str = "all",
+    rejects_path: str | None = None,
 ) -> DataFrame:
     """Build and write the training inputs, and return them as read back from ``output``.
 
-    Metrics are computed from the written files, not by running the pipeline again. The job runs in
+    Metrics are observed in the pass that writes; they count rankings whose impressions could not be parsed, too.
+    ``replace="partitions"`` leaves partitions that the run has no rows for. With ``rejects_path``, lines of
+    CSV sources that do not parse are kept under it, a folder for each dataset. The job runs in
     UTC, so days and midnights mean the same on every cluster; the session's own settings are as
     before when it returns.
     """
     lookback_days, max_seq = check_window(lookback_days, max_seq)
     with _settings(spark, max_seq):
-        sources = load_sources(spark, paths, source_format)
+        if rejects_path:
+            _save_rejects(spark, paths, source_format, rejects_path)
+        sources = load_sources(spark, paths, source_format, flag=COL_BAD_IMPRESSIONS if metrics_path else None)
         train = build_training_inputs(*sources, lookback_days=lookback_days, max_seq=max_seq)
-        save_training_inputs(train, output, partition_by=partition_by)
-        written = spark.read.schema(train.schema).parquet(output)
+        metrics = Observation()
         if metrics_path:
-            save_metrics(dq_metrics(written), metrics_path)
-    return written
+            train = observed(train, metrics).drop(COL_BAD_IMPRESSIONS)
+        save_training_inputs(train, output, partition_by=partition_by, replace=replace)
+        if metrics_path:
+            save_metrics(observed_metrics(spark, metrics), metrics_path)
+        return spark.read.schema(train.schema).parquet(output)
+
+
+def _save_rejects(spark: SparkSession, paths: SourcePaths, source_format: str, rejects_path: str) -> None:
+    if source_format != "csv":
+        raise ValueError(f"only CSV sources have lines to reject, not {source_format!r}")
+    for dataset, path in paths._asdict().items():
+        rejects = csv_rejects(spark, path, getattr(schema, f"{dataset}_schema"))
+        rejects.write.mode("overwrite").parquet(f"{rejects_path}/{dataset}")
 
 
 def job_arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
@@ -67,6 +84,8 @@ def job_arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--metrics_json", help="JSON directory to write metrics to")
     parser.add_argument("--source_format", choices=["csv", "parquet"], default="csv")
     parser.add_argument("--partition_by", nargs="*", default=[], help="columns to partition the output by")
+    parser.add_argument("--replace", choices=["all", "partitions"], default="all", help="what of the output a run replaces")
+    parser.add_argument("--rejects", help="Parquet directory to write lines to that do not parse")
     return parser.parse_args(argv)
 
 
@@ -82,5 +101,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         args.metrics_json,
         args.source_format,
         args.partition_by,
+        args.replace,
+        args.rejects,
     )
     spark.stop()

@@ -2,7 +2,7 @@
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -12,6 +12,7 @@ from ..constants import (
     ACTION_PREVIOUS_ORDER,
     COL_ACTION_TYPES,
     COL_ACTIONS,
+    COL_BAD_IMPRESSIONS,
     COL_DT,
 )
 from ..functions import nonzero_count, require_columns, text_day
@@ -32,13 +33,16 @@ def _bad_dt(df: DataFrame) -> Column:
 def dq_summary(df: DataFrame) -> DataFrame:
     """One row: ``total_rows``, ``bad_dt_rows``, ``zero_history_pct``, ``avg_history_length``.
 
-    The history of a row is its non-zero actions. The last two are null on empty input.
+    The history of a row is its non-zero actions. The last two are null on empty input. Where training
+    inputs carry ``bad_impressions``, its rows are counted as ``bad_impressions_rows``.
     """
     _check(df, COL_ACTIONS)
     length = F.col("length")
-    return df.select(_bad_dt(df).alias("bad_dt"), nonzero_count(F.col(COL_ACTIONS)).alias("length")).agg(
+    flags = [c for c in (COL_BAD_IMPRESSIONS,) if c in df.columns]
+    return df.select(_bad_dt(df).alias("bad_dt"), nonzero_count(F.col(COL_ACTIONS)).alias("length"), *flags).agg(
         F.count("*").alias("total_rows"),
         F.count_if("bad_dt").alias("bad_dt_rows"),
+        *[F.count_if(flag).alias(f"{flag}_rows") for flag in flags],
         F.avg(F.when(length == 0, 1.0).otherwise(0.0)).alias("zero_history_pct"),
         F.avg(length).alias("avg_history_length"),
     )
@@ -133,6 +137,59 @@ def dq_metrics(df: DataFrame) -> DataFrame:
     )
 
 
+def code_counts(types: Column) -> tuple[dict[int, Column], Column]:
+    """How often each code of the contract is in a row's array, and what is left of the array without them."""
+    counts, rest = {}, types
+    for code in CODES:
+        without = F.array_remove(rest, code)
+        counts[code] = F.size(rest) - F.size(without)
+        rest = without
+    return counts, rest
+
+
+def observed(df: DataFrame, observation: Observation) -> DataFrame:
+    """``df`` unchanged; the action that runs it leaves the sums behind ``dq_metrics`` in ``observation``.
+
+    So a job has its metrics from the pass that writes, without reading anything again. Action types other
+    than those of the contract are counted together.
+    """
+    _check(df, COL_ACTIONS, COL_ACTION_TYPES)
+    length = nonzero_count(F.col(COL_ACTIONS))
+    counts, rest = code_counts(F.col(COL_ACTION_TYPES))
+    flags = [c for c in (COL_BAD_IMPRESSIONS,) if c in df.columns]
+    return df.observe(
+        observation,
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count_if(_bad_dt(df)).alias("bad_dt_rows"),
+        F.count_if(length == 0).alias("empty_rows"),
+        F.count(length).alias("length_rows"),
+        F.sum(length.cast("long")).alias("length"),
+        F.sum(F.size(rest).cast("long")).alias("n_other"),
+        *[F.sum(n.cast("long")).alias(f"n_{code}") for code, n in counts.items()],
+        *[F.count_if(flag).alias(f"{flag}_rows") for flag in flags],
+    )
+
+
+def observed_metrics(spark: SparkSession, observation: Observation) -> DataFrame:
+    """The row of ``dq_metrics`` from what ``observed`` has left, and ``bad_impressions_rows`` if it was there."""
+    sums = {name: value or 0 for name, value in observation.get.items()}
+    shares = {code: sums[f"n_{code}"] for code in (*map(str, CODES), "other")}
+    positions = sum(shares.values())
+    flag = f"{COL_BAD_IMPRESSIONS}_rows"
+    flags = [flag] if flag in sums else []
+    row = (
+        sums["total_rows"],
+        sums["bad_dt_rows"],
+        sums["empty_rows"] / sums["total_rows"] if sums["total_rows"] else None,
+        sums["length"] / sums["length_rows"] if sums["length_rows"] else None,
+        {code: n / positions for code, n in shares.items() if n},
+        *[sums[name] for name in flags],
+    )
+    columns = "total_rows long, bad_dt_rows long, zero_history_pct double, avg_history_length double"
+    added = "".join(f", {name} long" for name in flags)
+    return spark.createDataFrame([row], f"{columns}, action_type_distribution map<string, double>{added}")
+
+
 def calculate_dq_metrics(df: DataFrame) -> dict[str, Any]:
     """``zero_history_pct``, ``avg_history_length`` and ``action_type_distribution`` as a dict."""
     row = dq_metrics(df).first()

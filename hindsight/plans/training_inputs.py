@@ -9,6 +9,7 @@ from ..constants import (
     COL_ACTION_TYPE,
     COL_ACTION_TYPES,
     COL_ACTIONS,
+    COL_BAD_IMPRESSIONS,
     COL_CUSTOMER_ID,
     COL_DT,
     COL_IMPRESSION_ITEM_ID,
@@ -34,8 +35,35 @@ from ..operators.impressions import check_impressions
 MAP_SIDE_RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
+def _flags(impressions_df: DataFrame) -> list[str]:
+    return [COL_BAD_IMPRESSIONS] if COL_BAD_IMPRESSIONS in impressions_df.columns else []
+
+
 def _ranking_columns(impressions_df: DataFrame) -> DataFrame:
-    return impressions_df.select(COL_DT, COL_RANKING_ID, COL_CUSTOMER_ID, COL_IMPRESSIONS)
+    return impressions_df.select(
+        COL_DT, COL_RANKING_ID, COL_CUSTOMER_ID, COL_IMPRESSIONS, *_flags(impressions_df)
+    )
+
+
+def padded_inputs(impressions_df: DataFrame, history: DataFrame, max_seq: int, item_type: str) -> DataFrame:
+    """Training inputs of the impressions from ragged histories by customer and day."""
+    rankings = attach_by_customer_day(_ranking_columns(impressions_df), history)
+    return _padded(rankings, max_seq, item_type)
+
+
+def _padded(rankings: DataFrame, max_seq: int, item_type: str) -> DataFrame:
+    # Padded once per ranking, after the last shuffle, and then repeated for each of its items.
+    flags = _flags(rankings)
+    padded = rankings.select(
+        COL_DT,
+        COL_RANKING_ID,
+        COL_CUSTOMER_ID,
+        COL_IMPRESSIONS,
+        pad_right(F.col("items"), max_seq, item_type).alias(COL_ACTIONS),
+        pad_right(F.col("types"), max_seq, "tinyint").alias(COL_ACTION_TYPES),
+        *flags,
+    )
+    return explode_impressions(padded, carry=[COL_ACTIONS, COL_ACTION_TYPES, *flags])
 
 
 def _rankings_with_history(
@@ -81,7 +109,7 @@ def build_training_inputs(
     The arrays hold the customer's newest actions in ``[dt - lookback_days, dt)``, newest first
     (or oldest first with ``order="oldest_first"``), filled up with zeros on the right. An
     impression without history, without customer or with a malformed ``dt`` is all padding. Item
-    id 0 is reserved for padding.
+    id 0 is reserved for padding. A column ``bad_impressions`` (see ``coerce_impressions_from_json``) is carried along.
 
     Lazy: no job runs here. Each log is read once, and only the days that the impressions can look
     back to (``prune_logs``).
@@ -90,16 +118,7 @@ def build_training_inputs(
     rankings, item_type = _rankings_with_history(
         impressions_df, clicks_df, atc_df, orders_df, lookback_days, max_seq, order
     )
-    # Padded once per ranking, after the last shuffle, and then repeated for each of its items.
-    padded = rankings.select(
-        COL_DT,
-        COL_RANKING_ID,
-        COL_CUSTOMER_ID,
-        COL_IMPRESSIONS,
-        pad_right(F.col("items"), max_seq, item_type).alias(COL_ACTIONS),
-        pad_right(F.col("types"), max_seq, "tinyint").alias(COL_ACTION_TYPES),
-    )
-    return explode_impressions(padded, carry=[COL_ACTIONS, COL_ACTION_TYPES])
+    return _padded(rankings, max_seq, item_type)
 
 
 def history_entries(

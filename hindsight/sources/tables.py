@@ -27,6 +27,33 @@ def read_csv_with_schema(spark: SparkSession, path: str, schema: StructType) ->
     return _csv(spark).schema(wire_schema(schema)).csv(path)
 
 
+def _with_rejects(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The typed rows and, in ``_bad_record``, the lines that do not parse.
+
+    The header has no such column, so names cannot be compared here.
+    """
+    fields = [*wire_schema(schema).fields, StructField(_BAD_RECORD, StringType())]
+    reader = _csv(spark).option("columnNameOfCorruptRecord", _BAD_RECORD).option("enforceSchema", True)
+    return reader.schema(StructType(fields)).csv(path)
+
+
+def csv_rejects(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The lines that ``count_bad_rows`` counts, with where they stand: ``file, block_start, line, null_cells``.
+
+    ``file`` and ``block_start`` (the byte where the scan's part of the file begins) come from the scan's own
+    metadata, ``null_cells`` names the cells that are empty or do not parse.
+    """
+    names = wire_schema(schema).names
+    rows = _with_rejects(spark, path, schema)
+    empty = F.array_compact(F.array(*[F.when(F.col(name).isNull(), name) for name in names]))
+    return rows.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.col(_BAD_RECORD).alias("line"),
+        empty.alias("null_cells"),
+    ).where("line is not null")
+
+
 def count_bad_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """One row: ``total_rows``, ``bad_rows`` and ``null_<column>`` for each column.
 
@@ -35,15 +62,7 @@ def count_bad_rows(spark: SparkSession, path: str, schema: StructType) -> DataFr
     header is not the schema's fail, as all columns are read by name as well.
     """
     typed = wire_schema(schema)
-    rows = (
-        _csv(spark)
-        .option("columnNameOfCorruptRecord", _BAD_RECORD)
-        .schema(StructType(list(typed.fields)).add(_BAD_RECORD, StringType()))
-        # The header has no such column, so names cannot be compared here.
-        .option("enforceSchema", True)
-        .csv(path)
-    )
-    counts = rows.agg(
+    counts = _with_rejects(spark, path, schema).agg(
         F.count("*").alias("total_rows"),
         F.count(_BAD_RECORD).alias("bad_rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in typed.names],

@@ -131,12 +131,54 @@ def test_plan_has_no_pair_join(spark):
     inputs = [df.repartition(3) for df in skewed(spark, 1)]
     text = plan(hindsight.build_training_inputs(*inputs, lookback_days=30, max_seq=5))
     # Days come to their actions, and histories to their rankings.
-    assert text.count("Join") == 2
+    joins = re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join .*", text)
+    assert len([join for join in joins if "LeftSemi" not in join]) == 2
     assert "LeftOuter" in text
     assert "NestedLoop" not in text and "Cartesian" not in text
     assert "WindowGroupLimit" in text
 
 
+def test_actions_of_others_cross_no_exchange(spark, tmp_path):
+    """Only customers with impressions have their actions shuffled."""
+    impressions, _, carts, orders = sources(spark, [ranking("2024-10-01", "r", HOT, (1, False))])
+    impressions.write.parquet(str(tmp_path / "impressions"))
+    impressions = spark.read.parquet(str(tmp_path / "impressions"))
+    clicks = spark.range(0, 20_000, 1, 4).select(
+        F.lit("2024-09-30").alias("dt"), F.col("id").cast("int").alias("customer_id"), F.lit(3).alias("item_id"),
+        F.lit(datetime(2024, 9, 30, 10)).alias("click_time"),
+    )
+    out = hindsight.build_training_inputs(impressions, clicks, carts, orders, lookback_days=30, max_seq=2)
+    assert [row.actions for row in out.collect()] == [[3, 0]]
+    written = []
+    stack = [out._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        name = node.nodeName()
+        if name == "Exchange":
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        children = node.children()
+        stack += inner + [children.apply(i) for i in range(children.size())]
+    assert written and max(written) <= 10
+
+
+@pytest.mark.parametrize("lookback_days", [1, 2, 7, 365])
+def test_reachable_actions(spark, lookback_days):
+    from hindsight.operators.history import reachable_actions
+
+    rng = random.Random(lookback_days)
+    keys = {(rng.randrange(6), rng.randrange(-400, 800)) for _ in range(9)}
+    actions = [(rng.randrange(8), day) for day in range(-900, 900, 3)]
+    kept = reachable_actions(
+        spark.createDataFrame(actions, "customer_id int, day int"),
+        spark.createDataFrame(sorted(keys), "customer_id int, day int"),
+        lookback_days,
+    )
+    kept = {tuple(row) for row in kept.collect()}
+    needed = {a for a in actions if any(a[0] == c and d - lookback_days <= a[1] < d for c, d in keys)}
+    assert needed <= kept and all(any(a[0] == c and abs(a[1] - d) <= 2 * lookback_days for c, d in keys) for a in kept)
+
+
 def test_each_log_is_read_once(spark, tmp_path):
     names = ("impressions", "clicks", "carts", "orders")
     for name, df in zip(names, skewed(spark, 1)):

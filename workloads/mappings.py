@@ -111,6 +111,12 @@ def hot_sources(spark: SparkSession, sf_dir: str) -> Sources:
     return Sources(*[df.withColumn("customer_id", one) for df in event_sources(spark, sf_dir)])
 
 
+def few_customers(spark: SparkSession, sf_dir: str) -> Sources:
+    """The events with the impressions of every fiftieth customer only; the logs are whole."""
+    sources = event_sources(spark, sf_dir)
+    return sources._replace(impressions=sources.impressions.where(F.col("customer_id") % 50 == 0))
+
+
 def ranking_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings as they arrive, with the items as JSON text.
 

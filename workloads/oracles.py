@@ -58,6 +58,9 @@ _HOT = f"""{_EVENTS.replace("act AS", "act0 AS")}, {_EVENT_IMPRESSIONS.replace("
 act AS (SELECT * REPLACE (CASE WHEN customer_id % 3 <> 0 THEN customer_id ELSE 0 END AS customer_id) FROM act0),
 imp AS (SELECT * REPLACE (CASE WHEN customer_id % 3 <> 0 THEN customer_id ELSE 0 END AS customer_id) FROM imp0)"""
 
+_FEW = f"""{_EVENTS}, {_EVENT_IMPRESSIONS.replace("imp AS", "imp0 AS")},
+imp AS (SELECT * FROM imp0 WHERE customer_id % 50 = 0)"""
+
 _IS_DAY = "regexp_full_match(dt, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(dt AS DATE) IS NOT NULL"
 
 _SUMMARY = f"""
@@ -116,7 +119,40 @@ def sql() -> dict[str, str]:
     rankings = f"{_EVENTS}, {_WIRE_IMPRESSIONS}"
     train = _training(events, 7, 10)
     shares = "(SELECT unnest(action_types) AS action_type FROM train)"
+    shares_of = """
+       sum(n_0) / (count(*) * 10) AS share_0, sum(n_1) / (count(*) * 10) AS share_1,
+       sum(n_2) / (count(*) * 10) AS share_2, sum(n_3) / (count(*) * 10) AS share_3
+FROM (SELECT train.*, 10 - history_length AS n_0,
+             len(list_where(types, [t = 1 FOR t IN types])) AS n_1,
+             len(list_where(types, [t = 2 FOR t IN types])) AS n_2,
+             len(list_where(types, [t = 3 FOR t IN types])) AS n_3
+      FROM (SELECT *, action_types AS types FROM train) train)"""
+    rejected = "(SELECT count(*) FROM wire WHERE event_type = 'error' AND k % 3 = 1)"
+    summary = f"""count(*) AS total_rows, count(*) - count(CASE WHEN {_IS_DAY} THEN 1 END) AS bad_dt_rows,
+       {rejected} AS bad_impressions_rows,
+       avg(CASE WHEN history_length = 0 THEN 1.0 ELSE 0.0 END) AS zero_history_pct, avg(history_length) AS avg_history_length"""
     return {
+        "training_inputs_few_customers": f"{_training(_FEW, 7, 10)} {_TRAIN}",
+        "history_asof_join_few_customers": _activity(_FEW, 7),
+        "training_inputs_incremental": f"{train} {_TRAIN}",
+        "parquet_rerun_day": f"{train} {_TRAIN}",
+        "job_metrics": f"{_training(rankings, 7, 10)} SELECT {summary}, {shares_of}",
+        "dq_summary_rejects": f"{_training(rankings, 7, 10)} SELECT {summary} FROM train",
+        "json_rejects": f"""WITH {_EVENTS}, {_WIRE}
+SELECT dt, ranking_id, customer_id, 'not json' AS impressions FROM wire WHERE event_type = 'error' AND k % 3 = 1""",
+        "csv_rejects": f"""WITH {_EVENTS}
+SELECT strftime(ts, '%Y-%m-%d') || ',' || user_id || ',n/a,' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS line,
+       'item_id' AS null_cells, TRUE AS known_place FROM ev WHERE event_type = 'click' AND (k + 1) % 7 = 0""",
+        "merged_sequence_lengths": f"""{train}
+SELECT history_length, count(*) AS n FROM train GROUP BY history_length""",
+        "merged_action_types": f"""{train}
+SELECT action_type, count(*) AS n, count(*) / (SELECT count(*) * 10 FROM train) AS share
+FROM {shares} GROUP BY action_type""",
+        "merged_types_by_position": f"""{train}
+SELECT pos - 1 AS pos, action_types[pos] AS action_type, count(*) AS n,
+       count(*) / (SELECT count(*) FROM train) AS share
+FROM train, (SELECT unnest(range(1, 11)) AS pos) p GROUP BY pos, action_types[pos]""",
+        "merged_summary_dirty": f"{_training(_DIRTY, 7, 10)} {_SUMMARY}",
         "csv_scan_typed": f"""WITH {_EVENTS}
 SELECT strftime(ts, '%Y-%m-%d') AS dt, user_id AS customer_id, k + 1 AS item_id, ts AS click_time
 FROM ev WHERE event_type = 'click'""",
