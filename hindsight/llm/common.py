@@ -1,5 +1,7 @@
 """Helpers shared by the corpus operators: tables in the shared folder, tables of the test layout."""
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -36,10 +38,24 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 
 
 def small(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts may become lists of words without filling the memory."""
+    """The same rows in batches whose texts may become lists of words without filling the memory.
+
+    When they are through, the worker gives back what it has freed, as the next task may be in another worker.
+    """
     for batch in batches:
         for low in range(0, batch.num_rows, rows):
             yield batch.slice(low, rows)
+    del batches
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise for as long as the worker lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def words(text: str | None) -> list[bytes]:

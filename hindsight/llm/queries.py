@@ -48,7 +48,7 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_attention_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), TOKENIZER)
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), TOKENIZER, trained=lm_scoring.TRAINED)
 
 
 def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

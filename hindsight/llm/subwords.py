@@ -1,22 +1,35 @@
 """Subword ids of whole texts, by a public tokenizer file whose path is a parameter."""
 
 from functools import cache
+from unicodedata import normalize
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Distinct words whose ids a Python worker keeps.
-KEPT_WORDS = 600_000
+#: Bytes of words and their ids that a Python worker keeps, its objects' own size included.
+KEPT_BYTES = 80_000_000
+_OBJECTS = 200
+#: ASCII punctuation but the apostrophe, which tokenizers join with letters.
+_TAIL = bytes(range(33, 39)) + bytes(range(40, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
+#: Words that go through the tokenizer together.
+_GROUP = 1000
 #: A private-use character: between words it tells their ids apart.
 _BETWEEN = "\ue000"
 
 
+def _letters(text: str) -> bool:
+    """Whether the text is letters only and stays so in lower case, which puts a mark after some."""
+    return text.isalpha() and (text.isascii() or normalize("NFC", text).lower().isalpha())
+
+
 class Encoder:
     """Ids as little-endian bytes, two or four per id as the vocabulary needs.
 
     For tokenizers that drop white space and so never join what it separates, a text's ids are those
-    of its words, one after the other. Words recur, so their ids are kept. ``by_word=False`` encodes
-    whole texts, for tokenizers of other kinds.
+    of its words, one after the other. Words recur, so their ids are kept, as many as ``KEPT_BYTES`` hold. Of a
+    tokenizer that also cuts words between letters and the punctuation after them, which is tried out for each
+    mark, letters are encoded once for all endings. ``by_word=False`` encodes whole texts, for tokenizers of
+    other kinds.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -25,6 +38,17 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.kept = 0
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Whether an id ends a word, where the vocabulary tells.
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        marks = [bytes([mark]).decode() for mark in _TAIL]
+        heads = ["b", "\u00e9"]
+        tried = self._encoded([*heads, *marks, *[head + mark for head in heads for mark in marks]])
+        alone, together = tried[: len(heads) + len(marks)], tried[len(heads) + len(marks) :]
+        self.cuts = together == [alone[h] + alone[len(heads) + m] for h in range(len(heads)) for m in range(len(marks))]
         self.between = np.frombuffer(self._encoded([_BETWEEN])[0], self.dtype)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
@@ -32,12 +56,47 @@ class Encoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
     def _encoded_words(self, some: list[bytes]) -> list[bytes]:
-        """Ids of each word. Words go through the tokenizer together, which costs half as much."""
+        """Ids of each word, its letters and the punctuation after them apart where the tokenizer cuts there."""
+        plain = [word.decode() for word in some]
+        stems = [word.rstrip(_TAIL) if self.cuts else word for word in some]
+        letters = [_letters(text[: len(text) + len(stem) - len(word)]) for text, stem, word in zip(plain, stems, some, strict=True)]
+        wanted = {stem if own else word for stem, word, own in zip(stems, some, letters, strict=True)}
+        wanted |= {word[len(stem) :] for stem, word, own in zip(stems, some, letters, strict=True) if own}
+        wanted = [part for part in wanted if part and part not in self.known]
+        of_letters = [part for part in wanted if part.decode().isalpha()]
+        others = list(set(wanted).difference(of_letters))
+        found = dict(zip(of_letters, self._encoded_letters(of_letters), strict=True))
+        found |= zip(others, self._encoded_marked(others), strict=True)
+        found[b""] = b""
+
+        def ids(part: bytes) -> bytes:
+            known = found.get(part)
+            return self.known[part] if known is None else known
+
+        return [ids(stem) + ids(word[len(stem) :]) if own else ids(word) for stem, word, own in zip(stems, some, letters, strict=True)]
+
+    def _encoded_letters(self, some: list[bytes]) -> list[bytes]:
+        """Ids of words of nothing but letters. Where ids tell the ends of words, nothing need stand between them."""
+        out = []
+        for low in range(0, len(some), _GROUP):
+            group = some[low : low + _GROUP]
+            found = self.tokenizer.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)
+            ids = np.array(found[0].ids, self.dtype)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            raw = ids.tobytes()
+            if len(ends) == len(group) and ends[-1] == len(raw):
+                out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self._encoded_marked(group)
+        return out
+
+    def _encoded_marked(self, some: list[bytes]) -> list[bytes]:
+        """Ids of each word. Words go through the tokenizer together with a mark between them."""
         if not len(self.between) or any(_BETWEEN.encode() in word for word in some):
             return self._encoded([word.decode() for word in some])
         out, mark = [], f" {_BETWEEN} "
-        for low in range(0, len(some), 1000):
-            group = some[low : low + 1000]
+        for low in range(0, len(some), _GROUP):
+            group = some[low : low + _GROUP]
             ids = self.tokenizer.encode_batch_fast([b" ".join(group).decode().replace(" ", mark)], add_special_tokens=False)
             ids = np.array(ids[0].ids, self.dtype)
             n = len(self.between)
@@ -78,8 +137,12 @@ class Encoder:
             self.known.update(zip(new, self._encoded_words(new), strict=True))
             out += [b"".join(map(self.known.__getitem__, text)) for text in some]
             # Frequent words come early, so the first to come stay.
-            for word in new[: max(0, len(self.known) - KEPT_WORDS)]:
-                del self.known[word]
+            for word in new:
+                size = _OBJECTS + len(word) + len(self.known[word])
+                if self.kept + size > KEPT_BYTES:
+                    del self.known[word]
+                else:
+                    self.kept += size
         return out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, BatchesIn, column, list_array, words, written
+from .common import Batches, BatchesIn, column, list_array, small, words, written
 
 #: Labelled documents that the model is fitted on, at most. The driver holds their significant features.
 MAX_LABELLED = 6_000
@@ -31,6 +31,8 @@ HASH_BITS = 22
 #: them that is, and deviates by so many standard errors.
 LEAST_DOCUMENTS = 8
 SIGNIFICANT = 6.0
+#: Features of documents that a task holds before it sums them up.
+HELD_FEATURES = 1_000_000
 #: Occurrences of toxic words from which on a document labelled toxic is of grade 2 and 3.
 GRADE_HITS = (3, 6)
 #: Expected severity from which a document is rejected.
@@ -196,7 +198,7 @@ def fit(data: Examples, penalty: float = 1e-3, steps: int = 400) -> OrdinalModel
 
 
 def _keyed(batches: BatchesIn) -> Batches:
-    for batch in batches:
+    for batch in small(batches):
         found = [band_keys(features(text)[0]) for text in column(batch, "text")]
         keys = list_array(np.cumsum([0, *map(len, found)]), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
         yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "keys"])
@@ -210,7 +212,7 @@ class _Labelled(NamedTuple):
     grades: np.ndarray
 
     def _featurized(self, batches: BatchesIn):
-        for batch in batches:
+        for batch in small(batches):
             for row, text in zip(column(batch, "row"), column(batch, "text"), strict=True):
                 at = np.searchsorted(self.rows, row)
                 if at < len(self.rows) and self.rows[at] == row:
@@ -221,15 +223,26 @@ class _Labelled(NamedTuple):
         grades, featurized = self.grades, self._replace(texts=None)._featurized
 
         def sums(batches: BatchesIn) -> Batches:
-            n, total = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+            def summed(parts: list) -> tuple:
+                feature, n, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+                feature, own = np.unique(feature, return_inverse=True)
+                # Whole numbers far below 2 ** 53.
+                return feature, *(np.bincount(own, weights=x).astype(np.int64) for x in (n, total))
+
+            parts, held = [], 0
             for at, index, _ in featurized(batches):
-                n[index] += 1
-                total[index] += grades[at]
-            found = np.flatnonzero(n)
-            for some in np.split(found, range(1 << 16, len(found), 1 << 16)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int64()), pa.array(n[some]), pa.array(total[some])], names=["feature", "n", "total"]
-                )
+                parts.append((index, np.ones(len(index), np.int64), np.full(len(index), grades[at], np.int64)))
+                held += len(index)
+                if held > HELD_FEATURES:
+                    parts = [summed(parts)]
+                    held = 0
+            if parts:
+                feature, n, total = summed(parts)
+                for low in range(0, len(feature), 1 << 16):
+                    some = slice(low, low + (1 << 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x[some], pa.int64()) for x in (feature, n, total)], names=["feature", "n", "total"]
+                    )
 
         # Of 2**HASH_BITS features at most.
         found = (
@@ -248,7 +261,7 @@ class _Labelled(NamedTuple):
         featurized = self._replace(texts=None)._featurized
 
         def some(batches: BatchesIn) -> Batches:
-            for batch in batches:
+            for batch in small(batches):
                 rows = []
                 for at, index, count in featurized([batch]):
                     own = np.isin(index, kept, assume_unique=True)
@@ -310,7 +323,7 @@ def scored(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     schema.add("severity", T.DoubleType()).add("grade", T.IntegerType()).add("toxic", T.BooleanType())
 
     def score(batches: BatchesIn) -> Batches:
-        for batch in batches:
+        for batch in small(batches):
             sums = [model.score(text) for text in column(batch, "text")]
             above = exceed(np.array(sums, float), model.thresholds)
             chances = np.hstack([np.ones((len(sums), 1)), above]) - np.hstack([above, np.zeros((len(sums), 1))])
@@ -347,7 +360,7 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(documents, _labelled(labels), by_hits=True)
 
     def keep(batches: BatchesIn) -> Batches:
-        for batch in batches:
+        for batch in small(batches):
             sums = np.array([model.score(text) for text in column(batch, "text")], float)
             yield batch.filter(pa.array(exceed(sums, model.thresholds).sum(axis=1) < REJECT))
 

@@ -116,3 +116,29 @@ def test_weighted_windows():
     first = [int(schedule.served(s, 1)) for s in range(3)]
     assert np.allclose(first, np.array([1, 2, 5]) / 8 * packing.WINDOW, atol=1)
     assert int(schedule.served(2, schedule.windows // 2)) < 10**6 <= int(schedule.served(2, schedule.windows - 3))
+
+
+def test_words_with_punctuation_equal_whole_texts():
+    import random
+
+    from hindsight.llm.subwords import Encoder
+
+    rng = random.Random(1)
+    alphabet = "aBé'.,!-_İ́ß9٣$中文ｆﬁ  \n\t#&<|>~`^ẞ"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(3000)]
+    own = Encoder(PATH)
+    assert own.cuts and own.ends.any()
+    marked = Encoder(PATH)
+    marked.cuts, marked.ends[:] = False, False
+    assert own.ids(texts) == own._encoded(texts) == marked.ids(texts)
+
+
+def test_kept_words_stay_within_their_bound(monkeypatch):
+    from hindsight.llm import subwords
+
+    monkeypatch.setattr(subwords, "KEPT_BYTES", 10_000)
+    own = subwords.Encoder(PATH)
+    texts = [" ".join(f"word{i}x{j}" for j in range(50)) for i in range(60)]
+    assert own.ids(texts) == own._encoded(texts)
+    held = sum(subwords._OBJECTS + len(word) + len(ids) for word, ids in own.known.items())
+    assert 0 < held == own.kept <= 10_000
