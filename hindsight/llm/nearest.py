@@ -165,17 +165,32 @@ def _keyed(classes: DataFrame, curves: _Curves) -> DataFrame:
     )
 
 
+#: Pairs of vectors that are multiplied at once.
+_PAIRS = 1 << 16
+
+
 def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
     """For each query the indices and scores of the ``k`` best, ties to the smaller id.
 
-    Products find them, sums in one order give the scores: the same pair scores alike in any block.
+    Products find them, sums in one order give the scores: the same pair scores alike in any block. All vectors
+    that reach the last place's product, less what rounding may take, are scored, however many tie there.
     """
+    wide = min(k, len(ids))
+    if not len(queries) or not wide:
+        return np.empty((len(queries), wide), np.int64), np.empty((len(queries), wide))
     scores = queries @ vectors.T
-    wide = min(k + 8, len(ids))
-    near = np.argpartition(-scores, wide - 1, axis=1)[:, :wide] if wide < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
-    exact = (queries[:, None, :] * vectors[near]).sum(axis=2)
-    order = np.lexsort((ids[near], -exact), axis=1)[:, :k]
-    return np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+    last = -np.partition(-scores, wide - 1, axis=1)[:, wide - 1]
+    longest = np.sqrt((vectors**2).sum(axis=1).max())
+    margin = 4 * vectors.shape[1] * np.finfo(float).eps * longest * np.sqrt((queries**2).sum(axis=1))
+    asking, near = np.nonzero(scores >= (last - margin)[:, None])
+    exact = np.empty(len(near))
+    for low in range(0, len(near), _PAIRS):
+        some = slice(low, low + _PAIRS)
+        exact[some] = (queries[asking[some]] * vectors[near[some]]).sum(axis=1)
+    order = np.lexsort((ids[near], -exact, asking))
+    first = np.searchsorted(asking, np.arange(len(queries)))
+    order = order[first[:, None] + np.arange(wide)]
+    return near[order], exact[order]
 
 
 _HITS_DDL = "class_id long, hits array<struct<lack:double,id:long>>"

@@ -86,3 +86,36 @@ def test_hilbert_curve_visits_neighbours():
         assert sorted(keys) == list(range(len(points)))
         steps = np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(axis=1)
         assert (steps == 1).all()
+
+
+def test_ties_of_unlike_vectors():
+    """200 distinct vectors whose products with the query are all 1."""
+    rng = np.random.default_rng(4)
+    vectors = np.hstack([np.ones((200, 1)), rng.integers(-4, 5, (200, 15)).astype(float)])
+    query = np.zeros((2, 16))
+    query[:, 0] = 1.0
+    ids = rng.permutation(200) + 1
+    near, scores = nearest._best(query, vectors, ids, 20)
+    assert ids[near].tolist() == [list(range(1, 21))] * 2 and (scores == 1).all()
+    for k in (1, 7, 200, 300):
+        assert ids[nearest._best(query, vectors, ids, k)[0]].tolist() == [list(range(1, min(k, 200) + 1))] * 2
+
+
+def test_best_against_sorting():
+    rng = np.random.default_rng(5)
+    for n, k in ((1, 3), (40, 7), (300, 21)):
+        vectors, queries = rng.integers(-2, 3, (n, 6)).astype(float), rng.integers(-2, 3, (9, 6)).astype(float)
+        ids = rng.permutation(n)
+        near, scores = nearest._best(queries, vectors, ids, k)
+        for query, found, of_found in zip(queries, near, scores, strict=True):
+            expected = sorted((-float((query * v).sum()), int(i)) for v, i in zip(vectors, ids, strict=True))[:k]
+            assert [(-float(s), int(ids[j])) for j, s in zip(found, of_found, strict=True)] == expected
+
+
+def test_ties_in_the_query(spark):
+    rng = np.random.default_rng(6)
+    vectors = np.hstack([np.ones((200, 1)), np.zeros((200, 1)), rng.normal(size=(200, 14))])
+    rows = [(0, [1.0] + [0.0] * 15)] + [(i + 1, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(i, 1.0) for i in range(1, 21)]
