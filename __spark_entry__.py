@@ -235,7 +235,8 @@ def job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = event_sources(spark, sf_dir)._replace(impressions=ranking_wire(spark, sf_dir))
     base = scratch_path(spark, "job-metrics")
     paths = hindsight.SourcePaths(*[write_csv(df, f"{base}/{name}") for name, df in sources._asdict().items()])
-    hindsight.run_job(spark, paths, f"{base}/output", **EVENTS_WINDOW, metrics_path=f"{base}/metrics")
+    kept = {"metrics_path": f"{base}/metrics", "rejects_path": f"{base}/rejects"}
+    hindsight.run_job(spark, paths, f"{base}/output", **EVENTS_WINDOW, **kept)
     columns = "total_rows long, bad_dt_rows long, bad_impressions_rows long, zero_history_pct double, avg_history_length double"
     shares = F.col("action_type_distribution")
     metrics = spark.read.schema(f"{columns}, action_type_distribution map<string, double>").json(f"{base}/metrics")

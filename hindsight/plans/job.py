@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from .. import schema
 from ..constants import COL_BAD_IMPRESSIONS, DEFAULT_LOOKBACK_DAYS, DEFAULT_MAX_SEQ
 from ..operators.history import check_window
-from ..sources import SourcePaths, csv_rejects, load_sources, save_metrics, save_training_inputs
+from ..sources import (
+    SourcePaths,
+    bad_impressions,
+    csv_rejects,
+    load_sources,
+    read_csv_with_schema,
+    save_metrics,
+    save_training_inputs,
+)
 from .quality import observed, observed_metrics
 from .training_inputs import MAP_SIDE_RANK_LIMIT, build_training_inputs
 
@@ -45,9 +53,9 @@ def run_job(
 ) -> DataFrame:
     """Build and write the training inputs, and return them as read back from ``output``.
 
-    Metrics are observed in the pass that writes; they count rankings whose impressions could not be parsed, too.
-    ``replace="partitions"`` leaves partitions that the run has no rows for. With ``rejects_path``, lines of
-    CSV sources that do not parse are kept under it, a folder for each dataset. The job runs in
+    Metrics are observed in the pass that writes. ``replace="partitions"`` leaves partitions that the run has no
+    rows for. With ``rejects_path``, lines of CSV sources that do not parse are kept under it, a folder for each
+    dataset, and rankings whose impressions are no JSON in ``impressions_json``; metrics count these, too. The job runs in
     UTC, so days and midnights mean the same on every cluster; the session's own settings are as
     before when it returns.
     """
@@ -55,11 +63,12 @@ def run_job(
     with _settings(spark, max_seq):
         if rejects_path:
             _save_rejects(spark, paths, source_format, rejects_path)
-        sources = load_sources(spark, paths, source_format, flag=COL_BAD_IMPRESSIONS if metrics_path else None)
+        sources = load_sources(spark, paths, source_format, flag=COL_BAD_IMPRESSIONS if rejects_path else None)
         train = build_training_inputs(*sources, lookback_days=lookback_days, max_seq=max_seq)
         metrics = Observation()
         if metrics_path:
-            train = observed(train, metrics).drop(COL_BAD_IMPRESSIONS)
+            train = observed(train, metrics)
+        train = train.drop(COL_BAD_IMPRESSIONS)
         save_training_inputs(train, output, partition_by=partition_by, replace=replace)
         if metrics_path:
             save_metrics(observed_metrics(spark, metrics), metrics_path)
@@ -72,6 +81,8 @@ def _save_rejects(spark: SparkSession, paths: SourcePaths, source_format: str, r
     for dataset, path in paths._asdict().items():
         rejects = csv_rejects(spark, path, getattr(schema, f"{dataset}_schema"))
         rejects.write.mode("overwrite").parquet(f"{rejects_path}/{dataset}")
+    rankings = read_csv_with_schema(spark, paths.impressions, schema.impressions_schema)
+    bad_impressions(rankings).write.mode("overwrite").parquet(f"{rejects_path}/impressions_json")
 
 
 def job_arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:

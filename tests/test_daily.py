@@ -117,8 +117,9 @@ def test_job_metrics_are_observed(spark, tmp_path):
     out = _job(spark, tmp_path, metrics_path=str(tmp_path / "metrics"))
     assert sorted(map(str, rows(out))) == sorted(map(str, SMALL_EXPECTED))
     (observed,) = _read_json(tmp_path / "metrics")
-    assert observed.pop("bad_impressions_rows") == 0
     assert observed == hindsight.dq_metrics(out).toPandas().to_dict("records")[0]
+    _job(spark, tmp_path, metrics_path=str(tmp_path / "metrics"), rejects_path=str(tmp_path / "rejects"))
+    assert _read_json(tmp_path / "metrics") == [{**observed, "bad_impressions_rows": 0}]
 
 
 def test_metrics_cost_no_second_scan(spark, tmp_path, monkeypatch):
@@ -194,6 +195,7 @@ def test_job_keeps_rejects(spark, tmp_path):
         spark, paths._replace(clicks=str(tmp_path / "odd")), str(tmp_path / "out"), max_seq=4, rejects_path=str(tmp_path / "rejects")
     )
     kept = {name: spark.read.parquet(str(tmp_path / "rejects" / name)).count() for name in paths._fields}
+    assert spark.read.parquet(str(tmp_path / "rejects" / "impressions_json")).count() == 0
     assert kept == {"impressions": 0, "clicks": 1, "add_to_carts": 0, "previous_orders": 0}
     with pytest.raises(ValueError, match="only CSV"):
         hindsight.run_job(spark, paths, str(tmp_path / "out"), source_format="parquet", rejects_path="x")
