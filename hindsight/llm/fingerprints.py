@@ -5,15 +5,19 @@ primes (``c_j`` are code points). From these arrays any span's hash follows by a
 multiplication, so two spans are compared in constant time, and the longest common extension of two
 positions is found by binary search, since a prefix of equal spans is equal.
 
-A fingerprint keeps a sample of this: the length, the hash of the whole text, and the hashes of its
-prefixes and suffixes at a grid of lengths. The grid is a power of two, the finest that has at most
-``POINTS`` points, so fingerprints of texts of any two lengths share the coarser one's grid.
-Likeness searches that grid for the longest common prefix and suffix, as a share of the longer text.
+A fingerprint keeps the part of the array that content chooses: the prefix sums at those places where the
+hash of the next ``WINDOW`` code points is small (one in ``SPACING``), unless such a place lies less than
+``WINDOW`` before. The places depend on the text around them alone, not on where it stands, and their number grows
+with the text. They cut it into spans whose hashes follow from the kept sums.
+
+Likeness adds up the spans that two texts share, wherever they stand: a span of the one is looked up among
+those of the other, and the longest common extension from there is found by binary search over the kept sums.
 """
 
 import hashlib
 from functools import cache
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,7 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import Batches, BatchesIn, column
 
-POINTS = 64
+#: Code points whose hash makes a place a cut; cuts are at least as far apart.
+WINDOW = 12
+#: One place in so many is chosen, before those too close to another go.
+SPACING = 48
 #: Documents that one task has side by side, about; a task streams them, so this bounds no memory.
 BUCKET_ROWS = 4_000
 #: Buckets are cut at sample quantiles of the ids; the sample is for balance only.
@@ -63,15 +70,6 @@ def _block_sums(points: np.ndarray):
         ahead = sums[:, -1:]
 
 
-def sums_at(points: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Prefix sums before each of some places, without an array of all."""
-    out = np.zeros((2, len(places)), np.uint64)
-    for start, sums in _block_sums(points):
-        inside = (places > start) & (places <= start + sums.shape[1])
-        out[:, inside] = sums[:, places[inside] - start - 1]
-    return out
-
-
 def _unshifted(sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """``sums * B**-start`` for the first prime."""
     p, inverse = _PRIMES[0, 0], _powers(inverse=True)[0]
@@ -121,57 +119,119 @@ def code_points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def grid_of(n: int) -> int:
-    """The step of the grid: the least power of two with at most ``POINTS`` steps in n."""
-    return 1 << max(0, (ceil(n / POINTS) - 1).bit_length()) if n else 1
+class Sketch(NamedTuple):
+    """What a fingerprint says: the places of all cuts, 0 and the text's end included, the prefix sums of the
+    first prime before each of them, and the second prime's sum over all. An empty text has one cut."""
+
+    places: list[int]
+    sums: list[int]
+    check: int
+
+    def __str__(self) -> str:
+        gaps = ".".join(f"{b - a:x}" for a, b in zip(self.places, self.places[1:], strict=False))
+        return f"{self.check:08x}-{gaps}-{np.array(self.sums[1:], '>u4').tobytes().hex()}"
+
+    @classmethod
+    def parse(cls, fingerprint: str) -> "Sketch":
+        check, gaps, sums = fingerprint.split("-")
+        places = np.cumsum([0, *(int(g, 16) for g in gaps.split(".") if g)])
+        return cls(places.tolist(), [0, *np.frombuffer(bytes.fromhex(sums), ">u4").tolist()], int(check, 16))
+
+
+def sketch(points: np.ndarray) -> Sketch:
+    """Cuts, sums and check of a text, block by block. Beside the text, memory goes with the number of cuts."""
+    p, inverse = _PRIMES[0, 0], _powers(inverse=True)[0]
+    n, check, last = len(points), 0, -WINDOW
+    places, kept = [0], [0]
+    before = np.zeros(1, np.uint64)  # the sums before the block's first windows
+    for start, sums in _block_sums(points):
+        line = np.concatenate([before, sums[0]])
+        first = start + 1 - len(before)
+        hashes = (line[WINDOW:] + p - line[:-WINDOW]) % p * inverse[: max(0, len(line) - WINDOW)] % p
+        if first:
+            hashes = hashes * np.uint64(pow(_BASES[0], -first, int(p))) % p
+        for i in np.flatnonzero(hashes < p // np.uint64(SPACING)).tolist():
+            if i + first - last >= WINDOW and i + first:
+                places.append(i + first)
+                kept.append(int(line[i]))
+            last = i + first
+        before, check = line[-WINDOW:], int(sums[1, -1])
+    if n:
+        places.append(n)
+        kept.append(int(before[-1]))
+    return Sketch(places, kept, check)
 
 
 def fingerprint(points: np.ndarray) -> str:
-    """``length-whole-prefixes-suffixes`` in hexadecimal, 8 digits a grid point.
+    """``check-gaps-sums`` in hexadecimal: distances between cuts, and 8 digits a prefix sum."""
+    return str(sketch(points))
 
-    A suffix's hash is that of its span, so it is the same in texts of any length.
-    """
-    n = len(points)
-    lengths = np.arange(grid_of(n), n + 1, grid_of(n))
-    starts = n - lengths
-    sums = sums_at(points, np.concatenate([lengths, starts, [n]]))
-    whole = int(sums[0, -1]) << 31 | int(sums[1, -1])
+
+def _spans(of: Sketch) -> list[tuple[int, int]]:
+    """Length and hash of each span, the same wherever it stands."""
+    places, sums = np.array(of.places, np.int64), np.array(of.sums, np.uint64)
     p = _PRIMES[0, 0]
-    head = sums[0, : len(lengths)]
-    tail = _unshifted((sums[0, -1] + p - sums[0, len(lengths) : -1]) % p, starts)
-    return f"{n:x}-{whole:016x}-{_hexadecimal(head)}-{_hexadecimal(tail)}"
+    hashes = _unshifted((sums[1:] + p - sums[:-1]) % p, places[:-1])
+    return list(zip(np.diff(places).tolist(), hashes.tolist(), strict=True))
 
 
-def _hexadecimal(hashes: np.ndarray) -> str:
-    return hashes.astype(">u4").tobytes().hex()
+def _extension(left: Sketch, i: int, right: Sketch, j: int, most: int) -> int:
+    """How many spans from the i-th here equal those from the j-th there, by binary search up to ``most``."""
+    p = int(_PRIMES[0, 0])
+    shift = pow(_BASES[0], right.places[j] - left.places[i], p)
 
+    def equal(count: int) -> bool:
+        if left.places[i + count] - left.places[i] != right.places[j + count] - right.places[j]:
+            return False
+        here, there = left.sums[i + count] - left.sums[i], right.sums[j + count] - right.sums[j]
+        return (here * shift - there) % p == 0
 
-def _common(left: str, right: str, step: int, left_step: int, right_step: int) -> int:
-    """Longest common run on the coarser grid, by binary search over lengths."""
-    low, high = 0, min(len(left) // 8 * left_step, len(right) // 8 * right_step) // step
+    low, high = 1, most
     while low < high:
         middle = (low + high + 1) // 2
-        a, b = (middle * step // s * 8 for s in (left_step, right_step))
-        if left[a - 8 : a] == right[b - 8 : b]:
-            low = middle
-        else:
-            high = middle - 1
-    return low * step
+        low, high = (middle, high) if equal(middle) else (low, middle - 1)
+    return low
+
+
+def shared(left: Sketch, right: Sketch) -> int:
+    """Code points in spans of the one that the other has too, each span as often as both have it."""
+    own, others = _spans(left), _spans(right)
+    where: dict[tuple[int, int], list[int]] = {}
+    for j in reversed(range(len(others))):
+        where.setdefault(others[j], []).append(j)
+    used = [False] * len(others)
+    same = i = 0
+    while i < len(own):
+        found = where.get(own[i], [])
+        while found and used[found[-1]]:
+            found.pop()
+        if not found:
+            i += 1
+            continue
+        j = found.pop()
+        # From here on both go together, up to a span that is taken already.
+        count = _extension(left, i, right, j, min(len(own) - i, len(others) - j))
+        count = next((k for k in range(1, count) if used[j + k]), count)
+        used[j : j + count] = [True] * count
+        same += left.places[i + count] - left.places[i]
+        i += count
+    return same
+
+
+def _alike(left: Sketch, right: Sketch) -> float:
+    if left == right:
+        return 1.0
+    longer = max(left.places[-1], right.places[-1])
+    return min(shared(left, right), longer - 1) / longer
 
 
 def likeness(left: str, right: str) -> float:
-    """Share of the longer text that the two texts' common prefix and suffix make, from 0 to 1.
+    """Share of the longer text that lies in spans common to both, from 0 to 1, of two fingerprints.
 
-    1 for equal texts, two empty ones included; below 1 for others.
+    1 for equal texts, two empty ones included; below 1 for others. A span counts if length and hash are
+    equal (31 bits; two unlike texts have the same fingerprint with a probability of about 2**-62).
     """
-    if left == right:
-        return 1.0
-    (n, _, head, tail), (m, _, other_head, other_tail) = left.split("-"), right.split("-")
-    n, m = int(n, 16), int(m, 16)
-    steps = grid_of(n), grid_of(m)
-    step = max(steps)
-    same = _common(head, other_head, step, *steps) + _common(tail, other_tail, step, *steps)
-    return min(same, min(n, m), max(n, m) - 1) / max(n, m)
+    return _alike(Sketch.parse(left), Sketch.parse(right))
 
 
 _RESULT = pa.schema(
@@ -203,20 +263,20 @@ def _with_next(batches: BatchesIn) -> Batches:
                 if follows and next_bucket != bucket:
                     continue  # a second row of the following document
                 next_points = code_points(next_text)
-                next_own = fingerprint(next_points)
+                next_own = sketch(next_points)
                 if next_bucket == bucket:
                     cut = len(points) // 4
                     edited = np.concatenate([points[: len(points) - cut], next_points[:cut]])
-                    changed = fingerprint(edited)
+                    changed = sketch(edited)
                     raw = edited.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
                     yield (
                         doc,
                         len(points),
                         hashlib.sha256(raw).hexdigest(),
-                        own,
-                        changed,
-                        likeness(own, changed),
-                        likeness(own, next_own),
+                        str(own),
+                        str(changed),
+                        _alike(own, changed),
+                        _alike(own, next_own),
                     )
                 bucket = None if follows else next_bucket
                 doc, points, own = next_doc, next_points, next_own

@@ -1,13 +1,13 @@
 import hashlib
 import random
+from collections import Counter
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from hindsight.llm import fingerprints
-from hindsight.llm.fingerprints import PrefixHash, code_points, fingerprint, likeness
+from hindsight.llm.fingerprints import PrefixHash, Sketch, code_points, fingerprint, likeness, sketch
 
 ALPHABET = st.text(alphabet="abé\U0001f600", max_size=300)
 
@@ -36,19 +36,44 @@ def test_blocks_do_not_show(monkeypatch):
     fingerprints._powers.cache_clear()
 
 
-@settings(max_examples=100, deadline=None)
-@given(head=ALPHABET, a=ALPHABET, b=ALPHABET, tail=ALPHABET)
-def test_likeness_is_that_of_common_ends(head, a, b, tail):
-    x, y = head + a + tail, head + b + tail
-    got = likeness(fingerprint(code_points(x)), fingerprint(code_points(y)))
-    assert 0 <= got <= 1 and (got == 1) == (x == y)
-    n, m = len(x), len(y)
-    prefix = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(n, m))
-    suffix = next((i for i, (p, q) in enumerate(zip(x[::-1], y[::-1], strict=False)) if p != q), min(n, m))
-    step = max(fingerprints.grid_of(n), fingerprints.grid_of(m))
-    if x != y:
-        true = min(prefix // step * step + suffix // step * step, min(n, m), max(n, m) - 1) / max(n, m)
-        assert got == pytest.approx(true)
+def plain_spans(text):
+    """The spans of a text from its windows one by one."""
+    p, base, w = 2147483647, 1103515245, fingerprints.WINDOW
+    small = [
+        sum((ord(c) + 1) * pow(base, j, p) for j, c in enumerate(text[i : i + w])) % p < p // fingerprints.SPACING
+        for i in range(len(text) - w + 1)
+    ]
+    cuts = [i for i, chosen in enumerate(small) if i and chosen and not any(small[max(0, i - w + 1) : i])]
+    ends = [0, *cuts, len(text)]
+    return Counter(text[a:b] for a, b in zip(ends, ends[1:], strict=False) if b > a)
+
+
+def plain_likeness(x, y):
+    same = plain_spans(x) & plain_spans(y)
+    longer = max(len(x), len(y))
+    return 1.0 if x == y else min(sum(len(s) * n for s, n in same.items()), longer - 1) / longer
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=8), st.lists(st.integers(0, 5), max_size=8), ALPHABET, ALPHABET)
+def test_likeness_is_that_of_shared_spans(some, others, a, b):
+    rng = random.Random(3)
+    blocks = ["".join(rng.choices("abcé😀 ", k=k)) for k in (5, 90, 150, 200, 260, 400)]
+    x, y = "".join(blocks[i] for i in some) + a, b + "".join(blocks[i] for i in others)
+    left, right = (fingerprint(code_points(t)) for t in (x, y))
+    got = likeness(left, right)
+    assert got == pytest.approx(plain_likeness(x, y))
+    assert 0 <= got <= 1 and (got == 1) == (x == y) == (left == right)
+    assert got == pytest.approx(likeness(right, left))
+
+
+@pytest.mark.parametrize("text", ["", "a", "a" * 5000, "ab" * 3000, "no window"])
+def test_uniform_and_short_texts(text):
+    own = sketch(code_points(text))
+    assert Sketch.parse(str(own)) == own and own.places[-1] == len(text)
+    assert all(b - a >= fingerprints.WINDOW for a, b in zip(own.places[:-1], own.places[1:-1], strict=False))
+    assert likeness(str(own), str(own)) == 1
+    assert likeness(str(own), fingerprint(code_points(text + "x"))) < 1
 
 
 def expected(rows):
@@ -75,7 +100,8 @@ def test_whole_table(spark, monkeypatch):
     rows += [(10**7, None), (10**7 + 1, ""), (10**7 + 2, "z" * 200_000), (None, "no id"), (None, "other"), rows[3], (rows[4][0], "again")]
     got = result(spark, rows)
     assert got == sorted(expected(rows), key=str)
-    assert max(len(r[3]) for r in got) < 1200
+    longest = next(r for r in got if r[1] == 200_000)
+    assert len(longest[3]) < 100  # one letter all along has no cuts to choose from
 
 
 @pytest.mark.parametrize("rows", [[], [(1, "alone in the table")], [(1, None)], [(None, "x"), (None, "x")], [(5, "same")] * 9])
@@ -83,9 +109,36 @@ def test_small_tables(spark, rows):
     assert result(spark, rows) == sorted(expected(rows), key=str)
 
 
-def test_an_edit_of_a_quarter_shows():
-    random.seed(8)
-    text = "".join(random.choices("abcdef ", k=3000))
-    edited = text[:2250] + "".join(random.choices("abcdef ", k=750))
-    assert 0.7 < likeness(fingerprint(code_points(text)), fingerprint(code_points(edited))) <= 0.76
-    assert np.isclose(likeness(fingerprint(code_points(text)), fingerprint(code_points("x" + text[1:]))), 1, atol=0.04)
+def words(rng, n):
+    return "".join(rng.choices("abcdef ", k=n))
+
+
+def test_edits_show_by_their_size():
+    rng = random.Random(8)
+    text = words(rng, 10_000)
+    own = fingerprint(code_points(text))
+
+    def near(other):
+        return likeness(own, fingerprint(code_points(other)))
+
+    assert 0.7 < near(text[:7500] + words(rng, 2500)) <= 0.76
+    assert near("A header. " + text + " A footer.") > 0.95  # both ends differ
+    assert near("X" + text[1:-1] + "X") > 0.95
+    assert near(text[:1000] + "X" + text[1001:9000] + "Y" + text[9001:]) > 0.95
+    assert near(text[5000:] + text[:5000]) > 0.95  # moved, not lost
+    assert 0.4 < near(words(rng, 2500) + text[2500:7500] + words(rng, 2500)) < 0.55
+    assert near(words(rng, 10_000)) < 0.02
+
+
+def test_cuts_grow_with_the_text():
+    rng = random.Random(9)
+    counts = [len(sketch(code_points(words(rng, n))).places) for n in (5_000, 50_000, 500_000)]
+    assert 8 < counts[1] / counts[0] < 12.5 and 9 < counts[2] / counts[1] < 11
+
+
+def test_a_passage_shared_with_the_next_document(spark):
+    rng = random.Random(10)
+    passage = words(rng, 900)
+    texts = [words(rng, 300) + passage + words(rng, 300), words(rng, 600) + passage, words(rng, 1500)]
+    near = {r[0]: r[6] for r in result(spark, list(enumerate(texts)))}
+    assert 0.45 < near[0] < 0.61 and near[1] < 0.05
