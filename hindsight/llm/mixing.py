@@ -12,8 +12,7 @@ their own hash and the pattern's row.
 """
 
 from collections.abc import Mapping, Sequence
-from heapq import heappop, heappush
-from math import ceil, inf
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -54,57 +53,78 @@ def share_out(sizes: Mapping[str | None, int], weights: Sequence[float] = (1, 2,
 def min_cost_flow(capacities: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[int]) -> list[dict[int, int]]:
     """Words from each pattern to each source: all that quotas and three uses allow, at the least cost.
 
-    Successive cheapest paths, with potentials. A path carries as much as its narrowest arc, so the
-    number of paths goes with the arcs of this network, not with words.
+    Successive cheapest paths. A path enters one pattern and costs what that use of it costs; what it does
+    after that, moving other patterns' words between their sources, is free. So there are as many costs of
+    paths as uses, and all paths of one cost go together, as blocking flows over the shortest of them.
+    Patterns of one source that has room need no search: one round over all links serves them.
     """
-    patterns, sources = len(capacities), len(quotas)
-    start, end = patterns + sources, patterns + sources + 1
-    heads, room, costs, leaving = [], [], [], [[] for _ in range(end + 1)]
-
-    def arc(a: int, b: int, capacity: int, cost: int) -> None:
-        for u, v, r, c in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            leaving[u].append(len(heads))
-            heads.append(v)
-            room.append(r)
-            costs.append(c)
-
-    for p, capacity in enumerate(capacities):
-        for cost in REPETITION_COSTS:
-            arc(start, p, capacity, cost)
-    links = {}
-    for p, own in enumerate(members):
+    flows = [dict.fromkeys(own, 0) for own in members]
+    users: list[list[int]] = [[] for _ in quotas]
+    for p, own in enumerate(flows):
         for s in own:
-            links[p, s] = len(heads)
-            arc(p, patterns + s, len(REPETITION_COSTS) * capacities[p], 0)
-    for s, quota in enumerate(quotas):
-        arc(patterns + s, end, quota, 0)
-
-    potential = [0] * (end + 1)
-    while True:
-        distance, into = [inf] * (end + 1), [-1] * (end + 1)
-        distance[start] = 0
-        heap = [(0, start)]
-        while heap:
-            d, u = heappop(heap)
-            if d > distance[u]:
+            users[s].append(p)
+    left, room = [0] * len(capacities), list(quotas)
+    for _ in REPETITION_COSTS:
+        left = [a + b for a, b in zip(left, capacities, strict=True)]
+        while _blocking_flow(flows, users, left, room):
+            pass
+    return [{s: words for s, words in own.items() if words} for own in flows]
+
+
+def _levels(flows: list[dict[int, int]], users: list[list[int]], left: list[int], room: list[int]) -> tuple[dict, dict]:
+    """Distances of patterns and sources from the patterns with words left, up to the first source with room."""
+    patterns = {p: 0 for p, words in enumerate(left) if words}
+    sources: dict[int, int] = {}
+    front, depth = list(patterns), 0
+    while front:
+        reached = list(dict.fromkeys(s for p in front for s in flows[p] if s not in sources))
+        sources.update(dict.fromkeys(reached, depth + 1))
+        if any(room[s] for s in reached):
+            break
+        front = list(dict.fromkeys(p for s in reached for p in users[s] if flows[p][s] and p not in patterns))
+        depth += 2
+        patterns.update(dict.fromkeys(front, depth))
+    return patterns, sources
+
+
+def _blocking_flow(flows: list[dict[int, int]], users: list[list[int]], left: list[int], room: list[int]) -> bool:
+    """Send words along shortest paths until none is left; whether any were sent."""
+    patterns, sources = _levels(flows, users, left, room)
+    roots = [p for p, depth in patterns.items() if not depth]
+    onward: dict[int, list[int]] = {}  # sources that a pattern may still send to
+    back: dict[int, list[int]] = {}  # patterns that may take their words out of a source
+    sent = False
+    for root in roots:
+        path = [root]  # patterns and sources in turn
+        while left[root]:
+            here = path[-1]
+            if len(path) % 2:
+                ahead = onward.setdefault(here, [s for s in flows[here] if sources.get(s) == patterns[here] + 1])
+                usable = bool(ahead)
+            elif room[here]:
+                takes = list(zip(path[2::2], path[1::2], strict=False))
+                amount = min(left[root], room[here], *(flows[p][s] for p, s in takes))
+                for p, s in takes:
+                    flows[p][s] -= amount
+                for p, s in zip(path[::2], path[1::2], strict=True):
+                    flows[p][s] += amount
+                left[root] -= amount
+                room[here] -= amount
+                sent, path = True, [root]
                 continue
-            for e in leaving[u]:
-                if room[e] > 0 and (new := d + costs[e] + potential[u] - potential[heads[e]]) < distance[heads[e]]:
-                    distance[heads[e]], into[heads[e]] = new, e
-                    heappush(heap, (new, heads[e]))
-        if distance[end] == inf:
-            return [
-                {s: room[links[p, s] ^ 1] for s in own if room[links[p, s] ^ 1]} for p, own in enumerate(members)
-            ]
-        potential = [a + d if d < inf else a for a, d in zip(potential, distance, strict=True)]
-        path, node = [], end
-        while node != start:
-            path.append(into[node])
-            node = heads[into[node] ^ 1]
-        amount = min(room[e] for e in path)
-        for e in path:
-            room[e] -= amount
-            room[e ^ 1] += amount
+            else:
+                ahead = back.setdefault(here, [p for p in users[here] if patterns.get(p) == sources[here] + 1])
+                while ahead and not flows[ahead[-1]][here]:
+                    ahead.pop()
+                usable = bool(ahead)
+            if usable:
+                path.append(ahead[-1])
+            elif len(path) == 1:
+                break
+            else:
+                path.pop()
+                (onward if len(path) % 2 else back)[path[-1]].pop()
+    return sent
 
 
 def _sizes(batches: BatchesIn) -> Batches:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,68 @@ def test_flow_is_cheapest():
         assert (-sum(out), cost) == brute_force_cost(capacities, members, quotas)
 
 
+def flow_network_cost(capacities, members, quotas):
+    """Amount and cost of the cheapest flow, by shortest paths found by relaxing all arcs (Bellman-Ford)."""
+    start, end = -1, -2
+    arcs = [[start, ("p", p), c, cost] for p, c in enumerate(capacities) for cost in (0, 1, 3)]
+    arcs += [[("p", p), ("s", s), 3 * capacities[p], 0] for p, own in enumerate(members) for s in own]
+    arcs += [[("s", s), end, q, 0] for s, q in enumerate(quotas)]
+    arcs = [a for u, v, r, c in arcs for a in ([u, v, r, c], [v, u, 0, -c])]
+    amount = cost = 0
+    while True:
+        distance, into, changed = {start: 0}, {}, True
+        while changed:
+            changed = False
+            for e, (u, v, r, c) in enumerate(arcs):
+                if r and u in distance and distance[u] + c < distance.get(v, 10**9):
+                    distance[v], into[v], changed = distance[u] + c, e, True
+        if end not in distance:
+            return amount, cost
+        path, node = [], end
+        while node != start:
+            path.append(into[node])
+            node = arcs[into[node]][0]
+        words = min(arcs[e][2] for e in path)
+        for e in path:
+            arcs[e][2] -= words
+            arcs[e ^ 1][2] += words
+        amount, cost = amount + words, cost + words * distance[end]
+
+
+def test_larger_flows_are_cheapest():
+    rng = random.Random(5)
+    for _ in range(120):
+        n = rng.randint(1, 7)
+        capacities = [rng.randint(0, 30) for _ in range(rng.randint(0, 12))]
+        members = [sorted(rng.sample(range(n), rng.randint(0, min(n, 4)))) for _ in capacities]
+        quotas = [rng.randint(0, 60) for _ in range(n)]
+        flows = mixing.min_cost_flow(capacities, members, quotas)
+        into, cost = [0] * n, 0
+        for c, own, flow in zip(capacities, members, flows, strict=True):
+            out = sum(flow.values())
+            assert out <= 3 * c and set(flow) <= set(own) and all(f > 0 for f in flow.values())
+            cost += max(0, min(out - c, c)) + max(0, out - 2 * c) * 3
+            for s, f in flow.items():
+                into[s] += f
+        assert all(a <= b for a, b in zip(into, quotas, strict=True))
+        assert (sum(into), cost) == flow_network_cost(capacities, members, quotas)
+
+
+def test_many_sources_take_linear_time():
+    rng = random.Random(6)
+    n = 20_000
+    members = [[s] for s in range(n)] + [sorted(rng.sample(range(n), 2)) for _ in range(n)]
+    capacities = [rng.randint(1, 1000) for _ in members]
+    quotas = [rng.randint(1, 1500) for _ in range(n)]
+    began = time.process_time()
+    alone = mixing.min_cost_flow(capacities[:n], members[:n], quotas)
+    assert time.process_time() - began < 5
+    assert [sum(f.values()) for f in alone] == [min(3 * c, q) for c, q in zip(capacities, quotas, strict=False)]
+    overlapping = mixing.min_cost_flow(capacities, members, quotas)
+    assert time.process_time() - began < 60
+    assert sum(sum(f.values()) for f in overlapping) <= sum(quotas)
+
+
 SCHEMA = "doc_id long, text string, source string, size int, sources string, last long"
 
 
