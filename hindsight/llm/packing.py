@@ -1,7 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over source queues, in closed form.
 
 Every source has a queue of its documents in a seeded order. A round-robin scheduler fills windows
-of ``WINDOW`` tokens: with each window a source earns its share of the target mixture and spends it
+of 16 sequences, or as many as there are sources if these are more: with each window a source earns its share of the target mixture and spends it
 in whole tokens; what is left below a token is its deficit, carried to the next window. A source
 whose queue is empty drops out and the others share by their weights.
 
@@ -14,7 +14,7 @@ Windows follow each other gaplessly and sequences are cut every ``SEQUENCE`` tok
 sequences are full but the last.
 """
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from math import ceil
 
 import numpy as np
@@ -26,7 +26,8 @@ from .common import Batches, BatchesIn, column, small, written
 from .subwords import encoder
 
 SEQUENCE = 4096
-WINDOW = 16 * SEQUENCE
+#: Sequences in a window, at least; with more sources a window has one for each, so that turns stay long.
+TURNS = 16
 #: Rows of a source's queue that one task sums up.
 BLOCK_ROWS = 20_000
 #: Pieces in a batch of results, of at most a sequence each.
@@ -43,12 +44,12 @@ class Schedule:
     v is piecewise linear in v with a bend where a source runs out.
     """
 
-    def __init__(self, totals, weights, window: int = WINDOW):
+    def __init__(self, totals, weights, window: int | None = None):
         self.totals = np.asarray(totals, np.int64)
         self.weights = np.asarray(weights, np.float64)
-        self.window = window
+        self.window = window or SEQUENCE * max(TURNS, len(self.totals))
         self.all = int(self.totals.sum())
-        self.windows = -(-self.all // window)
+        self.windows = -(-self.all // self.window)
         empty = self.totals / self.weights
         order = np.argsort(empty, kind="stable")
         rate = self.weights.sum() - np.concatenate([[0], np.cumsum(self.weights[order])[:-1]])
@@ -79,14 +80,24 @@ class Schedule:
     def base(self, source, k) -> np.ndarray:
         """Where the source's part of window ``k`` starts: after all earlier windows, and after the
         sources whose turn is before its own. The first turn goes round."""
+        sources = len(self.totals)
+        every = np.arange(sources)[:, None]
+        windows, which = np.unique(k, return_inverse=True)
+        by_window = np.argsort(which, kind="stable")
         out = np.empty(len(k), np.int64)
-        every = np.arange(len(self.totals))[:, None]
-        step = max(1, (1 << 20) // len(every))
-        for low in range(0, len(k), step):
-            some, own = k[low : low + step], source[low : low + step]
-            before, after = self.served(every, some), self.served(every, some + 1)
-            earlier = (every - some) % len(every) < (own - some) % len(every)
-            out[low : low + step] = before.sum(axis=0) + np.where(earlier, after - before, 0).sum(axis=0)
+        # A table per window, of the tokens of all sources up to each, serves all pieces in that window.
+        step = max(1, (1 << 20) // sources)
+        for low in range(0, len(windows), step):
+            some = windows[low : low + step]
+            before = self.served(every, some)
+            upto = np.zeros((sources + 1, len(some)), np.int64)
+            np.cumsum(self.served(every, some + 1) - before, axis=0, out=upto[1:])
+            first, end = np.searchsorted(which[by_window], [low, low + len(some)])
+            rows = by_window[first:end]
+            at, own = which[rows] - low, source[rows]
+            turn = some[at] % sources
+            earlier = upto[own, at] - upto[turn, at] + np.where(own < turn, upto[-1, at], 0)
+            out[rows] = before.sum(axis=0)[at] + earlier
         return out
 
     def pieces(self, source, start, length) -> tuple[np.ndarray, ...]:
@@ -179,7 +190,7 @@ def pack(
     documents: DataFrame,
     tokenizer: str,
     end_id: int,
-    weights: Mapping[str | None, float] | None = None,
+    weights: Mapping[str | None, float] | Sequence[float] | None = None,
     source_col: str | None = "source",
     by_word: bool = True,
     seed: int = 0,
@@ -188,8 +199,9 @@ def pack(
 
     Each id of each document, with ``end_id`` after its last, is in exactly one piece; ``ids`` are
     little-endian unsigned 32-bit. ``weights`` are the target proportions by source; a source that is
-    not named weighs nothing until the named ones are empty, and without ``weights`` sources
-    weigh what they hold, so that the mixture of the whole corpus holds in every window to the end.
+    not named weighs nothing until the named ones are empty. A plain sequence of positive weights goes to the
+    sources by their code points, null last, over and over. Without ``weights`` sources weigh what they hold, so
+    that the mixture of the whole corpus holds in every window to the end.
 
     A null or empty text is its end id alone. Null sources are a source of their own, as are empty
     ones. Rows that repeat are packed once each. Very long texts are cut as need be. Columns other than
@@ -202,7 +214,9 @@ def pack(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     names = {r["source"]: i for i, r in enumerate(totals)}
-    if weights:
+    if weights and not isinstance(weights, Mapping):
+        shares = [weights[i % len(weights)] for i in range(len(totals))]
+    elif weights:
         # Unnamed sources: so little that they wait for the rest.
         least = min((w for w in weights.values() if w > 0), default=1.0) * 1e-9
         shares = [max(weights.get(r["source"], 0), least) for r in totals]
@@ -234,7 +248,7 @@ def pack(
                         pa.array([sizes[r] for r in own], pa.int64()),
                         pa.array(position[some] // SEQUENCE),
                         pa.array(position[some] % SEQUENCE),
-                        pa.array(position[some] // WINDOW),
+                        pa.array(position[some] // schedule.window),
                         pa.array(ids, pa.binary()),
                     ],
                     schema=_PIECES,

@@ -1,5 +1,7 @@
 """The registered queries of the corpus operators: each applies one operator to its whole table."""
 
+from collections.abc import Sequence
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,13 +40,17 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def packed_pieces(documents: DataFrame) -> DataFrame:
-    pieces = packing.pack(documents, TOKENIZER, END_ID)
+#: Target proportions of the packing query, by source in order; sources run out one after the other.
+PROPORTIONS = (1, 2, 3)
+
+
+def packed_pieces(documents: DataFrame, weights: Sequence[float] | None = None) -> DataFrame:
+    pieces = packing.pack(documents, TOKENIZER, END_ID, weights)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "window", "source")
 
 
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_pieces(table(spark, sf_dir, "documents"))
+    return packed_pieces(table(spark, sf_dir, "documents"), PROPORTIONS)
 
 
 def op3_attention_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -67,12 +68,13 @@ def check(rows, out, plain):
     assert sorted(by_sequence) == list(range(last + 1))
 
 
-def test_packs_everything(spark, plain, monkeypatch):
+@pytest.mark.parametrize("weights", [None, (1, 2, 3), (5,)])
+def test_packs_everything(spark, plain, monkeypatch, weights):
     monkeypatch.setattr(packing, "BLOCK_ROWS", 7)
     rows = [(i, (" ".join(f"word{j % 97}" for j in range(i * 37 % 900)) or None), f"s{i % 3}" if i % 5 else None) for i in range(60)]
     rows += [(100, "very long " * 20_000, "s0"), (7, rows[7][1], "s1"), (None, "no id", "s0"), (None, "no id", "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, row int")
-    out = packed_pieces(df).collect()
+    out = packed_pieces(df, weights).collect()
     check([r[:2] for r in rows], out, plain)
 
 
@@ -86,7 +88,7 @@ def test_windows_hold_the_mixture():
     for source, total in enumerate(totals):
         served = schedule.served(source, np.arange(schedule.windows + 1))
         assert served[0] == 0 and served[-1] == total and (np.diff(served) >= 0).all()
-        share = total / sum(totals) * packing.WINDOW
+        share = total / sum(totals) * schedule.window
         assert (np.abs(np.diff(served[:-1]) - share) <= 1).all()
 
 
@@ -114,10 +116,42 @@ def test_any_weights_place_every_token_once(totals, weights, data):
 def test_weighted_windows():
     schedule = packing.Schedule([10**6, 10**6, 10**6], [1, 2, 5])
     first = [int(schedule.served(s, 1)) for s in range(3)]
-    assert np.allclose(first, np.array([1, 2, 5]) / 8 * packing.WINDOW, atol=1)
+    assert np.allclose(first, np.array([1, 2, 5]) / 8 * schedule.window, atol=1)
     assert int(schedule.served(2, schedule.windows // 2)) < 10**6 <= int(schedule.served(2, schedule.windows - 3))
 
 
+def plain_base(schedule, source, k):
+    """All that was served before window k, then the parts of the sources whose turn comes first."""
+    sources = len(schedule.totals)
+    out = sum(int(schedule.served(s, k)) for s in range(sources))
+    turn = k % sources
+    while turn != source:
+        out += int(schedule.served(turn, k + 1)) - int(schedule.served(turn, k))
+        turn = (turn + 1) % sources
+    return out
+
+
+def test_parts_start_where_turns_say():
+    rng = np.random.default_rng(3)
+    schedule = packing.Schedule(rng.integers(1, 4000, 23), rng.integers(1, 6, 23), window=500)
+    source, k = rng.integers(0, 23, 400), rng.integers(0, schedule.windows, 400)
+    assert schedule.base(source, k).tolist() == [plain_base(schedule, int(s), int(w)) for s, w in zip(source, k, strict=True)]
+
+
+def test_ten_thousand_sources():
+    rng = np.random.default_rng(4)
+    totals = rng.integers(1, 200_000, 10_000)
+    schedule = packing.Schedule(totals, np.tile([1, 2, 3], 3334)[:10_000])
+    source = rng.integers(0, 10_000, 2000)
+    start = rng.integers(0, totals[source])
+    length = np.minimum(900, totals[source] - start)
+    began = time.process_time()
+    run, offset, size, position = schedule.pieces(source, start, length)
+    assert time.process_time() - began < 10
+    assert np.bincount(run, size, 2000).tolist() == length.tolist()
+    assert len(run) < 4 * len(source)  # a turn has thousands of tokens, so few documents are cut
+
+
 def test_words_with_punctuation_equal_whole_texts():
     import random
 
