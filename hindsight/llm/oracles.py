@@ -1,6 +1,6 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-from .url_filters import DEPTH, DIFFERENT, FAN_OUT, MIN_PURITY, RARE, SMOOTHING
+from .url_filters import DIFFERENT, FAN_OUT, MIN_PURITY, RARE, SMOOTHING
 
 _WARC = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -15,53 +15,52 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM d"""
 
 
-def _level(i: int) -> str:
-    """The tree one level deeper, from ``t{i}`` to ``t{i + 1}``."""
-    share = "((all_bad + 0.5) / (all_labelled + 1.0))"
-    return f"""
-s{i} AS (SELECT *, coalesce(shape[{i + 1}], '') AS segment FROM t{i}),
-b{i} AS (SELECT host, template, segment, sum(pages) AS pages, sum(labelled) AS labelled, sum(bad) AS bad
-         FROM s{i} GROUP BY ALL),
-n{i} AS (SELECT host, template, count(*) AS branches, sum(pages) AS all_pages, sum(labelled) AS all_labelled,
-                sum(bad) AS all_bad FROM b{i} GROUP BY ALL),
-k{i} AS (SELECT host, template, segment,
-                segment = '' OR branches = 1 OR (NOT (branches > {FAN_OUT} AND all_pages < {RARE} * branches)
-                  AND labelled > 0 AND abs(bad - labelled * {share})
-                      > {DIFFERENT} * sqrt(labelled * {share} * (1 - {share}))) AS own
-         FROM b{i} JOIN n{i} USING (host, template)),
-t{i + 1} AS (SELECT host, shape, pages, labelled, bad, template ||
-                CASE WHEN segment = '' THEN '' WHEN own THEN '/' || segment ELSE '/*' END AS template
-             FROM s{i} JOIN k{i} USING (host, template, segment))"""
-
-
 def _url_filter(rules) -> str:
     ordered = sorted(rules, key=lambda r: -len(r.name))
     fits = [f"(h.host = '{r.host}' OR h.host LIKE '%.{r.host}') AND starts_with(h.path, '{r.path}')" for r in ordered]
     case = lambda values: "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, v in zip(fits, values, strict=True)) + " END"
     extension = r"'\.[A-Za-z]{1,5}$'"
+    share = "((all_bad + 0.5) / (all_labelled + 1.0))"
+    differs = f"labelled_b > 0 AND abs(bad_b - labelled_b * {share}) > {DIFFERENT} * sqrt(labelled_b * {share} * (1 - {share}))"
+    own = f"""segment = '' OR branches = 1 OR ({differs}
+          AND (NOT (branches > {FAN_OUT} AND all_pages < {RARE} * branches) OR pages_b >= {RARE}))"""
     return rf"""
-WITH r AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE r AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 g AS (SELECT *, [s FOR s IN string_split(path, '/') IF s <> ''] AS segments FROM u),
-h AS (SELECT page_id, host, path, list_concat([CASE
+h AS (SELECT page_id, host, path, [CASE
         WHEN regexp_matches(regexp_replace(s, {extension}, ''), '^[0-9_.-]*[0-9][0-9_.-]*$')
           OR regexp_matches(regexp_replace(s, {extension}, ''), '^[0-9a-fA-F-]{{16,}}$')
           OR length(regexp_replace(s, {extension}, '')) > 64 THEN '*' || regexp_extract(s, {extension}) ELSE s END
-        FOR s IN segments[1:{DEPTH}]], CASE WHEN len(segments) > {DEPTH} THEN ['**'] ELSE [] END) AS shape FROM g),
+        FOR s IN segments] AS shape FROM g),
 l AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-t0 AS (SELECT host, shape, count(*) AS pages, count(l.bad) AS labelled, coalesce(sum(l.bad), 0) AS bad, '' AS template
-       FROM h LEFT JOIN l USING (page_id) GROUP BY host, shape),
-{",".join(_level(i) for i in range(DEPTH + 1))},
+t AS (
+  SELECT 0 AS level, host, shape, count(*) AS pages, count(l.bad) AS labelled, CAST(coalesce(sum(l.bad), 0) AS BIGINT) AS bad,
+         '' AS template, false AS done
+  FROM h LEFT JOIN l USING (page_id) GROUP BY host, shape
+  UNION ALL
+  SELECT level + 1, host, shape, pages, labelled, bad,
+         template || CASE WHEN shapes = 1 THEN array_to_string([('/' || s) FOR s IN shape[level + 1 :]], '')
+                          WHEN NOT own THEN '/*' WHEN segment = '' THEN '' ELSE '/' || segment END,
+         shapes = 1 OR len(shape) <= level + 1
+  FROM (SELECT *, {own} AS own FROM (
+    SELECT *, count(*) OVER node AS shapes, CAST(sum(first) OVER node AS BIGINT) AS branches,
+           sum(pages) OVER node AS all_pages, sum(labelled) OVER node AS all_labelled, sum(bad) OVER node AS all_bad,
+           sum(pages) OVER branch AS pages_b, sum(labelled) OVER branch AS labelled_b, sum(bad) OVER branch AS bad_b
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY host, template, segment) = 1 AS INT) AS first
+          FROM (SELECT *, coalesce(shape[level + 1], '') AS segment FROM t WHERE NOT done))
+    WINDOW node AS (PARTITION BY host, template), branch AS (PARTITION BY host, template, segment)))),
+tree AS (SELECT * FROM t WHERE done),
 overall AS (SELECT (count(*) - sum(bad) + 1.0) / (count(*) + 1.0) AS purity FROM l),
 by_host AS (SELECT host, (sum(labelled) - sum(bad) + {SMOOTHING} * (SELECT purity FROM overall)) / (sum(labelled) + {SMOOTHING}) AS purity
-            FROM t{DEPTH + 1} GROUP BY host),
+            FROM tree GROUP BY host),
 by_template AS (SELECT t.host, template, (sum(labelled) - sum(bad) + {SMOOTHING} * any_value(b.purity)) / (sum(labelled) + {SMOOTHING}) AS purity
-                FROM t{DEPTH + 1} t JOIN by_host b ON t.host = b.host GROUP BY t.host, template)
+                FROM tree t JOIN by_host b ON t.host = b.host GROUP BY t.host, template)
 SELECT h.page_id, h.host, h.path, {case([r.name for r in ordered])} AS rule,
        coalesce({case([r.verdict for r in ordered])}, CASE WHEN p.purity < {MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
        t.template
-FROM h JOIN t{DEPTH + 1} t ON h.host = t.host AND h.shape = t.shape
+FROM h JOIN tree t ON h.host = t.host AND h.shape = t.shape
        JOIN by_template p ON t.host = p.host AND t.template = p.template"""
 
 

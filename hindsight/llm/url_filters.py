@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, written
 
-#: Segments of a path in its short form, which is that of the SQL counterpart. The tree has all segments.
-DEPTH = 4
 #: A node with more branches than this, on average seen less than ``RARE`` times, is variable: only
 #: branches that are seen at least that often can stay on their own.
 FAN_OUT = 16
@@ -67,8 +65,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def shape_of(path: Column, depth: int | None = DEPTH) -> Column:
-    """The path's segments with those that are variable by form generalised; those below ``depth``, if any is given, as ``**``."""
+def shape_of(path: Column) -> Column:
+    """The path's segments with those that are variable by form generalised."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def general(segment: Column) -> Column:
@@ -77,10 +75,7 @@ def shape_of(path: Column, depth: int | None = DEPTH) -> Column:
         variable = stem.rlike(r"^[0-9_.-]*[0-9][0-9_.-]*$") | stem.rlike(r"^[0-9a-fA-F-]{16,}$") | (F.length(stem) > 64)
         return F.when(variable, F.concat(F.lit("*"), extension)).otherwise(segment)
 
-    if depth is None:
-        return F.transform(segments, general)
-    shape = F.transform(F.slice(segments, 1, depth), general)
-    return F.when(F.size(segments) > depth, F.concat(shape, F.array(F.lit("**")))).otherwise(shape)
+    return F.transform(segments, general)
 
 
 def _templates(shapes: DataFrame) -> DataFrame:
@@ -142,7 +137,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule]) -> Da
     urls = pages.select("page_id", "url").select(F.col("page_id"), host.alias("host"), path.alias("path"))
     seen = urls.join(judged, "page_id", "left")
     shapes = (
-        seen.withColumn("shape", shape_of(F.col("path"), None))
+        seen.withColumn("shape", shape_of(F.col("path")))
         .groupBy("host", "shape")
         .agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.count_if("bad").alias("bad"))
     )
@@ -163,7 +158,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule]) -> Da
     by_shape = tree.select("host", "shape", "template").join(purity, ["host", "template"])
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return (
-        urls.withColumn("shape", shape_of(F.col("path"), None))
+        urls.withColumn("shape", shape_of(F.col("path")))
         .join(by_shape, ["host", "shape"], "left")
         .select(
             "page_id",
