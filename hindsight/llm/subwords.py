@@ -55,25 +55,34 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def _encoded_words(self, some: list[bytes]) -> list[bytes]:
-        """Ids of each word, its letters and the punctuation after them apart where the tokenizer cuts there."""
-        plain = [word.decode() for word in some]
-        stems = [word.rstrip(_TAIL) if self.cuts else word for word in some]
-        letters = [_letters(text[: len(text) + len(stem) - len(word)]) for text, stem, word in zip(plain, stems, some, strict=True)]
-        wanted = {stem if own else word for stem, word, own in zip(stems, some, letters, strict=True)}
-        wanted |= {word[len(stem) :] for stem, word, own in zip(stems, some, letters, strict=True) if own}
-        wanted = [part for part in wanted if part and part not in self.known]
-        of_letters = [part for part in wanted if part.decode().isalpha()]
-        others = list(set(wanted).difference(of_letters))
-        found = dict(zip(of_letters, self._encoded_letters(of_letters), strict=True))
-        found |= zip(others, self._encoded_marked(others), strict=True)
-        found[b""] = b""
-
-        def ids(part: bytes) -> bytes:
-            known = found.get(part)
-            return self.known[part] if known is None else known
-
-        return [ids(stem) + ids(word[len(stem) :]) if own else ids(word) for stem, word, own in zip(stems, some, letters, strict=True)]
+    def _encoded_words(self, some: list[bytes]) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
+        """Ids of each word. Where the tokenizer cuts between letters and the punctuation after them, words that
+        end so are put together from both parts: those that had to be encoded, and those that had not."""
+        known = self.known
+        letters, others, ended = set(), set(), []
+        for word in some:
+            if word.isalpha():  # ASCII only
+                letters.add(word)
+                continue
+            stem = word.rstrip(_TAIL) if self.cuts else word
+            if not (stem.isalpha() or not stem.isascii() and _letters(stem.decode())):
+                others.add(word)
+            elif len(stem) == len(word):
+                letters.add(word)
+            else:
+                ended.append((word, stem, word[len(stem) :]))
+        for _, stem, tail in ended:
+            letters.add(stem)
+            others.add(tail)
+        parts = {}
+        for kind, encode in ((letters, self._encoded_letters), (others, self._encoded_marked)):
+            missing = [part for part in kind if part not in known]
+            parts.update(zip(missing, encode(missing), strict=True))
+        joined = {
+            word: (parts[stem] if stem in parts else known[stem]) + (parts[tail] if tail in parts else known[tail])
+            for word, stem, tail in ended
+        }
+        return parts, joined
 
     def _encoded_letters(self, some: list[bytes]) -> list[bytes]:
         """Ids of words of nothing but letters. Where ids tell the ends of words, nothing need stand between them."""
@@ -134,11 +143,16 @@ class Encoder:
         for low in range(0, len(texts), 500):
             some = texts[low : low + 500]
             new = [word for word in set().union(*some) if word not in self.known]
-            self.known.update(zip(new, self._encoded_words(new), strict=True))
+            parts, joined = self._encoded_words(new)
+            self.known |= parts
+            self.known |= joined
             out += [b"".join(map(self.known.__getitem__, text)) for text in some]
-            # Frequent words come early, so the first to come stay.
-            for word in new:
-                size = _OBJECTS + len(word) + len(self.known[word])
+            # What is put together is made anew for the next texts; of the rest, frequent words come early,
+            # so the first to come stay.
+            for word in joined:
+                del self.known[word]
+            for word, ids in parts.items():
+                size = _OBJECTS + len(word) + len(ids)
                 if self.kept + size > KEPT_BYTES:
                     del self.known[word]
                 else:
