@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from hindsight.llm import attention, lm_scoring
+from hindsight.llm import attention, lm_scoring, queries
 from hindsight.llm.common import words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -148,3 +148,20 @@ def test_word_hashes(text):
     assert len(hashes) == len(found) == lm_scoring.word_count(text.encode())
     assert len(set(hashes.tolist())) == len(set(found)) and 0 not in hashes
     assert hashes.tolist() == [int(lm_scoring.word_hashes(w)[0]) for w in found]
+
+
+def test_query_learns_from_every_training_token_once(spark, monkeypatch, tmp_path):
+    """The windows of the rounds hold all tokens of the training texts and their ends, none of the held-out ones."""
+    rows = [*corpus(300, seed=4), (1000, None), (1001, "rote katze " * 2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept, write = {}, lm_scoring.written
+    monkeypatch.setattr(lm_scoring, "SHARE", 2000)
+    monkeypatch.setattr(lm_scoring, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    assert queries.op3_attention_lm_scoring(spark, str(tmp_path)).count() == len(rows)
+    tokenizer = Tokenizer.from_file(PATH)
+    learnt = [text or "" for i, text in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    tokens = sum(len(tokenizer.encode(text, add_special_tokens=False).ids) + 1 for text in learnt)
+    windows = kept["windows"].collect()
+    assert sum(len(w["run"]) // 2 - 1 for w in windows) == tokens
+    assert {w["round"] for w in windows} == set(range(lm_scoring.ROUNDS))
+    assert len({(w["doc_id"], w["place"]) for w in windows}) == len(windows)
