@@ -45,7 +45,11 @@ def usable_actions(actions: DataFrame) -> DataFrame:
     result only, and so lets all uses share one shuffle.
     """
     usable = actions.where(F.col(COL_CUSTOMER_ID).isNotNull() & F.col(COL_TS).isNotNull())
-    return usable.withColumn("day", epoch_day(F.col(COL_TS))).where("day is not null")
+    return _with_day(usable)
+
+
+def _with_day(actions: DataFrame) -> DataFrame:
+    return actions.withColumn("day", epoch_day(F.col(COL_TS))).where("day is not null")
 
 
 def reachable_actions(actions: DataFrame, keys: DataFrame, lookback_days: int) -> DataFrame:
@@ -139,7 +143,10 @@ def keyed_history(
         raise ValueError(f"order must be one of {ORDERS}, got {order!r}")
     require_same_kind(COL_CUSTOMER_ID, {"impressions": keys, "actions": actions})
 
-    capped = cap_daily(reachable_actions(usable_actions(actions), keys, lookback_days), max_seq)
+    # The day is computed anew: as a mere column of the semi join, one use of the capped actions would get it under
+    # another name where there are splits, and the uses would not share the shuffles up to here.
+    reachable = _with_day(reachable_actions(usable_actions(actions), keys, lookback_days).drop("day"))
+    capped = cap_daily(reachable, max_seq)
     return capped_history(keys, capped, lookback_days=lookback_days, max_seq=max_seq, order=order)
 
 

@@ -247,3 +247,13 @@ def test_activity_against_long_form(spark):
     # Repeated items of a ranking share their key here, so compare per distinct key.
     per_key = activity.groupBy(*keys).agg(F.sum("n_actions").alias("n"))
     assert rows(per_key.where("n > 0")) == rows(counted)
+
+
+def test_uses_of_the_capped_actions_share_a_shuffle(spark):
+    """Also with splits and a single log, where the optimizer drops the union of the logs."""
+    from workloads.mappings import ORDERS_WINDOW, order_sources
+
+    with settings(spark, {**NO_BROADCAST, "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}):
+        out = hindsight.build_training_inputs(*order_sources(spark, "/root/testdata/sf0.001"), **ORDERS_WINDOW)
+        text = plan(out)
+    assert len(re.findall(r" Exchange hashpartitioning\(customer_id#\w+, day#\w+, _split#\w+, 64\)", text)) == 1
