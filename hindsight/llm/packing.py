@@ -19,10 +19,11 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, BatchesIn, column, small, written
+from .common import Batches, BatchesIn, column, sized, small, written
 from .subwords import encoder
 
 SEQUENCE = 4096
@@ -134,12 +135,12 @@ def tokenized(documents: DataFrame, path: str, end_id: int, source: Column, by_w
     def encode(batches: BatchesIn) -> Batches:
         own = encoder(path, by_word)
         end = np.array([end_id], own.dtype).tobytes()
-        for batch in small(batches):
-            ids = [x + end for x in own.ids(column(batch, "text"))]
-            sizes = [len(x) // own.dtype.itemsize for x in ids]
+        for batch in sized(batches):
+            ids = own.ids_of(batch.column(batch.schema.get_field_index("text")))
+            ids = pc.binary_join_element_wise(ids, pa.scalar(end, pa.binary()), b"")
+            sizes = pc.binary_length(ids).to_numpy() // own.dtype.itemsize
             yield pa.RecordBatch.from_arrays(
-                [*batch.select(["doc_id", "source"]).columns, pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                schema=schema,
+                [*batch.select(["doc_id", "source"]).columns, pa.array(sizes, pa.int64()), ids], schema=schema
             )
 
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source.cast("string").alias("source"), "text")

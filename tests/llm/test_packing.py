@@ -176,3 +176,37 @@ def test_kept_words_stay_within_their_bound(monkeypatch):
     assert own.ids(texts) == own._encoded(texts)
     held = sum(subwords._OBJECTS + len(word) + len(ids) for word, ids in own.known.items())
     assert 0 < held == own.kept <= 10_000
+
+
+def test_known_words_cost_little_more_than_splitting():
+    """Where all words were met before, encoding takes few times what splitting the texts into words takes."""
+    import random
+
+    rng = random.Random(2)
+    known = ["".join(rng.choices("abcdeé", k=rng.randrange(3, 10))) + rng.choice(["", "", ",", ".", "!?"]) for _ in range(50_000)]
+    texts = [" ".join(rng.choices(known, k=400)) for _ in range(2000)]
+    own = Encoder(PATH)
+    first = own.ids(texts)
+
+    def cpu(work):
+        began = time.process_time()
+        out = work()
+        return time.process_time() - began, out
+
+    split = min(cpu(lambda: [text.encode().lower().split() for text in texts])[0] for _ in range(3))
+    took, again = min((cpu(lambda: own.ids(texts)) for _ in range(3)), key=lambda x: x[0])
+    assert again == first
+    assert took < 4 * split, (took, split)
+
+
+def test_batches_are_cut_by_bytes_and_lose_no_row():
+    import pyarrow as pa
+
+    from hindsight.llm.common import sized
+
+    texts = ["x" * n for n in (0, 5, 95, 1, 300, 0, 0, 40, 70)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(sized([batch.slice(0, 0), batch.slice(1), batch.slice(0, 1)], size=100))
+    assert sorted(i for p in parts for i in p.column(0).to_pylist()) == list(range(10))
+    assert all(sum(len(x or "") for x in p.column(1).to_pylist()[1:]) <= 100 for p in parts)
+    assert len(parts) > 3
