@@ -165,3 +165,35 @@ def test_query_learns_from_every_training_token_once(spark, monkeypatch, tmp_pat
     assert sum(len(w["run"]) // 2 - 1 for w in windows) == tokens
     assert {w["round"] for w in windows} == set(range(lm_scoring.ROUNDS))
     assert len({(w["doc_id"], w["place"]) for w in windows}) == len(windows)
+
+
+def test_averaging_takes_little_disk(spark, monkeypatch):
+    """Trainers pass on four bytes a weight, whatever their number is raised to."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+
+    def held():
+        found = files()
+        return {found.apply(i).getPath(): found.apply(i).length() for i in range(found.size())}
+
+    monkeypatch.setattr(lm_scoring, "SHARE", 60)
+    before = held()
+    out = scores(spark, corpus(300))
+    trainers = sum(r.n_tokens for r in out if not r.held_out) // (lm_scoring.ROUNDS * lm_scoring.SHARE)
+    assert trainers > 30
+    weights = attention.initial(np.ones(attention.START)).flat().nbytes
+    took = sum(size for path, size in held().items() if path not in before)
+    assert took < 1.5 * lm_scoring.ROUNDS * trainers * weights + 20_000_000
+
+
+def test_weights_are_averaged_by_tokens(spark):
+    some = [some_weights(seed).flat() for seed in (1, 2, 3)]
+    tokens = [5, 70, 300]
+
+    def rows(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield lm_scoring._weights_rows(some[i], tokens[i], i)
+
+    got = lm_scoring._average(spark.range(3).repartition(3).mapInArrow(rows, lm_scoring._WEIGHTS_DDL))
+    assert got == pytest.approx(np.average(some, axis=0, weights=tokens), rel=1e-5, abs=1e-7)
+    assert lm_scoring._average(spark.createDataFrame([], lm_scoring._WEIGHTS_DDL)) is None
