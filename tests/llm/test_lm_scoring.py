@@ -197,3 +197,20 @@ def test_weights_are_averaged_by_tokens(spark):
     got = lm_scoring._average(spark.range(3).repartition(3).mapInArrow(rows, lm_scoring._WEIGHTS_DDL))
     assert got == pytest.approx(np.average(some, axis=0, weights=tokens), rel=1e-5, abs=1e-7)
     assert lm_scoring._average(spark.createDataFrame([], lm_scoring._WEIGHTS_DDL)) is None
+
+
+def test_short_streams_are_learnt_from():
+    """Some hundred windows lower the loss well below that of the frequencies."""
+    random = np.random.default_rng(5)
+    follow = random.permutation(40)
+    texts = []
+    for _ in range(60):
+        text = [int(random.integers(40))]
+        while len(text) < 100:
+            text.append(int(follow[text[-1]]))
+        texts.append(np.array([attention.START, *text]))
+    w = attention.initial(np.where(np.arange(attention.START) < 40, 100, 0))
+    stream = attention.stream(texts)
+    before = attention.log_probabilities(w, *stream).mean()
+    learnt = attention.trained(w, *stream, rate=lm_scoring.RATE)
+    assert attention.log_probabilities(learnt, *stream).mean() > 0.8 * before
