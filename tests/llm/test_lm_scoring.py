@@ -182,7 +182,7 @@ def test_averaging_takes_little_disk(spark, monkeypatch):
     assert trainers > 30
     weights = attention.initial(np.ones(attention.START)).flat().nbytes
     took = sum(size for path, size in held().items() if path not in before)
-    assert took < 1.5 * lm_scoring.ROUNDS * trainers * weights + 20_000_000
+    assert took < 0.8 * lm_scoring.ROUNDS * trainers * weights  # some trainers have no windows
 
 
 def test_weights_are_averaged_by_tokens(spark):
