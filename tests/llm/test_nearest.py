@@ -119,3 +119,55 @@ def test_ties_in_the_query(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = nearest.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in found] == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_structureless_vectors_take_little_disk(spark, monkeypatch):
+    """Much of each ordering is near a query there: the query crosses once to each span, not to each block, and as few hits come back."""
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 40)
+
+    def held():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getPath(): found.apply(i).length() for i in range(found.size())}
+
+    vectors = np.random.default_rng(8).normal(size=(4000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = held()
+    assert nearest.nearest(frame, F.col("vec_id") % 4 == 0).count() == 20_000
+    took = sum(size for path, size in held().items() if path not in before)
+    assert took < 30e6
+
+
+@pytest.mark.parametrize("dtype", [np.float32, np.float64])
+def test_bytes_compare_as_vectors(dtype):
+    rng = np.random.default_rng(9)
+    vectors = np.vstack([rng.integers(-1, 2, (200, 3)), rng.normal(size=(200, 3)) * 10.0 ** rng.integers(-30, 30, (200, 1))]).astype(dtype)
+    vectors[::7] *= dtype(-1)  # negative zeros
+    coded = [row.tobytes() for row in nearest._coded(vectors)]
+    assert sorted(range(400), key=lambda i: (coded[i], i)) == sorted(range(400), key=lambda i: (vectors[i].tolist(), i))
+    assert (nearest._decoded(b"".join(coded), 3, vectors.itemsize) == vectors).all()
+
+
+@pytest.mark.parametrize("scale", [1e-200, 1.0, 1e150])
+def test_best_of_many_tiles(scale):
+    """Ties over many tiles, near ties that single precision cannot tell apart, and numbers beyond its range."""
+    rng = np.random.default_rng(10)
+    vectors = np.vstack([rng.integers(-1, 2, (3000, 4)), 1 + 1e-9 * rng.integers(0, 50, (500, 4)), rng.normal(size=(500, 4))]) * scale
+    vectors, ids = vectors[rng.permutation(4000)], rng.permutation(4000)
+    queries = rng.integers(-2, 3, (30, 4)).astype(float) + 0.5
+    near, scores = nearest._best(queries, vectors, ids, 21)
+    for query, found, of_found in zip(queries, near, scores, strict=True):
+        exact = (query * vectors).sum(axis=1)
+        order = np.lexsort((ids, -exact))[:21]
+        assert (order == found).all() and (exact[order] == of_found).all()
+
+
+def test_ids_and_vectors_that_come_often(spark):
+    """Copies of a table under shifted ids, each row twice, and a few ids with another vector besides."""
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(i + 60 * n, vectors[i].tolist()) for i in range(60) for n in range(12) for _ in range(2)]
+    more = [(i, (vectors[i] + np.float32(d)).tolist()) for i, d in ((0, 1), (7, -1), (20, -1), (40, 1))]
+    got = search(spark, rows + more)
+    true = brute_force([(i, v) for i, v in {i: min(v for j, v in rows + more if j == i) for i, _ in rows}.items()])
+    assert {q: [(v, s) for _, v, s in best] for q, best in got.items()} == true
