@@ -129,6 +129,17 @@ class _Form:
         return _decoded(vector, self.dim, self.size)[0]
 
 
+def _smallest(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """The rows, with one in place of those of an id among ``several``: its smallest vector."""
+    least = (
+        rows.join(several, "vec_id", "left_semi")
+        .groupBy("vec_id")
+        .agg(F.min(F.struct("vector", "norm2", "h1", "h2")).alias("least"), F.max("asks").alias("asks"))
+        .select("vec_id", "asks", "least.*")
+    )
+    return rows.join(several, "vec_id", "left_anti").unionByName(least)
+
+
 _ROWS_DDL = "vec_id long, asks boolean, vector binary, dim int, norm2 double, h1 long, h2 long"
 
 
@@ -277,8 +288,8 @@ class _Best:
         # What rounding may take from a product of single precision, and add to another one.
         self.margin = np.float32(2 * (queries.shape[1] + 8) * np.finfo(np.float32).eps * held.longest)
         self.least = np.full(len(queries), -np.inf, np.float32)
-        self.parts, self.n = [], 0
-        self.room = 8 * k * len(queries)
+        self.parts, self.n, self.unbounded = [], 0, True
+        self.room = 4 * k * len(queries)
         self.scores, self.mask = np.empty(len(queries) * _TILE, np.float32), np.empty(len(queries) * _TILE + 64, bool)
 
     def meet(self, low: int, high: int, begin: int, end: int) -> None:
@@ -288,8 +299,9 @@ class _Best:
             size = (high - low) * m
             scores = np.matmul(self.light[low:high], self.held.light[at : at + m].T, out=self.scores[:size].reshape(-1, m))
             least = self.least[low:high]
-            if m >= self.k and np.isneginf(least).any():
-                np.maximum(least, np.partition(scores, m - self.k, axis=1)[:, m - self.k] - self.margin, out=least)
+            if self.unbounded and m >= self.k and np.isneginf(least).any():
+                np.maximum(least, self._bound(scores, low, high, at + m, end) - self.margin, out=least)
+                self.unbounded = bool(np.isneginf(self.least).any())
             np.greater_equal(scores, least[:, None], out=self.mask[:size].reshape(-1, m))
             pairs = _true(self.mask, size)
             if len(pairs):
@@ -303,6 +315,15 @@ class _Best:
                         kept = (self.light[asking] * self.held.light[near]).sum(axis=1)
                         self.parts, self.n = [(asking, near, kept)], len(near)
 
+    def _bound(self, scores: np.ndarray, low: int, high: int, at: int, end: int) -> np.ndarray:
+        """What ``k`` of these scores reach, or of the greatest of groups of vectors, with those up to four tiles further."""
+        group, n = 16, min(end - at, 4 * _TILE) // 16 * 16
+        if n // group < 2 * self.k:
+            return np.partition(scores, -self.k, axis=1)[:, -self.k]
+        more = self.held.light[at : at + n] @ self.light[low:high].T
+        greatest = more.reshape(n // group, group, -1).max(axis=1)
+        return np.partition(greatest, -self.k, axis=0)[-self.k]
+
     def _cut(self) -> None:
         """Drop what ``k`` others exceed by more than rounding."""
         if not self.parts:
@@ -318,13 +339,18 @@ class _Best:
         kept = scores >= self.least[asking]
         self.parts, self.n = [(asking[kept], near[kept], scores[kept])], int(kept.sum())
 
-    def _scored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query, vector and score of the ``k`` best, ties to the smaller id. Sums in one order: a pair scores alike anywhere."""
-        asking, near, _ = self.parts[0]
+    def _exact(self, asking: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Scores, by sums in one order: a pair scores alike anywhere."""
         exact = np.empty(len(near))
         for low in range(0, len(near), _PAIRS):
             some = slice(low, low + _PAIRS)
             exact[some] = (self.queries[asking[some]] * self.held.vectors[near[some]]).sum(axis=1)
+        return exact
+
+    def _scored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, vector and score of the ``k`` best, ties to the smaller id."""
+        asking, near, _ = self.parts[0]
+        exact = self._exact(asking, near)
         order = np.lexsort((self.held.ids[near], -exact, asking))
         asking = asking[order]
         kept = np.arange(len(asking)) - np.searchsorted(asking, asking) < self.k
@@ -334,6 +360,14 @@ class _Best:
         self._cut()
         return self._scored()
 
+    def among(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``found``, in any order for a query, and with as many again that rounding could not tell from them."""
+        self._cut()
+        if self.n > 2 * self.k * len(self.queries):
+            return self._scored()
+        asking, near, _ = self.parts[0]
+        return asking, near, self._exact(asking, near)
+
 
 def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
     """For each query the indices and scores of the ``k`` best, ties to the smaller id.
@@ -534,7 +568,7 @@ def _windows(classes: DataFrame, curves: _Curves, form: _Form, rows: int, cuts:
                     for (begin, end, _), of, to in zip(tiles.tolist(), begins.tolist(), stops.tolist(), strict=True):
                         if of < to:
                             best.meet(of, to, begin, end)
-                    asking, near, scores = best.found()
+                    asking, near, scores = best.among()
                     yield _hit_rows(own[part], asking, held.ids[near], scores)
 
     placed = classes.select("class_id", "asks", "vector").mapInArrow(place, "code long, class_id long, vector binary")
@@ -590,13 +624,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     # One row an id. Those of several rows, and classes of several ids, are written: joins go by their true size.
     several = written(rows.groupBy("vec_id").count().where("count > 1").select("vec_id"), "several")
-    smallest = (
-        rows.join(several, "vec_id", "left_semi")
-        .groupBy("vec_id")
-        .agg(F.min(F.struct("vector", "norm2", "h1", "h2")).alias("least"), F.max("asks").alias("asks"))
-        .select("vec_id", "asks", "least.*")
-    )
-    unique = rows.join(several, "vec_id", "left_anti").unionByName(smallest)
+    unique = rows if several.isEmpty() else written(_smallest(rows, several), "unique")
     copied = written(
         unique.groupBy("h1", "h2")
         .agg(F.min("vec_id").alias("class_id"), F.max("asks").alias("any_asks"), F.count("*").alias("n"))
@@ -605,6 +633,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     )
     of_class = unique.join(copied, ["h1", "h2"], "left").withColumn("class_id", F.coalesce("class_id", "vec_id"))
     classes = of_class.where("vec_id = class_id").select("class_id", F.coalesce("any_asks", "asks").alias("asks"), "vector", "norm2")
+    classes = classes if copied.isEmpty() else written(classes, "classes")  # they are read several times
     longest, n, asking = classes.agg(F.max("norm2"), F.count("*"), F.count_if("asks")).first()
 
     longest = (longest or 1.0) * (1 + 1e-12)
