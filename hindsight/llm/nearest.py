@@ -13,11 +13,11 @@
    with a margin for their rounding; the rest is scored on the original vectors in double precision.
 
 The radius is measured, not guessed: a fixed number of pilot queries is compared with all vectors,
-and the radius is the least that finds ``TARGET`` of their true neighbours. So is the number of orderings, up to
-``ORDERINGS``: the one whose windows hold fewest vectors then. Where neighbours are
+and the radius is the least that finds ``TARGET`` of their true neighbours. Where neighbours are
 near each other on the curves, as in clustered data, windows are short. Data without structure makes them
-a fixed share of the table, as no index can tell there what is near without looking at most of it; one ordering
-with long windows then takes less than several that see the same pairs again, and never more than all pairs.
+a fixed share of the table, as no index can tell there what is near without looking at most of it. Where the windows
+of all orderings together hold more than the table, one ordering is visited from end to end instead: that takes
+less, sees every pair once, and the result is exact.
 """
 
 from functools import cache
@@ -26,7 +26,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -445,7 +445,7 @@ def exhaustive(classes: DataFrame, asked: DataFrame, form: _Form, k: int) -> Dat
 
 
 def _reach(classes: DataFrame, truth: DataFrame, curves: _Curves, form: _Form, cuts: np.ndarray) -> tuple[int, int]:
-    """How many orderings, and how many blocks to either side, find ``TARGET`` of the true neighbours with the shortest windows."""
+    """How many orderings are visited, and how many blocks to either side: what finds ``TARGET`` of the true neighbours, or all."""
     pairs = [(r["asking"], r["class_id"]) for r in truth.collect() if r["asking"] != r["class_id"]]  # PILOTS * k
     wanted = sorted({x for pair in pairs for x in pair})
     rows = classes.where(F.col("class_id").isin(wanted)).select("class_id", "vector").collect() if wanted else []
@@ -460,13 +460,10 @@ def _reach(classes: DataFrame, truth: DataFrame, curves: _Curves, form: _Form, c
         for keys in (curves.own(vectors, ids), curves.asked(vectors, ids))
     )
     away = np.abs(at[:, asking] - own[:, near])
-    ways = []
-    for orderings in range(1, ORDERINGS + 1):
-        least = np.sort(away[:orderings].min(axis=0))
-        radius = int(least[min(len(least) - 1, int(np.ceil(TARGET * len(least))) - 1)])
-        seen = np.minimum(at[:orderings, asking] + radius, blocks - 1) - np.maximum(at[:orderings, asking] - radius, 0) + 1
-        ways.append((int(seen.sum()), orderings, radius))
-    return min(ways)[1:]
+    least = np.sort(away.min(axis=0))
+    radius = int(least[min(len(least) - 1, int(np.ceil(TARGET * len(least))) - 1)])
+    seen = np.minimum(at[:, asking] + radius, blocks - 1) - np.maximum(at[:, asking] - radius, 0) + 1
+    return (ORDERINGS, radius) if seen.sum() < blocks * len(asking) else (1, blocks - 1)
 
 
 def _cuts(classes: DataFrame, curves: _Curves, form: _Form, rows: int) -> np.ndarray:
@@ -520,6 +517,7 @@ def _windows(classes: DataFrame, curves: _Curves, form: _Form, rows: int, cuts:
     blocks = cuts.shape[1] + 1
     spans = max(min(SPANS, blocks), -(-rows * form.dim * form.size // SPAN_BYTES))
     length = -(-blocks // spans)
+    deal = _dealt(classes.sparkSession, orderings * spans)
 
     def place(batches: BatchesIn) -> Batches:
         for batch in batches:
@@ -531,7 +529,7 @@ def _windows(classes: DataFrame, curves: _Curves, form: _Form, rows: int, cuts:
             asked = curves.asked(vectors[asks], ids[asks], orderings) if len(asks) else own[:, :0]
             for t in range(orderings):
                 block = np.searchsorted(cuts[t], own[t], side="right")
-                yield _placed_rows(t * spans + block // length, False, block, ids, coded)
+                yield _placed_rows(deal, t * spans + block // length, False, block, ids, coded)
                 at = np.searchsorted(cuts[t], asked[t], side="right")
                 first, last = np.maximum(at - radius, 0) // length, np.minimum(at + radius, blocks - 1) // length
                 visits = last - first + 1
@@ -540,7 +538,7 @@ def _windows(classes: DataFrame, curves: _Curves, form: _Form, rows: int, cuts:
                 for low in range(0, len(each), 10_000):
                     some = slice(low, low + 10_000)
                     rows = asks[each[some]]
-                    yield _placed_rows(t * spans + span[some], True, at[each[some]], ids[rows], coded.take(pa.array(rows)))
+                    yield _placed_rows(deal, t * spans + span[some], True, at[each[some]], ids[rows], coded.take(pa.array(rows)))
 
     def search(batches: BatchesIn) -> Batches:
         span, parts, held = None, [], None
@@ -571,18 +569,22 @@ def _windows(classes: DataFrame, curves: _Curves, form: _Form, rows: int, cuts:
                     asking, near, scores = best.among()
                     yield _hit_rows(own[part], asking, held.ids[near], scores)
 
-    placed = classes.select("class_id", "asks", "vector").mapInArrow(place, "code long, class_id long, vector binary")
-    # Spans meet by chance in a partition; of four times as many partitions hardly one has several.
-    return (
-        placed.repartition(4 * orderings * spans, F.shiftright("code", _BLOCK_BITS + 1))
-        .sortWithinPartitions("code")
-        .mapInArrow(search, _HITS_DDL)
-    )
+    placed = classes.select("class_id", "asks", "vector").mapInArrow(place, "deal int, code long, class_id long, vector binary")
+    return placed.repartition(len(deal), "deal").sortWithinPartitions("code").mapInArrow(search, _HITS_DDL)
+
 
+def _dealt(spark: SparkSession, n: int) -> np.ndarray:
+    """Numbers that hash into ``n`` different partitions, as long as there are ``n``."""
+    hashed = spark.range(20 * n + 100).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), "id")
+    least = dict(hashed.groupBy("p").agg(F.min("id")).collect())
+    return np.array([least.get(p, p) for p in range(n)], np.int32)
 
-def _placed_rows(span: np.ndarray, is_query: bool, block: np.ndarray, ids: np.ndarray, vectors: pa.Array) -> pa.RecordBatch:
+
+def _placed_rows(deal: np.ndarray, span: np.ndarray, is_query: bool, block: np.ndarray, ids: np.ndarray, vectors: pa.Array) -> pa.RecordBatch:
     code = (span.astype(np.int64) << 1 | int(is_query)) << _BLOCK_BITS | block
-    return pa.RecordBatch.from_arrays([pa.array(code), pa.array(ids), vectors], names=["code", "class_id", "vector"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(deal[span]), pa.array(code), pa.array(ids), vectors], names=["deal", "code", "class_id", "vector"]
+    )
 
 
 def _gathered(parts: list, form: _Form) -> tuple[_Held, np.ndarray]:
@@ -617,8 +619,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         F.col(vector_col).cast("array<float>" if single else "array<double>").alias("embedding"),
     ).where("vec_id is not null and embedding is not null")
     rows = written(_usable(plain), "vectors")
-    dims = rows.groupBy("dim").count().collect()
-    dim = min(dims, key=lambda r: (-r["count"], r["dim"]))["dim"] if dims else 1
+    most = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    dim = most["dim"] if most else 1
     form = _Form(dim, 4 if single else 8)
     rows = rows.where(F.col("dim") == dim).drop("dim")
 

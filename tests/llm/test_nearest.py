@@ -171,3 +171,18 @@ def test_ids_and_vectors_that_come_often(spark):
     got = search(spark, rows + more)
     true = brute_force([(i, v) for i, v in {i: min(v for j, v in rows + more if j == i) for i, _ in rows}.items()])
     assert {q: [(v, s) for _, v, s in best] for q, best in got.items()} == true
+
+
+def test_spans_have_a_partition_each(spark):
+    for n in (1, 7, 96):
+        dealt = spark.createDataFrame([(int(i),) for i in nearest._dealt(spark, n)], "deal int").repartition(n, "deal")
+        assert dealt.select(F.spark_partition_id()).distinct().count() == n
+
+
+def test_structureless_vectors_are_compared_whole(spark, monkeypatch):
+    """Windows of four orderings would hold more than the table."""
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 100)
+    vectors = np.random.default_rng(12).normal(size=(3000, 16))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))]
+    got, true = search(spark, rows), brute_force(rows)
+    assert {q: [(v, s) for _, v, s in best] for q, best in got.items()} == true
